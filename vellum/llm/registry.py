@@ -9,8 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: query name: module of this subpackage
 QUERIES = {
+    "op2_lm_score": "lm_score",
+    "op3_merkle_fingerprint": "merkle",
     "op5_simhash_dedup": "simhash",
+    "op6_warc": "warc",
     "op7_decontaminate": "decontaminate",
+    "op10_hilbert_shards": "hilbert",
 }
 
 
