@@ -34,9 +34,9 @@ SHINGLE = 3
 MAX_BITS = 3
 MAX_GROUP = 1024
 #: Rows walked at once in a task; whole keys only.
-RUN_ROWS = 40_000
+RUN_ROWS = 8192
 #: Node pairs held at one level before the walk goes on depth first.
-MAX_FRONTIER = 1 << 20
+MAX_FRONTIER = 1 << 16
 SIGN = np.uint64(1 << 63)
 
 
