@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: query name: module of this subpackage
 QUERIES = {
+    "op1_toxicity": "toxicity",
     "op2_lm_score": "lm_score",
     "op3_merkle_fingerprint": "merkle",
+    "op4_mixing": "mixing",
     "op5_simhash_dedup": "simhash",
     "op6_warc": "warc",
     "op7_decontaminate": "decontaminate",
