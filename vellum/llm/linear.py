@@ -106,7 +106,7 @@ def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit_logistic(flat, at, dense, y, size: int, ridge: float = 1.0, rounds: int = 80):
+def fit_logistic(flat, at, dense, y, size: int, ridge: float = 0.3, rounds: int = 250):
     """Ridge logistic regression by accelerated gradient steps, scaled by each weight's curvature. Returns (w, v, bias)."""
     n = len(y)
     rows = np.repeat(np.arange(n), np.diff(at))

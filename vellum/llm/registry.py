@@ -16,6 +16,7 @@ QUERIES = {
     "op5_simhash_dedup": "simhash",
     "op6_warc": "warc",
     "op7_decontaminate": "decontaminate",
+    "op8_pii": "pii",
     "op9_suffix_dedup": "suffix_dedup",
     "op10_hilbert_shards": "hilbert",
 }
