@@ -18,6 +18,7 @@ import re
 
 import ahocorasick
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -94,6 +95,30 @@ def spans_of(text: str, hit: np.ndarray) -> list[dict]:
     return [{"start": at[a][0], "end": at[b - 1][1]} for a, b in zip(edges[::2], edges[1::2], strict=True)]
 
 
+def hold_items(items: DataFrame, id_col: str = "item_id", text_col: str = "text", max_items_bytes: int = MAX_ITEMS_BYTES):
+    """The test table as a broadcast, if it is within the bound."""
+    items = items.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
+    total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    if total > max_items_bytes:
+        raise ValueError(f"the test items hold {total} bytes; max_items_bytes is {max_items_bytes}")
+    return items.sparkSession.sparkContext.broadcast([(r.i, r.t) for r in items.collect()])
+
+
+def clean(docs: DataFrame, items: DataFrame, *, text_col: str = "text", window: int = WINDOW, min_items: int = 1) -> DataFrame:
+    """The rows of docs, all columns, that hold windows of fewer than ``min_items`` test items."""
+    short_batches(docs.sparkSession)
+    held = hold_items(items)
+    cache: dict[str, object] = {}
+
+    @F.pandas_udf("int")
+    def items_in(texts: pd.Series) -> pd.Series:
+        if "a" not in cache:
+            cache["a"] = build_automaton(held.value, window)
+        return pd.Series([len(scan(t, cache["a"])[2]) for t in texts.tolist()], dtype="int32")
+
+    return docs.where(items_in(F.col(text_col)) < min_items)
+
+
 def decontaminate(
     docs: DataFrame,
     items: DataFrame,
@@ -107,13 +132,8 @@ def decontaminate(
     max_items_bytes: int = MAX_ITEMS_BYTES,
 ) -> DataFrame:
     """One row per document: words, hit words, items, their digest, whether contaminated, and hit spans in the original."""
-    spark = docs.sparkSession
-    short_batches(spark)
-    items = items.select(F.col(item_id_col).alias("i"), F.col(item_text_col).alias("t"))
-    total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    if total > max_items_bytes:
-        raise ValueError(f"the test items hold {total} bytes; max_items_bytes is {max_items_bytes}")
-    held = spark.sparkContext.broadcast([(r.i, r.t) for r in items.collect()])
+    held = hold_items(items, item_id_col, item_text_col, max_items_bytes)
+    short_batches(docs.sparkSession)
     cache: dict[str, object] = {}
 
     def run(batches):
