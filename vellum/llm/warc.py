@@ -120,7 +120,8 @@ def write_archives(pages: DataFrame, folder: str, *, id_col: str = "page_id", ur
     short_batches(spark)
     payload = F.encode(F.coalesce(F.col(payload_col), F.lit("")), "UTF-8")
     rows = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload")).withColumn("digest", F.sha1("payload")).withColumn("n", F.octet_length("payload").cast("bigint"))
-    picked = rows.select(F.xxhash64("page_id").alias("h"), F.expr(f"substring(payload, 1, {SAMPLE_BYTES})").alias("p")).orderBy("h", "p").limit(SAMPLE_RECORDS)
+    ids = rows.select("page_id").where("page_id is not null").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE_RECORDS)
+    picked = rows.join(F.broadcast(ids), "page_id", "left_semi").select(F.xxhash64("page_id").alias("h"), F.expr(f"substring(payload, 1, {SAMPLE_BYTES})").alias("p")).orderBy("h", "p").limit(SAMPLE_RECORDS)
     dictionary = spark.sparkContext.broadcast(train_dictionary([bytes(r.p) for r in picked.select("p").collect()]))
     revisits = decide(rows).withColumnsRenamed({"page_id": "r_id", "digest": "r_digest"})
     typed = rows.join(revisits, (F.col("digest") == F.col("r_digest")) & F.col("page_id").eqNullSafe(F.col("r_id")), "left").select("page_id", "url", "payload", "digest", "refers_to")
