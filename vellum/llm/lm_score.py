@@ -36,6 +36,8 @@ from vellum.llm._common import documents, plan_partitions, short_batches, stored
 FOLDS, HELD_OUT = 7, 2
 BASE = 1.5
 BITS_PER_PAIR = 10
+#: Hash functions at most: at 10 bits a pair, four give a false positive in eighty probes.
+PROBES = 4
 MAX_FILTER_BYTES = 128 << 20
 SLICE_BYTES = 1 << 20
 MIN_BIGRAM = 2
@@ -44,7 +46,7 @@ HEAD = 1 << 21
 END = np.uint64(0x9AE16A3B2F90404F)
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 #: Distinct n-grams held in a worker before they are handed to Spark.
-FLUSH = 3_000_000
+FLUSH = 1_500_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -76,12 +78,13 @@ def from_level(q: np.ndarray, base: float = BASE) -> np.ndarray:
     return np.where(q > 0, np.maximum(1, (low + np.maximum(low, high)) / 2), 0.0)
 
 
-def _slots(keys: np.ndarray, j: int, probes: int):
-    """Bit positions of (key, j) within the key's slice, probe by probe."""
-    h = mix(keys + np.uint64(j * int(_GOLD) & 0xFFFFFFFFFFFFFFFF))
-    low, high = h & np.uint64(0xFFFFFFFF), (h >> np.uint64(32)) | np.uint64(1)
-    for i in range(probes):
-        yield (low + np.uint64(i) * high) % np.uint64(SLICE_BYTES * 8)
+def _pair_hash(keys: np.ndarray, j: int) -> np.ndarray:
+    return mix(keys + np.uint64(j * int(_GOLD) & 0xFFFFFFFFFFFFFFFF))
+
+
+def _slot(h: np.ndarray, i: int) -> np.ndarray:
+    """Bit position of a pair's probe i within its key's slice."""
+    return ((h & np.uint64(0xFFFFFFFF)) + np.uint64(i) * ((h >> np.uint64(32)) | np.uint64(1))) % np.uint64(SLICE_BYTES * 8)
 
 
 def read_levels(bitmap: np.ndarray, keys: np.ndarray, probes: int, most: int) -> np.ndarray:
@@ -90,11 +93,11 @@ def read_levels(bitmap: np.ndarray, keys: np.ndarray, probes: int, most: int) ->
     q, live = np.zeros(len(uniq), np.int64), np.arange(len(uniq))
     first = ((uniq >> np.uint64(20)) % np.uint64(len(bitmap) // SLICE_BYTES)) * np.uint64(SLICE_BYTES * 8)
     for j in range(1, most + 1):
-        ok = np.ones(len(live), bool)
-        for at in _slots(uniq[live], j, probes):
-            at = at + first[live]
-            ok &= (bitmap[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
-        live = live[ok]
+        h = _pair_hash(uniq[live], j)
+        for i in range(probes):  # each probe goes on with what the last left
+            at = _slot(h, i) + first[live]
+            ok = (bitmap[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+            live, h = live[ok], h[ok]
         if not len(live):
             break
         q[live] = j
@@ -111,8 +114,10 @@ def count_ngrams(docs: DataFrame) -> DataFrame:
     def merged(parts):
         keys = np.concatenate([p[0] for p in parts])
         n = np.concatenate([p[1] for p in parts])
-        uniq, back = np.unique(keys, return_inverse=True)
-        return uniq, np.bincount(back, weights=n, minlength=len(uniq)).astype(np.int64)
+        order = np.argsort(keys)
+        keys = keys[order]
+        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        return keys[first], np.add.reduceat(n[order], first)
 
     def rows(kind, parts):
         keys, n = merged(parts)
@@ -148,7 +153,7 @@ def build_filter(spark: SparkSession, counts: DataFrame, max_filter_bytes: int)
     total, most = wanted.agg(F.coalesce(F.sum("q"), F.lit(0)), F.coalesce(F.max("q"), F.lit(0))).first()
     slices = max(1, min(max_filter_bytes // SLICE_BYTES, -(-total * BITS_PER_PAIR // (SLICE_BYTES * 8))))
     bits = slices * SLICE_BYTES * 8
-    probes = max(1, min(7, round(0.69 * bits / max(1, total))))
+    probes = max(1, min(PROBES, round(0.69 * bits / max(1, total))))
     groups = min(slices, plan_partitions(spark))
 
     def slice_of(batches):
@@ -164,8 +169,9 @@ def build_filter(spark: SparkSession, counts: DataFrame, max_filter_bytes: int)
                 own = s == value
                 k, n = keys[own], levels[own]
                 for j in range(1, int(n.max(initial=0)) + 1):
-                    for at in _slots(k[n >= j], j, probes):
-                        flags[at] = 1
+                    h = _pair_hash(k[n >= j], j)
+                    for i in range(probes):
+                        flags[_slot(h, i)] = 1
         if current is not None:
             yield out(current, flags)
 
