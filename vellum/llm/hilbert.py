@@ -71,8 +71,8 @@ def as_number(df: DataFrame, column: str) -> Column:
 
 
 def with_curve(df: DataFrame, dimensions=DIMENSIONS, bits: int = BITS) -> DataFrame:
-    """df plus ``curve``. Quantile bounds are 2^bits numbers a dimension, whatever the table's size."""
-    names = [f"dim_{i}_" for i in range(len(dimensions))]
+    """df plus ``curve__``. Quantile bounds are 2^bits numbers a dimension, whatever the table's size."""
+    names = [f"dim_{i}__" for i in range(len(dimensions))]
     numbered = df.withColumns({n: as_number(df, c) for n, c in zip(names, dimensions, strict=True)})
     cells = 1 << bits
     bounds = numbered.approxQuantile(names, [i / cells for i in range(1, cells)], QUANTILE_ERROR)
@@ -83,29 +83,29 @@ def with_curve(df: DataFrame, dimensions=DIMENSIONS, bits: int = BITS) -> DataFr
         grid = np.stack([np.searchsorted(b, c.to_numpy(float), side="right") for b, c in zip(bounds, columns, strict=True)], axis=1)
         return pd.Series(hilbert_index(grid, bits))
 
-    return numbered.withColumn("curve", index(*names)).drop(*names)
+    return numbered.withColumn("curve__", index(*names)).drop(*names)
 
 
 def ranked(df: DataFrame, order: list[str]) -> tuple[DataFrame, int]:
-    """df plus ``rank`` (from 0, gapless) by the given order, and the number of rows. df is stored in range order on the way."""
+    """df plus ``rank__`` (from 0, gapless) by the given order, and the number of rows. df is stored in range order on the way."""
     parts = plan_partitions(df.sparkSession)
-    placed = stored(df.repartitionByRange(parts, *order).withColumn("part_", F.spark_partition_id()))
-    sizes = {r["part_"]: r["count"] for r in placed.groupBy("part_").count().collect()}  # one row a range
+    placed = stored(df.repartitionByRange(parts, *order).withColumn("part__", F.spark_partition_id()))
+    sizes = {r["part__"]: r["count"] for r in placed.groupBy("part__").count().collect()}  # one row a range
     offsets, total = {}, 0
     for p in sorted(sizes):
         offsets[p], total = total, total + sizes[p]
     before = F.create_map(*(F.lit(int(v)) for kv in offsets.items() for v in kv)) if offsets else F.create_map(F.lit(0), F.lit(0))
-    within = F.row_number().over(Window.partitionBy("part_").orderBy(*order))
-    return placed.withColumn("rank", (within - 1 + F.element_at(before, F.col("part_"))).cast("bigint")).drop("part_"), total
+    within = F.row_number().over(Window.partitionBy("part__").orderBy(*order))
+    return placed.withColumn("rank__", (within - 1 + F.element_at(before, F.col("part__"))).cast("bigint")).drop("part__"), total
 
 
 def shard_rows(rows: DataFrame, order: list[str], shards: int = SHARDS) -> DataFrame:
-    """rows plus ``shard`` and ``slot``: runs of the order, counts at most one apart."""
+    """rows plus ``shard__`` and ``slot__``: runs of the order, counts at most one apart."""
     df, total = ranked(rows, order)
     total = max(1, total)
     # the shard of rank r is the s with ceil(s * n / shards) <= r < ceil((s + 1) * n / shards), that is floor(r * shards / n)
-    shard = F.expr(f"cast(rank * {shards} div {total} as int)")
-    return df.withColumn("shard", shard).withColumn("slot", F.expr(f"rank - (shard * {total}L + {shards - 1}) div {shards}")).drop("rank")
+    shard = F.expr(f"cast(rank__ * {shards} div {total} as int)")
+    return df.withColumn("shard__", shard).withColumn("slot__", F.expr(f"rank__ - (shard__ * {total}L + {shards - 1}) div {shards}")).drop("rank__")
 
 
 def shard_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", dimensions=DIMENSIONS, bits: int = BITS, shards: int = SHARDS) -> DataFrame:
@@ -119,15 +119,15 @@ def shard_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         F.xxhash64(text).alias("text_hash"),
         *kept,
     )
-    placed = shard_rows(with_curve(digest, [c if c != id_col else "doc_id" for c in dimensions], bits), ["curve", "doc_id", "text_hash"], shards)
-    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
+    placed = shard_rows(with_curve(digest, [c if c != id_col else "doc_id" for c in dimensions], bits), ["curve__", "doc_id", "text_hash"], shards)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard__").alias("shard"), F.col("slot__").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), F.col("curve__").alias("curve"))
 
 
 def shard_table(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", dimensions=DIMENSIONS, bits: int = BITS, shards: int = SHARDS) -> DataFrame:
-    """docs with ``shard_id`` and ``slot_id``, ready for a write partitioned by shard; all columns move once."""
-    hashed = docs.withColumn("text_hash_", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    placed = shard_rows(with_curve(hashed, dimensions, bits), ["curve", id_col, "text_hash_"], shards)
-    return placed.drop("curve", "text_hash_").withColumnsRenamed({"shard": "shard_id", "slot": "slot_id"})
+    """docs with ``shard_id`` and ``slot_id`` (in place of columns of these names), ready for a write partitioned by shard; all columns move once."""
+    hashed = docs.drop("shard_id", "slot_id").withColumn("text_hash__", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    placed = shard_rows(with_curve(hashed, dimensions, bits), ["curve__", id_col, "text_hash__"], shards)
+    return placed.drop("curve__", "text_hash__").withColumnsRenamed({"shard__": "shard_id", "slot__": "slot_id"})
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,9 +19,13 @@ from vellum.llm._common import short_batches, stored
 
 #: At most so many labelled rows are fitted, those with the least hash of their id.
 SAMPLE_ROWS = 20_000
-VOCABULARY = 4096
+VOCABULARY = 2048
 #: A feature must be in so many training rows.
 LEAST_ROWS = 5
+#: And its log odds be so many standard errors from none: the rest would be noise to fit.
+LEAST_Z = 3.0
+#: Words in more than this share of the rows tell a language, not a category, and are left out; marks stay.
+MOST_SHARE = 0.25
 
 _LETTERS = bytes(c + 32 if 0x41 <= c <= 0x5A else c if c >= 0x80 or 0x61 <= c <= 0x7A else 0x20 for c in range(256))
 _MARKS = [c for c in range(0x21, 0x7F) if not chr(c).isalnum()]
@@ -31,16 +35,52 @@ def features(text: str | None) -> set[bytes]:
     raw = (text or "").encode("utf-8", "surrogatepass")
     words = set(raw.translate(_LETTERS).split())
     out = words | {w[:4] + b"*" for w in words if len(w) > 4} | {w[:5] + b"*" for w in words if len(w) > 5}
-    if raw:
-        counts = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
-        n = len(raw)
-        shares = [(c, counts[c]) for c in _MARKS if counts[c]] + [(1, counts[0x41:0x5B].sum()), (2, counts[0x30:0x3A].sum())]
-        out |= {b"#%c%d" % (c, int(math.log2(k / n))) for c, k in shares if k}
-    return out
+    return out | _shares(raw)
+
+
+def _shares(raw: bytes) -> set[bytes]:
+    if not raw:
+        return set()
+    counts = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
+    n = len(raw)
+    shares = [(c, counts[c]) for c in _MARKS if counts[c]] + [(1, counts[0x41:0x5B].sum()), (2, counts[0x30:0x3A].sum())]
+    return {b"#%c%d" % (c, int(math.log2(k / n))) for c, k in shares if k}
+
+
+class Vocabulary:
+    """Numbers of the chosen features in a text; what a word brings is kept, so a word is looked into once."""
+
+    KEPT = 300_000
+
+    def __init__(self, words: list[bytes]):
+        self.index, self.memo = {w: i for i, w in enumerate(words)}, {}
+
+    def numbers(self, text: str | None) -> list[int]:
+        raw = (text or "").encode("utf-8", "surrogatepass")
+        memo, index = self.memo, self.index
+        found = {index[f] for f in _shares(raw) if f in index}
+        for w in set(raw.translate(_LETTERS).split()):
+            own = memo.get(w)
+            if own is None:
+                forms = [w, *([w[:4] + b"*"] if len(w) > 4 else []), *([w[:5] + b"*"] if len(w) > 5 else [])]
+                own = memo[w] = tuple(index[f] for f in forms if f in index)
+                if len(memo) > self.KEPT:
+                    memo.clear()
+            if own:
+                found.update(own)
+        return sorted(found)
+
+
+_BLANK = np.zeros(256, bool)
+_BLANK[[0x20, *range(0x09, 0x0E)]] = True
 
 
 def n_words(text: str | None) -> int:
-    return len((text or "").split())
+    """Runs of bytes that aren't blank."""
+    if not text:
+        return 0
+    blank = _BLANK[np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)]
+    return int(np.count_nonzero(blank[:-1] & ~blank[1:])) + int(not blank[0])
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, names: list[str], rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -65,14 +105,14 @@ def choose_vocabulary(sample: DataFrame, n_labels: int, size: int = VOCABULARY)
     total = sample.agg(F.count("*").alias("n"), *(F.sum(F.col("y")[i]).alias(f"p{i}") for i in range(n_labels))).first()
     if not total["n"]:
         return []
-    counts = sample.select(F.explode("f").alias("w"), "y").groupBy("w").agg(F.count("*").alias("n"), *(F.sum(F.col("y")[i]).alias(f"p{i}") for i in range(n_labels))).where(F.col("n") >= LEAST_ROWS)
+    counts = sample.select(F.explode("f").alias("w"), "y").groupBy("w").agg(F.count("*").alias("n"), *(F.sum(F.col("y")[i]).alias(f"p{i}") for i in range(n_labels))).where((F.col("n") >= LEAST_ROWS) & ((F.col("n") <= MOST_SHARE * total["n"]) | (F.substring("w", 1, 1) == F.lit(b"#"))))
     z = F.lit(0.0)
     for i in range(n_labels):
         pos, rows = total[f"p{i}"] or 0.0, total["n"]
         a, b = F.col(f"p{i}") + 0.5, F.col("n") - F.col(f"p{i}") + 0.5
         odds = F.log(a / (pos - F.col(f"p{i}") + 0.5)) - F.log(b / (rows - pos - (F.col("n") - F.col(f"p{i}")) + 0.5))
         z = F.greatest(z, F.abs(odds) / F.sqrt(1 / a + 1 / b))
-    return [bytes(r["w"]) for r in counts.select("w", z.alias("z")).orderBy(F.desc("z"), "w").limit(size).collect()]
+    return [bytes(r["w"]) for r in counts.select("w", z.alias("z")).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "w").limit(size).collect()]
 
 
 def matrix(sample: DataFrame, vocabulary: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -85,7 +125,9 @@ def matrix(sample: DataFrame, vocabulary: list[bytes]) -> tuple[np.ndarray, np.n
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.list_(pa.int32())), b.column(2)], names=["doc_id", "x", "y"])
 
     table = sample.mapInArrow(run, "doc_id bigint, x array<int>, y array<double>").toPandas().sort_values("doc_id", kind="stable")
-    lengths = table["x"].map(len).to_numpy(np.int64) if len(table) else np.empty(0, np.int64)
+    if not len(table):
+        return np.empty(0, np.int64), np.zeros(1, np.int64), np.empty((0, 1))
+    lengths = table["x"].map(len).to_numpy(np.int64)
     flat = np.concatenate(table["x"].tolist()).astype(np.int64) if lengths.sum() else np.empty(0, np.int64)
     return flat, np.concatenate(([0], np.cumsum(lengths))), np.array(table["y"].tolist(), dtype=float).reshape(len(table), -1)
 
@@ -106,8 +148,9 @@ def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit_logistic(flat, at, dense, y, size: int, ridge: float = 0.3, rounds: int = 250):
-    """Ridge logistic regression by accelerated gradient steps, scaled by each weight's curvature. Returns (w, v, bias)."""
+def fit_logistic(flat, at, dense, y, size: int, ridge: float = 0.1, rounds: int = 150, positive: bool = False):
+    """Ridge logistic regression by accelerated gradient steps, scaled by each weight's curvature. Returns (w, v, bias).
+    ``positive`` keeps the features' weights from falling below zero: then no number of harmless words hides a harmful one."""
     n = len(y)
     rows = np.repeat(np.arange(n), np.diff(at))
     prior = (y.sum() + 0.5) / (n + 1)
@@ -125,13 +168,14 @@ def fit_logistic(flat, at, dense, y, size: int, ridge: float = 0.3, rounds: int
         g = sigmoid(margins(flat, at, dense, yw, yv, yb)) - y
         last = (w, v, bias)
         w = yw - step_w * (np.bincount(flat, weights=g[rows], minlength=size) + ridge * yw)
+        if positive:
+            w = np.maximum(w, 0)
         v = yv - step_v * (dense.T @ g + ridge * yv)
         bias = yb - step_b * g.sum()
     return w, v, bias
 
 
-def vectorise(texts: list, index: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+def vectorise(texts: list, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """(indices end to end, row starts) of some texts."""
-    keys = index.keys()
-    rows = [np.fromiter((index[w] for w in keys & features(t)), np.int64) for t in texts]
-    return (np.concatenate(rows) if rows else np.empty(0, np.int64)), np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int64)
+    rows = [vocabulary.numbers(t) for t in texts]
+    return np.array([i for r in rows for i in r], np.int64), np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int64)

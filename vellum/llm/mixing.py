@@ -41,7 +41,7 @@ class Softmax:
     """One weight vector for each domain over a shared vocabulary."""
 
     def __init__(self, names, vocabulary, models):
-        self.names, self.index, self.models = list(names), {w: i for i, w in enumerate(vocabulary)}, models
+        self.names, self.index, self.models = list(names), linear.Vocabulary(vocabulary), models
 
     def posteriors(self, texts: list) -> np.ndarray:
         k = len(self.names)

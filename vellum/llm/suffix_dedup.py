@@ -37,7 +37,7 @@ from vellum.llm._common import documents, plan_partitions, shared_dir, short_bat
 
 WINDOW, GRAM = 400, 24
 PIECE = 1 << 20
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
 QUEUE_BYTES = 64 << 20
 _ODD = 0x9E3779B97F4A7C15
 _MASK = np.uint64(0xFFFFFF)
@@ -113,7 +113,7 @@ class Queues:
         for c in sorted(range(len(self.held)), key=lambda c: -sum(x.nbytes for x in self.held[c]))[:16]:
             if self.held[c]:
                 path = f"{base}/queue-{uuid.uuid4().hex}"
-                with fs.open_output_stream(path) as sink:
+                with fs.open_output_stream(path, compression=None) as sink:
                     sink.write(np.concatenate(self.held[c]).tobytes())
                 self.files.setdefault(c, []).append(path)
                 self.bytes -= sum(x.nbytes for x in self.held[c])
@@ -125,7 +125,7 @@ class Queues:
         self.bytes -= sum(x.nbytes for x in held)
         for path in self.files.pop(c, []):
             fs, _ = pafs.FileSystem.from_uri(self.folder) if ":/" in self.folder else (pafs.LocalFileSystem(), self.folder)
-            with fs.open_input_stream(path) as source:
+            with fs.open_input_stream(path, compression=None) as source:
                 while chunk := source.read(8 << 20):
                     yield np.frombuffer(chunk, self.kind)
             fs.delete_file(path)
@@ -230,7 +230,7 @@ def sort_suffixes(t: np.ndarray, symbols: int, depth: int = WINDOW, folder: str
                 break
             after = np.minimum(tied + span, len(stars) - 1)
             second = np.where(tied + span < len(stars), rank[after] + 1, 0)
-            own = np.lexsort((second, rank[tied]))
+            own = np.argsort(rank[tied] * (len(stars) + 1) + second)
             r, q = rank[tied][own], second[own]
             new_group = np.concatenate(([True], r[1:] != r[:-1]))
             step = np.concatenate(([True], (r[1:] != r[:-1]) | (q[1:] != q[:-1])))

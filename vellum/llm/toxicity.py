@@ -2,7 +2,8 @@
 
 Categories are predicted one after another. Each model sees the text's features and the log odds that the earlier
 models of the chain gave; in training these come out of fold, from models that didn't see the row, so later models learn
-how far to trust earlier ones. The query's chain runs over the columns of ``labels``: low quality (1 - quality), then
+how far to trust earlier ones. Weights of features are not negative: a category is shown by what is in a text, and
+harmless words beside it don't take that back. The query's chain runs over the columns of ``labels``: low quality (1 - quality), then
 toxic; ``train_chain`` takes any list of 0/1 columns, in the order wanted.
 
 Training is bounded: at most ``SAMPLE_ROWS`` labelled rows (by hash of the id), ``VOCABULARY`` features; scoring reads
@@ -33,7 +34,7 @@ class Chain:
     """names, vocabulary and one (w, v, bias) for each category; v weighs the earlier categories' log odds."""
 
     def __init__(self, names, vocabulary, models):
-        self.names, self.index, self.models = list(names), {w: i for i, w in enumerate(vocabulary)}, models
+        self.names, self.index, self.models = list(names), linear.Vocabulary(vocabulary), models
 
     def probabilities(self, texts: list) -> np.ndarray:
         out = np.zeros((len(texts), len(self.names)))
@@ -63,9 +64,9 @@ def train_chain(docs: DataFrame, labels: DataFrame, names=CHAIN, *, rows: int =
             for f in range(folds):
                 fit, rest = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
                 if len(fit) and len(rest):
-                    model = linear.fit_logistic(*linear.take(flat, at, fit), out_of_fold[fit], y[fit, k], len(words))
+                    model = linear.fit_logistic(*linear.take(flat, at, fit), out_of_fold[fit], y[fit, k], len(words), positive=True)
                     held[rest] = linear.margins(*linear.take(flat, at, rest), out_of_fold[rest], *model)
-        models.append(linear.fit_logistic(flat, at, out_of_fold, y[:, k], len(words)))
+        models.append(linear.fit_logistic(flat, at, out_of_fold, y[:, k], len(words), positive=True))
         out_of_fold = np.column_stack((out_of_fold, np.clip(held, -30, 30)))
     return Chain(names, words, models)
 

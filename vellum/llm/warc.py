@@ -144,7 +144,7 @@ def write_archives(pages: DataFrame, folder: str, *, id_col: str = "page_id", ur
             for page_id, url, body, digest, refers_to in zip(ids, urls, payloads, digests, refers, strict=True):
                 if sink is None:
                     path, records = f"{base}/pages-{uuid.uuid4().hex}.warc.zst", 0
-                    sink = fs.open_output_stream(path)
+                    sink = fs.open_output_stream(path, compression=None)  # frames are made here, record by record
                     size = sink.write(struct.pack("<II", MAGIC, len(data)) + data)
                 kind = "response" if refers_to is None else "revisit"
                 head = record_head(kind, page_id, url, len(body), digest, refers_to, date)
@@ -169,7 +169,7 @@ def read_archives(manifest: DataFrame, folder: str, with_payload: bool = False)
             for path in b.column(0).to_pylist():
                 fs, _ = filesystem(folder)
                 out: list[list] = [[] for _ in range(6)]
-                with fs.open_input_stream(path) as stream:
+                with fs.open_input_stream(path, compression=None) as stream:
                     for headers, payload in read_archive(stream):
                         number = headers["WARC-Record-ID"][len("<urn:page:") : -1]
                         kind = headers["WARC-Type"]
