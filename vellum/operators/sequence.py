@@ -52,11 +52,11 @@ def cluster_1d(df: DataFrame, keys: list[str], value: str, tolerance: float, ord
     cluster's running mean. A fold over the group's sorted values; keys must bound the group (a page, a table)."""
     rows = F.array_sort(F.collect_list(F.struct(F.col(value).cast("double").alias("v"), *order, "id_")))
     grouped = df.groupBy(*keys).agg(rows.alias("rows_"))
-    empty = "cast(array() as array<struct<s:double,n:int>>)"
-    step = f"""aggregate(rows_, named_struct('c', {empty}, 'out', cast(array() as array<int>)), (a, r) ->
-        if(size(a.c) > 0 and r.v - a.c[size(a.c) - 1].s / a.c[size(a.c) - 1].n <= {tolerance},
-           named_struct('c', concat(slice(a.c, 1, size(a.c) - 1), array(named_struct('s', a.c[size(a.c) - 1].s + r.v, 'n', a.c[size(a.c) - 1].n + 1))), 'out', concat(a.out, array(size(a.c) - 1))),
-           named_struct('c', concat(a.c, array(named_struct('s', r.v, 'n', 1))), 'out', concat(a.out, array(size(a.c))))))"""
+    # of all clusters only the last one's sum, size and number are carried
+    step = f"""aggregate(rows_, named_struct('s', cast(0 as double), 'n', 0, 'k', -1, 'out', cast(array() as array<int>)), (a, r) ->
+        if(a.n > 0 and r.v - a.s / a.n <= {tolerance},
+           named_struct('s', a.s + r.v, 'n', a.n + 1, 'k', a.k, 'out', concat(a.out, array(a.k))),
+           named_struct('s', r.v, 'n', 1, 'k', a.k + 1, 'out', concat(a.out, array(a.k + 1)))))"""
     folded = grouped.select(*keys, F.explode(F.arrays_zip("rows_", F.expr(step)["out"].alias("cluster"))).alias("z"))
     return folded.select(*keys, F.col("z")["rows_"]["id_"].alias("id_"), F.col("z")["cluster"].alias("cluster"))
 

@@ -51,10 +51,13 @@ def outliers(df: DataFrame, keys: list[str], value: str, relative: float, absolu
 
 def occupancy(df: DataFrame, keys: list[str], lo: str, hi: str, smooth: int = 5) -> DataFrame:
     """Coverage by unit bins from floor(lo) to floor(hi), and its mean over ``smooth`` bins to either side of the bins from the least to the largest."""
-    bins = df.select(*keys, F.explode(F.sequence(F.floor(lo), F.floor(hi))).alias("bin")).groupBy(*keys, "bin").agg(F.count("*").alias("n"))
-    ends = bins.groupBy(*keys).agg(F.min("bin").alias("a_"), F.max("bin").alias("b_"))
+    # a rise where an interval begins and a fall after its end: two rows an interval, not one for each bin
+    rises = df.select(*keys, F.floor(lo).alias("bin"), F.lit(1).alias("d_")).union(df.select(*keys, F.floor(hi) + 1, F.lit(-1)))
+    steps = rises.groupBy(*keys, "bin").agg(F.sum("d_").alias("d_"))
+    ends = steps.groupBy(*keys).agg(F.min("bin").alias("a_"), (F.max("bin") - 1).alias("b_"))
     spine = ends.select(*keys, F.explode(F.sequence("a_", "b_")).alias("bin"))
-    full = spine.join(bins, [*keys, "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    up = Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    full = spine.join(steps, [*keys, "bin"], "left").withColumn("n", F.sum(F.coalesce("d_", F.lit(0))).over(up)).drop("d_")
     w = Window.partitionBy(*keys).orderBy("bin").rowsBetween(-smooth, smooth)
     return full.withColumn("smoothed", F.avg("n").over(w))
 
