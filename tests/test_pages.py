@@ -103,3 +103,55 @@ def test_collisions_and_footnotes(spark):
     n = spark.createDataFrame([(1, 0, "n", 0.0, 14.0, 100.0, 20.0)], "doc_id long, page long, id string, x0 double, y0 double, x1 double, y1 double")
     got = quality.footnotes(t, n).first()
     assert (got.overlaps, got.least_gap) == (0, 4.0)
+
+
+def test_values(spark):
+    from vellum.functions import values as V
+
+    df = spark.createDataFrame([('a { b(c] ', "color: red; WIDTH:12.5pt;; color:blue; url:http://x", '{"a":{"b":3}}')], "t string, s string, j string")
+    r = df.select(V.bracket_balance(F.col("t")).alias("b"), V.parse_style(F.col("s")).alias("m"), V.path(F.col("j"), "a.b").alias("p"), V.path(F.col("j"), "a.c").alias("q"), V.content_id("FTR-", F.col("t"), F.col("s")).alias("i"), V.points(F.lit("w 12.5pt")).alias("n"), V.points(F.lit("none")).alias("z")).first()
+    assert r.b == 1 and r.m == {"color": "blue", "width": "12.5pt", "url": "http://x"} and (r.p, r.q) == ("3", None) and len(r.i) == 24 and r.n == 12.5 and r.z is None
+    for value, blocked in (("false", True), ("true", False), ('"blocked"', True), ('"pass"', False), ('{"status":"error"}', True), ('{"blocked":true}', True), ('{"passed":false}', True), ('{"passed":true}', False)):
+        assert spark.range(1).select(V.is_blocked(F.lit(value))).first()[0] is blocked, value
+
+
+def test_tiered_match_uses_equal_texts_once(spark):
+    from vellum.operators import joins
+
+    a = spark.createDataFrame([(1, 0, "x"), (1, 1, "x"), (1, 2, "par"), (1, 3, "whole text"), (1, 4, "zzz")], "k int, l int, text string")
+    b = spark.createDataFrame([(1, 10, "x"), (1, 11, "part of"), (1, 12, "text")], "k int, r int, text string")
+    got = {x.l: (x.r, x.tier) for x in joins.tiered_text_match(a, b, ["k"], "l", "r").collect()}
+    assert got == {0: (10, 1), 1: (12, 2), 2: (11, 2), 3: (12, 3)}
+
+
+def test_union_coverage(spark):
+    from vellum.operators import joins
+
+    box = "k int, id int, x0 double, y0 double, x1 double, y1 double"
+    a = spark.createDataFrame([(1, 1, 0.0, 0.0, 10.0, 10.0), (1, 2, 50.0, 0.0, 60.0, 10.0)], box)
+    b = spark.createDataFrame([(1, 1, -1.0, -1.0, 6.0, 11.0), (1, 2, 4.0, -1.0, 10.0, 11.0), (1, 3, 4.0, 0.0, 5.0, 5.0)], box)
+    got = {r.id: (r.covered, r.contained) for r in joins.covered_by_union(a, b, ["k"], "id").collect()}
+    assert got == {1: (1.0, True), 2: (0.0, False)}
+
+
+def test_blocks_merge_to_a_fixpoint(spark):
+    from vellum.operators import formulas
+
+    rows = [(1, 0, 1, 0.0, 0.0, 50.0, 10.0, 0), (1, 0, 2, 10.0, 14.0, 60.0, 24.0, 0), (1, 0, 3, 20.0, 28.0, 70.0, 38.0, 0), (1, 0, 4, 300.0, 28.0, 340.0, 38.0, 0)]
+    df = spark.createDataFrame(rows, "doc_id long, page long, run long, x0 double, y0 double, x1 double, y1 double, open int")
+    assert sorted(tuple(r.runs) for r in formulas.merge_blocks(df, ["doc_id", "page"]).collect()) == [(1, 2, 3), (4,)]
+
+
+def test_table_html_and_bounds(spark):
+    from vellum.operators import tables
+
+    cells = spark.createDataFrame([(1, 0, 0, "A<b", 0.0, 0.0, 9.0, 9.0), (1, 1, 0, "1", 0.0, 12.0, 9.0, 21.0)], "t int, row int, column int, text string, x0 double, y0 double, x1 double, y1 double")
+    html = tables.to_html(cells, ["t"])
+    assert html.first().html == '<table><thead><tr><th data-cell="R0C0">A&lt;b</th></tr></thead><tr><td data-cell="R1C0">1</td></tr></table>'
+    q = tables.html_structure(html, cells, ["t"]).first()
+    assert q.unique and q.complete and q.has_head
+    assert tables.to_positioned_html(cells, ["t"]).first().html.count("<div") == 2
+    rows = spark.createDataFrame([(1, 0, 5.0, 0.0, 30.0), (1, 1, 15.0, 0.0, 30.0)], "t int, row int, centre double, top_rule double, bottom_rule double")
+    assert [(r.lo, r.hi) for r in tables.row_bounds(rows, ["t"]).orderBy("row").collect()] == [(0.0, 10.0), (10.0, 30.0)]
+    rules = spark.createDataFrame([(1, 10.0), (1, 20.0), (1, 40.0)], "t int, y0 double")
+    assert tables.header_row(rows, rules, ["t"]).first().header_row == 1

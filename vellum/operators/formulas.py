@@ -92,3 +92,41 @@ def recovery(stage: Column) -> Column:
     for name, policy in RECOVERY[1:]:
         out = out.when(stage == name, policy)
     return out.otherwise("none")
+
+
+def merge_blocks(blocks: DataFrame, keys: list[str], line_height: float = 12.0) -> DataFrame:
+    """Blocks joined until none can be: neighbours on rows that overlap in x by over 0.3 of the narrower and lie less than
+    1.7 line heights apart, or up to 2.2 if the upper one's brackets are open. A page's blocks are few, so its components
+    are found in one group."""
+    import pandas as pd
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = list(pdf.sort_values(["y0", "x0", "run"], kind="stable").itertuples())
+        parent = list(range(len(rows)))
+
+        def find(i):
+            while parent[i] != i:
+                parent[i] = parent[parent[i]]
+                i = parent[i]
+            return i
+
+        for i, a in enumerate(rows):
+            for j in range(i + 1, len(rows)):
+                b = rows[j]
+                gap = b.y0 - a.y1
+                if gap > 2.2 * line_height:
+                    break
+                common = min(a.x1, b.x1) - max(a.x0, b.x0)
+                narrow = max(1e-9, min(a.x1 - a.x0, b.x1 - b.x0))
+                if (a.open > 0 and gap < 2.2 * line_height) or (common > 0.3 * narrow and gap < 1.7 * line_height and b.y0 > a.y0):
+                    parent[find(j)] = find(i)
+        block = [find(i) for i in range(len(rows))]
+        number = {r: n for n, r in enumerate(dict.fromkeys(block))}
+        out = pd.DataFrame(rows).drop(columns=["Index"])
+        out["block"] = [number[r] for r in block]
+        return out[[*keys, "run", "block", "x0", "y0", "x1", "y1"]]
+
+    types = dict(blocks.dtypes)
+    schema = ", ".join(f"{k} {types[k]}" for k in [*keys, "run"]) + ", block int, x0 double, y0 double, x1 double, y1 double"
+    joined = blocks.groupBy(*keys).applyInPandas(run, schema)
+    return joined.groupBy(*keys, "block").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.array_sort(F.collect_list("run")).alias("runs"))

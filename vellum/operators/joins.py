@@ -78,3 +78,43 @@ def coverage(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, s
     out = left.join(per, [*keys, left_id], "left")
     covered = F.coalesce(F.col("common") / F.nullif(G.area(G.box()), F.lit(0.0)), F.lit(0.0))
     return out.select(*keys, left_id, covered.alias("covered"), F.coalesce("best_iou", F.lit(0.0)).alias("best_iou"), (covered >= share).alias("matched"))
+
+
+def tiered_text_match(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, right_id: str, text: str = "text") -> DataFrame:
+    """Left rows with right rows of the same keys by text: first equal texts, the n-th with the n-th, so each is used once;
+    then, for what is left, a right text that the left one is part of, then one that is part of the left. Columns: keys,
+    left_id, right_id, tier (1 to 3); rows without a match are absent."""
+    w = Window.partitionBy(*keys, text)
+    a = left.select(*keys, left_id, text).withColumn("n_", F.row_number().over(w.orderBy(left_id)))
+    b = right.select(*keys, right_id, text).withColumn("n_", F.row_number().over(w.orderBy(right_id)))
+    equal = a.join(b, [*keys, text, "n_"]).select(*keys, left_id, right_id, F.lit(1).alias("tier"))
+    rest_a = a.join(equal.select(*keys, left_id), [*keys, left_id], "left_anti")
+    rest_b = b.select(*keys, right_id, F.col(text).alias("t_")).join(equal.select(*keys, right_id), [*keys, right_id], "left_anti")
+    pairs = rest_a.join(rest_b, keys).where((F.length(text) > 0) & (F.length("t_") > 0)).withColumn("tier", F.when(F.contains(F.col("t_"), F.col(text)), 2).when(F.contains(F.col(text), F.col("t_")), 3)).where("tier is not null")
+    best = pairs.groupBy(*keys, left_id).agg(F.min(F.struct("tier", right_id)).alias("m"))
+    return equal.union(best.select(*keys, left_id, F.col(f"m.{right_id}"), F.col("m.tier")))
+
+
+def covered_by_union(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, share: float = 0.999) -> DataFrame:
+    """Exact share of each left box that the union of right boxes covers (overlaps count once), over the cells that the sides cut."""
+    import pandas as pd
+
+    pairs = box_join(left, right, keys).withColumn("b_", F.struct(*(F.col(f"r_{k}") for k in ("x0", "y0", "x1", "y1"))))
+    grouped = pairs.groupBy(*keys, F.col(f"l_{left_id}").alias(left_id), *(F.col(f"l_{k}").alias(k) for k in ("x0", "y0", "x1", "y1"))).agg(F.collect_list("b_").alias("boxes_"))
+
+    def ratio(x0, y0, x1, y1, boxes):
+        out = []
+        for a, b, c, d, held in zip(x0, y0, x1, y1, boxes, strict=True):
+            clipped = [(max(a, r["r_x0"]), max(b, r["r_y0"]), min(c, r["r_x1"]), min(d, r["r_y1"])) for r in held]
+            clipped = [r for r in clipped if r[0] < r[2] and r[1] < r[3]]
+            xs, ys = sorted({v for r in clipped for v in (r[0], r[2])}), sorted({v for r in clipped for v in (r[1], r[3])})
+            area = sum((q - p) * (t - s) for p, q in zip(xs, xs[1:]) for s, t in zip(ys, ys[1:]) if any(r[0] <= p and q <= r[2] and r[1] <= s and t <= r[3] for r in clipped))
+            whole = (c - a) * (d - b)
+            out.append(area / whole if whole > 0 else 0.0)
+        return pd.Series(out)
+
+    from pyspark.sql.functions import PandasUDFType
+
+    measured = F.pandas_udf(ratio, "double", PandasUDFType.SCALAR)
+    cov = grouped.select(*keys, left_id, measured("x0", "y0", "x1", "y1", "boxes_").alias("covered"))
+    return left.select(*keys, left_id).join(cov, [*keys, left_id], "left").select(*keys, left_id, F.coalesce("covered", F.lit(0.0)).alias("covered")).withColumn("contained", F.col("covered") >= share)

@@ -104,3 +104,25 @@ def order_defects(paragraphs: DataFrame, page_height: float = 792.0) -> DataFram
     w = Window.partitionBy(*PAGE, "col").orderBy("ordinal")
     d = paragraphs.withColumn("step_", F.col("y0") - F.lag("y0").over(w))
     return d.groupBy(*PAGE).agg(F.count_if(F.col("step_") < -4).alias("inversions"), F.count_if(F.col("step_") > 0.15 * page_height).alias("jumps"))
+
+
+def density_class(regions: DataFrame) -> DataFrame:
+    """Pages by what they hold: table, figure, formula, mixed or text heavy, or plain."""
+    c = regions.groupBy(*PAGE).agg(*(F.count_if(F.col("kind") == k).alias(k) for k in ("table", "figure", "formula", "text")))
+    many = (F.col("table") > 0).cast("int") + (F.col("figure") > 0).cast("int") + (F.col("formula") >= 3).cast("int")
+    cls = F.when(many >= 2, "mixed").when(F.col("table") > 0, "table_heavy").when(F.col("figure") > 0, "figure_heavy").when(F.col("formula") >= 3, "formula_heavy").when(F.col("text") >= 12, "text_dense").otherwise("plain")
+    return c.withColumn("density_class", cls)
+
+
+def bottom_reserve(notes: DataFrame, frames: DataFrame, gap: float = 16.0, line_height: float = 1.3) -> DataFrame:
+    """notes(keys, em, width, size), frames(keys, frame_y1): the strip that notes need at a page's end, and where the body must stop."""
+    lines = F.ceil(F.col("em") / F.greatest(F.lit(1.0), F.col("width") / F.col("size")))
+    need = notes.groupBy(*PAGE).agg(F.sum(lines * F.col("size") * line_height).alias("height"))
+    return frames.join(need, PAGE).select(*PAGE, "height", (F.col("frame_y1") - F.col("height")).alias("y0"), (F.col("frame_y1") - F.col("height") - gap).alias("body_bottom"))
+
+
+def reentry_defects(paragraphs: DataFrame, obstacles_: DataFrame, reach: float = 3.0, slack: float = 4.0) -> DataFrame:
+    """Paragraphs that begin right below an obstacle of their column (as-of by its bottom) but not at the column's left edge."""
+    o = obstacles_.select(*PAGE, F.explode("columns_affected").alias("col"), F.col("y1").alias("bottom"))
+    j = paragraphs.join(o, [*PAGE, "col"]).where((F.col("y0") >= F.col("bottom") - 1) & (F.col("y0") - F.col("bottom") <= reach))
+    return j.where(F.abs(F.col("x0") - F.col("track_x0")) > slack).select(*PAGE, "col", "ordinal").distinct()

@@ -83,3 +83,36 @@ def compare(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     j = a.alias("a").join(b.alias("b"), [*keys, "row", "column"])
     diff = F.greatest(*(F.abs(F.col(f"a.{s}") - F.col(f"b.{s}")) for s in ("x0", "y0", "x1", "y1")))
     return j.groupBy(*keys).agg(F.count("*").alias("shared"), F.avg((F.col("a.text") == F.col("b.text")).cast("double")).alias("exact_text"), F.max(diff).alias("max_error"))
+
+
+def to_positioned_html(cells_: DataFrame, keys: list[str], classes: str = "cell") -> DataFrame:
+    """One absolutely placed element a cell, in row and column order, in points."""
+    esc = F.col("text")
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        esc = F.replace(esc, F.lit(a), F.lit(b))
+    pt = lambda c: F.format_string("%.2f", c)
+    one = F.concat(F.lit(f'<div class="{classes}" data-cell="R'), F.col("row"), F.lit("C"), F.col("column"), F.lit('" style="left:'), pt(F.col("x0")), F.lit("pt;top:"), pt(F.col("y0")), F.lit("pt;width:"), pt(F.col("x1") - F.col("x0")), F.lit("pt;height:"), pt(F.col("y1") - F.col("y0")), F.lit('pt">'), esc, F.lit("</div>"))
+    ordered = F.array_sort(F.collect_list(F.struct("row", "column", one.alias("h"))))
+    return cells_.groupBy(*keys).agg(F.array_join(F.transform(ordered, lambda s: s["h"]), "").alias("html"))
+
+
+def html_structure(pages: DataFrame, cells_: DataFrame, keys: list[str]) -> DataFrame:
+    """Whether a table's HTML holds every cell's id once, no other, and the head row first."""
+    n = cells_.groupBy(*keys).agg(F.count("*").alias("n_cells"))
+    ids = F.regexp_extract_all("html", F.lit('data-cell="(R[0-9]+C[0-9]+)"'), F.lit(1))
+    return pages.join(n, keys).select(*keys, "n_cells", F.size(ids).alias("n_ids"), (F.size(F.array_distinct(ids)) == F.size(ids)).alias("unique"), (F.size(ids) == F.col("n_cells")).alias("complete"), F.col("html").rlike("^<table><thead>").alias("has_head"))
+
+
+def row_bounds(rows: DataFrame, keys: list[str], top: str = "top_rule", bottom: str = "bottom_rule") -> DataFrame:
+    """Middles between neighbouring rows' centres, with the rules as ends: (keys, row, lo, hi)."""
+    w = Window.partitionBy(*keys).orderBy("row")
+    mid = (F.col("centre") + F.lead("centre").over(w)) / 2
+    before = (F.col("centre") + F.lag("centre").over(w)) / 2
+    return rows.select(*keys, "row", F.coalesce(before, F.col(top)).alias("lo"), F.coalesce(mid, F.col(bottom)).alias("hi"))
+
+
+def header_row(rows: DataFrame, rules: DataFrame, keys: list[str]) -> DataFrame:
+    """The first row whose centre lies between the first two horizontal rules, a point to spare."""
+    w = Window.partitionBy(*keys).orderBy("y0")
+    two = rules.withColumn("r_", F.row_number().over(w)).where("r_ <= 2").groupBy(*keys).agg(F.min("y0").alias("a_"), F.max("y0").alias("b_"), F.count("*").alias("n_")).where("n_ = 2")
+    return rows.join(two, keys).where((F.col("centre") >= F.col("a_") - 1) & (F.col("centre") <= F.col("b_") + 1)).groupBy(*keys).agg(F.min("row").alias("header_row"))
