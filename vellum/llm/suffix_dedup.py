@@ -9,7 +9,8 @@
    (far enough to tell 400 bytes apart), then L suffixes are induced from left to right and S suffixes from right to left.
    The priority queues of the induction are one first-in-first-out queue for each symbol (what is induced into a symbol's
    bucket arrives in order), and queues beyond ``QUEUE_BYTES`` go on in files of the shared folder, so a shard's suffixes,
-   eight bytes each, needn't fit in memory. Neighbours in suffix order that agree on 400 bytes repeat.
+   eight bytes each, needn't fit in memory. An anchor with over ``MAX_SEGMENTS`` distinct segments, such as the end of a
+   passage that very many documents hold, isn't gathered: its windows' hashes are counted instead. Neighbours in suffix order that agree on 400 bytes repeat.
 3. Removal. Repeated windows go back to their documents, are united, and the bytes are cut out.
 
 Strings are judged on the input; matches never cross documents (segments don't). The 400-byte agreement of neighbours
@@ -30,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +41,8 @@ WINDOW, GRAM = 400, 24
 PIECE = 1 << 20
 SHARD_BYTES = 1 << 20
 QUEUE_BYTES = 64 << 20
+#: An anchor with more distinct segments than this isn't gathered: its windows are counted one by one.
+MAX_SEGMENTS = 20_000
 _ODD = 0x9E3779B97F4A7C15
 _MASK = np.uint64(0xFFFFFF)
 
@@ -319,31 +323,63 @@ def find_segments(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "anchor bigint, seg bigint, doc_id bigint, th bigint, lo bigint, hi bigint")
 
 
+def pack(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, th, text) with the text as a Zstandard frame ``z``: texts cross the network twice, and so take less room."""
+
+    def run(batches):
+        press = zstandard.ZstdCompressor(level=3, write_content_size=True)
+        for b in batches:
+            z = [press.compress((t or "").encode("utf-8", "surrogatepass")) for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(z, pa.binary())], names=["doc_id", "th", "z"])
+
+    return docs.mapInArrow(run, "doc_id bigint, th bigint, z binary")
+
+
 def _same_doc(a: DataFrame, b: DataFrame):
     return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["th"] == b["th"])
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
+def counted_runs(pieces: DataFrame) -> DataFrame:
+    """(anchor, seg, runs) of the segments of hot anchors, by counting every window's hash: counts are combined before the
+    shuffle, so neither a hot anchor nor a hot window gathers in a task."""
+
+    def windows(batches):
+        rolling = Rolling(2 * WINDOW)
+        for b in batches:
+            for anchor, seg, raw in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                h = rolling.hashes(np.frombuffer(raw, np.uint8), WINDOW)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), anchor)), pa.array(np.full(len(h), seg)), pa.array(np.arange(len(h))), pa.array(h.view(np.int64))], names=["anchor", "seg", "at", "h"])
+
+    every = stored(pieces.select("anchor", "seg", "bytes").mapInArrow(windows, "anchor bigint, seg bigint, at bigint, h bigint"))
+    again = every.groupBy("anchor", "h").agg(F.count("*").alias("c")).where("c > 1").select("anchor", "h")
+    found = every.join(again, ["anchor", "h"]).groupBy("anchor", "seg").agg(F.collect_list(F.struct(F.col("at").alias("lo"), F.col("at").alias("hi"))).alias("runs"))
+    return found  # single windows; they are united when bytes are removed
+
+
+def repeated_spans(docs: DataFrame, max_segments: int = MAX_SEGMENTS) -> DataFrame:
     """(doc_id, th, spans): runs of window starts that repeat, for documents that have any. docs(doc_id, th, text)."""
     spark = docs.sparkSession
     folder, parts = shared_dir(spark), plan_partitions(spark)
     found = stored(find_segments(docs))
     distinct = stored(found.groupBy("anchor", "seg").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "lo", "hi")).alias("at")))
-    several = distinct.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor")
-    wanted = distinct.join(several, "anchor", "left_semi").select("anchor", "seg", "n", "at.*")
-    wanted = wanted.groupBy("doc_id", "th").agg(F.collect_list(F.struct("anchor", "seg", "n", "lo", "hi")).alias("segs"))
+    several = stored(distinct.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1"))
+    hot = several.where(F.col("k") > max_segments).select("anchor")
+    wanted = distinct.join(several, "anchor").select("anchor", "seg", "n", "at.*", (F.col("k") > max_segments).alias("hot"))
+    wanted = wanted.groupBy("doc_id", "th").agg(F.collect_list(F.struct("anchor", "seg", "n", "lo", "hi", "hot")).alias("segs"))
 
     def cut(batches):
         for b in batches:
-            for text, segs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                raw = text.encode("utf-8", "surrogatepass")
+            for z, segs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                raw = zstandard.decompress(z)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([s["anchor"] for s in segs], pa.int64()), pa.array([s["seg"] for s in segs], pa.int64()), pa.array([s["n"] for s in segs], pa.int64()), pa.array([raw[s["lo"] : s["hi"] + WINDOW] for s in segs], pa.binary())],
-                    names=["anchor", "seg", "n", "bytes"],
+                    [pa.array([s["anchor"] for s in segs], pa.int64()), pa.array([s["seg"] for s in segs], pa.int64()), pa.array([s["n"] for s in segs], pa.int64()), pa.array([s["hot"] for s in segs], pa.bool_()), pa.array([raw[s["lo"] : s["hi"] + WINDOW] for s in segs], pa.binary())],
+                    names=["anchor", "seg", "n", "hot", "bytes"],
                 )
 
-    met = docs.join(wanted, _same_doc(docs, wanted)).select("text", "segs")
-    shards = met.mapInArrow(cut, "anchor bigint, seg bigint, n bigint, bytes binary").repartition(parts, "anchor").sortWithinPartitions("anchor", "seg")
+    packed = pack(docs)
+    met = packed.join(wanted, _same_doc(packed, wanted)).select("z", "segs")
+    pieces = met.mapInArrow(cut, "anchor bigint, seg bigint, n bigint, hot boolean, bytes binary")
+    shards = pieces.where("not hot").drop("hot").repartition(parts, "anchor").sortWithinPartitions("anchor", "seg")
 
     def judge(rows: list[tuple], rolling):
         masks = repeated_windows([r[3] for r in rows], WINDOW, folder, QUEUE_BYTES, rolling)
@@ -367,6 +403,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
             yield judge(rows, rolling)
 
     runs = stored(shards.mapInArrow(sort, "anchor bigint, seg bigint, runs array<struct<lo:bigint,hi:bigint>>"))
+    if not hot.isEmpty():
+        runs = runs.union(counted_runs(pieces.where("hot").dropDuplicates(["anchor", "seg"])))
     whole = distinct.where("n > 1").select("anchor", "seg", F.lit(None).cast("array<struct<lo:bigint,hi:bigint>>").alias("runs"))
     verdict = whole.union(runs)
     back = found.join(verdict, ["anchor", "seg"]).select(
@@ -375,19 +413,20 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     return back.groupBy("doc_id", "th").agg(F.collect_list("s").alias("spans"))
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, max_segments: int = MAX_SEGMENTS) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if wanted, the bytes kept."""
     spark = docs.sparkSession
     short_batches(spark)
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th"), F.col(text_col).alias("text"))
-    spans = repeated_spans(docs)
-    joined = docs.join(spans, _same_doc(docs, spans), "left").select(docs["doc_id"], "text", "spans")
+    spans = repeated_spans(docs, max_segments)
+    packed = pack(docs)
+    joined = packed.join(spans, _same_doc(packed, spans), "left").select(packed["doc_id"], "z", "spans")
 
     def cut(batches):
         for b in batches:
             out: list[list] = [[] for _ in range(5)]
-            for text, runs in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                raw = (text or "").encode("utf-8", "surrogatepass")
+            for z, runs in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                raw = zstandard.decompress(z)
                 kept, removed, n = raw, 0, 0
                 if runs:
                     change = np.zeros(len(raw) + 1, np.int64)
