@@ -160,3 +160,37 @@ _TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.list_(
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("spans")
+
+
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = f"regexp_extract_all({_LOWER.format("coalesce({}, '')")}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')"
+ORACLE_SQL = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, {_WORDS.replace("coalesce({}", "coalesce(text")} AS ws FROM documents
+), b AS (
+  SELECT item_id, {_WORDS.replace("coalesce({}", "coalesce(text")} AS ws FROM benchmark
+), bn AS (
+  SELECT item_id, ws, least({WINDOW}, len(ws)) AS n FROM b WHERE len(ws) > 0
+), bi AS (
+  SELECT item_id, ws, n, unnest(range(len(ws) - n + 1)) AS i FROM bn
+), bw AS (
+  SELECT DISTINCT item_id, n, array_to_string(list_slice(ws, i + 1, i + n), ' ') AS w FROM bi
+), lengths AS (
+  SELECT DISTINCT n FROM bw
+), dn AS (
+  SELECT d.r, d.ws, l.n FROM d JOIN lengths l ON len(d.ws) >= l.n
+), di AS (
+  SELECT r, ws, n, unnest(range(len(ws) - n + 1)) AS i FROM dn
+), dw AS (
+  SELECT r, n, i, array_to_string(list_slice(ws, i + 1, i + n), ' ') AS w FROM di
+), hits AS (
+  SELECT dw.r, dw.n, dw.i, bw.item_id FROM dw JOIN bw ON dw.n = bw.n AND dw.w = bw.w
+), places AS (
+  SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM hits) GROUP BY r
+), items AS (
+  SELECT r, count(*) AS n_items, string_agg(k, ',' ORDER BY k) AS ids FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS k FROM hits) GROUP BY r
+)
+SELECT d.doc_id, CAST(len(d.ws) AS BIGINT) AS n_words, coalesce(p.n_hit, 0) AS n_hit, coalesce(i.n_items, 0) AS n_items,
+       sha256(coalesce(i.ids, '')) AS items_sha256, coalesce(i.n_items, 0) >= {MIN_ITEMS} AS contaminated
+FROM d LEFT JOIN places p ON d.r = p.r LEFT JOIN items i ON d.r = i.r
+"""
