@@ -12,7 +12,7 @@ from vellum.operators import sequence
 def is_candidate(text: Column, font: Column, digits: bool = True) -> Column:
     """A mathematical font, symbols or Greek, or digits."""
     t = F.trim(text)
-    out = T.is_math_font(font) | t.rlike(f"[{T.MATH_SYMBOLS}{T.GREEK}]") | t.rlike(r"^\p{Sm}+$")
+    out = T.is_math_font(font) | (T.count_of(t, T.MATH_SYMBOLS + T.GREEK) > 0) | t.rlike(r"^\p{Sm}+$")
     return (t != "") & ((out | t.rlike("^[0-9]+$")) if digits else out)
 
 
@@ -30,7 +30,7 @@ def fragment_kind(text: Column, font: Column) -> Column:
     t = F.trim(text)
     return (
         F.when(t.rlike(r"^\([0-9]{1,3}\)$"), "equation_number")
-        .when(T.is_math_font(font) | t.rlike(f"[{T.GREEK}{T.MATH_SYMBOLS}]"), "math_glyph")
+        .when(T.is_math_font(font) | (T.count_of(t, T.GREEK + T.MATH_SYMBOLS) > 0), "math_glyph")
         .when(F.lower(t).rlike(r"^(?:if|otherwise|where|and|for|with|subject|to|s\.t\.)$"), "condition_word")
         .when(t.rlike(r"^[^\w\s]+$"), "punctuation")
         .when(t.rlike(r"[A-Za-z]{2,}\s+[A-Za-z]{2,}"), "prose")

@@ -27,7 +27,7 @@ def density_profile(df: DataFrame, src: str = "src") -> DataFrame:
     out = df.withColumn("raw_", raw).withColumn("tokens_", F.regexp_extract_all("raw_", F.lit(T.TOKEN), F.lit(0)))
     prose = f"(lower(t) in ('a', 'i') or (length(t) > 1 and lower(t) not in ({_in(T.FUNCTION_WORDS)}) and (lower(t) in ({_in(T.PROSE_WORDS)}) or t = lower(t))))"
     function = f"(length(t) > 1 and lower(t) in ({_in(T.FUNCTION_WORDS)}))"
-    marks = {k: F.regexp_count("raw_", F.lit(f"[{v}]")) for k, v in (("math_symbol_count", T.MATH_SYMBOLS), ("relation_operator_count", T.RELATIONS), ("greek_count", T.GREEK))}
+    marks = {k: T.count_of(F.col("raw_"), v) for k, v in (("math_symbol_count", T.MATH_SYMBOLS), ("relation_operator_count", T.RELATIONS), ("greek_count", T.GREEK))}
     placeholders = [F.regexp_extract_all(F.col(src), F.lit(p), F.lit(0)) for p in (T.FORMULA, T.PROTECTED)]
     chars = lambda a: F.length(F.array_join(a, ""))
     out = out.withColumns(
