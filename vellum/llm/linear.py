@@ -50,24 +50,26 @@ def _shares(raw: bytes) -> set[bytes]:
 class Vocabulary:
     """Numbers of the chosen features in a text; what a word brings is kept, so a word is looked into once."""
 
-    KEPT = 300_000
+    KEPT = 400_000
 
     def __init__(self, words: list[bytes]):
-        self.index, self.memo = {w: i for i, w in enumerate(words)}, {}
+        self.index = {w: i for i, w in enumerate(words)}
+        self.known: set[bytes] = set()
+        self.hits: dict[bytes, tuple[int, ...]] = {}
 
     def numbers(self, text: str | None) -> list[int]:
-        raw = (text or "").encode("utf-8", "surrogatepass")
-        memo, index = self.memo, self.index
+        raw, index = (text or "").encode("utf-8", "surrogatepass"), self.index
         found = {index[f] for f in _shares(raw) if f in index}
-        for w in set(raw.translate(_LETTERS).split()):
-            own = memo.get(w)
-            if own is None:
-                forms = [w, *([w[:4] + b"*"] if len(w) > 4 else []), *([w[:5] + b"*"] if len(w) > 5 else [])]
-                own = memo[w] = tuple(index[f] for f in forms if f in index)
-                if len(memo) > self.KEPT:
-                    memo.clear()
-            if own:
-                found.update(own)
+        words = set(raw.translate(_LETTERS).split())
+        for w in words - self.known:
+            forms = [w, *([w[:4] + b"*"] if len(w) > 4 else []), *([w[:5] + b"*"] if len(w) > 5 else [])]
+            if own := tuple(index[f] for f in forms if f in index):
+                self.hits[w] = own
+        for w in self.hits.keys() & words:
+            found.update(self.hits[w])
+        self.known |= words
+        if len(self.known) > self.KEPT:
+            self.known, self.hits = set(), {}
         return sorted(found)
 
 
