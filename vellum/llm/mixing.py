@@ -41,7 +41,12 @@ class Softmax:
     """One weight vector for each domain over a shared vocabulary."""
 
     def __init__(self, names, vocabulary, models):
-        self.names, self.index, self.models = list(names), linear.Vocabulary(vocabulary), models
+        self.names, self.words, self.models = list(names), vocabulary, models
+        self.index = linear.Vocabulary(vocabulary)
+
+    def plain(self) -> tuple:
+        """What a broadcast carries: no class of this package, which executors needn't have."""
+        return self.names, self.words, self.models
 
     def posteriors(self, texts: list) -> np.ndarray:
         k = len(self.names)
@@ -69,12 +74,14 @@ def train_domains(docs: DataFrame, labels: DataFrame, names=DOMAINS, *, rows: in
 def with_posteriors(docs: DataFrame, model: Softmax, text_col: str = "text") -> DataFrame:
     """docs plus ``mix_``: struct of n (words) and p (posteriors)."""
     short_batches(docs.sparkSession)
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held, built = docs.sparkSession.sparkContext.broadcast(model.plain()), {}
 
     @F.pandas_udf("n bigint, p array<double>")
     def score(texts: pd.Series) -> pd.DataFrame:
+        if not built:
+            built["model"] = Softmax(*held.value)
         values = texts.tolist()
-        return pd.DataFrame({"n": [linear.n_words(t) for t in values], "p": list(held.value.posteriors(values))})
+        return pd.DataFrame({"n": [linear.n_words(t) for t in values], "p": list(built["model"].posteriors(values))})
 
     return docs.withColumn("mix_", score(F.col(text_col)))
 

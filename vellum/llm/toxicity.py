@@ -34,7 +34,12 @@ class Chain:
     """names, vocabulary and one (w, v, bias) for each category; v weighs the earlier categories' log odds."""
 
     def __init__(self, names, vocabulary, models):
-        self.names, self.index, self.models = list(names), linear.Vocabulary(vocabulary), models
+        self.names, self.words, self.models = list(names), vocabulary, models
+        self.index = linear.Vocabulary(vocabulary)
+
+    def plain(self) -> tuple:
+        """What a broadcast carries: no class of this package, which executors needn't have."""
+        return self.names, self.words, self.models
 
     def probabilities(self, texts: list) -> np.ndarray:
         out = np.zeros((len(texts), len(self.names)))
@@ -74,12 +79,14 @@ def train_chain(docs: DataFrame, labels: DataFrame, names=CHAIN, *, rows: int =
 def with_toxicity(docs: DataFrame, chain: Chain, text_col: str = "text", prefix: str = "p_") -> DataFrame:
     """docs plus one probability column for each category."""
     short_batches(docs.sparkSession)
-    held = docs.sparkSession.sparkContext.broadcast(chain)
+    held, built = docs.sparkSession.sparkContext.broadcast(chain.plain()), {}
     names = [f"{prefix}{n}" for n in chain.names]
 
     @F.pandas_udf(", ".join(f"{n} double" for n in names))
     def score(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(held.value.probabilities(texts.tolist()), columns=names)
+        if not built:
+            built["chain"] = Chain(*held.value)
+        return pd.DataFrame(built["chain"].probabilities(texts.tolist()), columns=names)
 
     scored = docs.withColumn("toxicity_", score(F.col(text_col)))
     return scored.select(*docs.columns, *(F.col("toxicity_")[n].alias(n) for n in names))
