@@ -83,7 +83,8 @@ def with_posteriors(docs: DataFrame, model: Softmax, text_col: str = "text") ->
         values = texts.tolist()
         return pd.DataFrame({"n": [linear.n_words(t) for t in values], "p": list(built["model"].posteriors(values))})
 
-    return docs.withColumn("mix_", score(F.col(text_col)))
+    # not marked deterministic: else a filter on the rate would have the texts scored a second time
+    return docs.withColumn("mix_", score.asNondeterministic()(F.col(text_col)))
 
 
 def rate_of(p: Column, steps: list[np.ndarray], k: int) -> Column:
