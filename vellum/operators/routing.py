@@ -27,13 +27,14 @@ def density_profile(df: DataFrame, src: str = "src") -> DataFrame:
     out = df.withColumn("raw_", raw).withColumn("tokens_", F.regexp_extract_all("raw_", F.lit(T.TOKEN), F.lit(0)))
     prose = f"(lower(t) in ('a', 'i') or (length(t) > 1 and lower(t) not in ({_in(T.FUNCTION_WORDS)}) and (lower(t) in ({_in(T.PROSE_WORDS)}) or t = lower(t))))"
     function = f"(length(t) > 1 and lower(t) in ({_in(T.FUNCTION_WORDS)}))"
-    marks = {k: T.count_of(F.col("raw_"), v) for k, v in (("math_symbol_count", T.MATH_SYMBOLS), ("relation_operator_count", T.RELATIONS), ("greek_count", T.GREEK))}
+    # most texts hold no such character at all; a few ranges tell
+    some = F.col("raw_").rlike(T.MAY_BE_MATH)
+    marks = {k: F.when(some, T.count_of(F.col("raw_"), v)).otherwise(0) for k, v in (("math_symbol_count", T.MATH_SYMBOLS), ("relation_operator_count", T.RELATIONS), ("greek_count", T.GREEK))}
     placeholders = [F.regexp_extract_all(F.col(src), F.lit(p), F.lit(0)) for p in (T.FORMULA, T.PROTECTED)]
     chars = lambda a: F.length(F.array_join(a, ""))
     out = out.withColumns(
         {
             "prose_": F.expr(f"filter(tokens_, t -> {prose})"),
-            "math_": F.expr(f"filter(tokens_, t -> not {prose})"),
             "functions_": F.expr(f"filter(tokens_, t -> {function})"),
             **marks,
             "digits_": F.regexp_count("raw_", F.lit("[0-9]")),
@@ -46,13 +47,13 @@ def density_profile(df: DataFrame, src: str = "src") -> DataFrame:
         {
             "source_char_count": source,
             "prose_char_count": chars(F.col("prose_")),
-            "math_char_count": chars(F.col("math_")) + F.col("math_symbol_count") + F.col("greek_count") + F.col("digits_") + F.col("placeholder_chars_"),
-            "latin_identifier_count": F.size("math_") - F.size("functions_"),
+            "math_char_count": chars(F.col("tokens_")) - chars(F.col("prose_")) + F.col("math_symbol_count") + F.col("greek_count") + F.col("digits_") + F.col("placeholder_chars_"),
+            "latin_identifier_count": F.size("tokens_") - F.size("prose_") - F.size("functions_"),
             "numeric_token_count": F.regexp_count("raw_", F.lit(T.NUMBER)),
             "has_equation_reference": F.col("raw_").rlike(r"\([0-9]{1,3}\)|(?i)eq\.?\s*\(?[0-9]"),
         }
     )
-    return out.withColumns({"prose_ratio": F.col("prose_char_count") / source, "math_ratio": F.col("math_char_count") / source}).drop("raw_", "tokens_", "prose_", "math_", "functions_", "digits_", "placeholder_chars_")
+    return out.withColumns({"prose_ratio": F.col("prose_char_count") / source, "math_ratio": F.col("math_char_count") / source}).drop("raw_", "tokens_", "prose_", "functions_", "digits_", "placeholder_chars_")
 
 
 def has_math() -> Column:

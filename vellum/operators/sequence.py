@@ -49,16 +49,35 @@ def valleys(df: DataFrame, keys: list[str], position: str, value: str, threshold
 
 def cluster_1d(df: DataFrame, keys: list[str], value: str, tolerance: float, order: list[str] = ()) -> DataFrame:
     """Greedy clusters along sorted values: a value joins the last cluster if it is at most ``tolerance`` over the
-    cluster's running mean. A fold over the group's sorted values; keys must bound the group (a page, a table)."""
-    rows = F.array_sort(F.collect_list(F.struct(F.col(value).cast("double").alias("v"), *order, "id_")))
-    grouped = df.groupBy(*keys).agg(rows.alias("rows_"))
-    # of all clusters only the last one's sum, size and number are carried
-    step = f"""aggregate(rows_, named_struct('s', cast(0 as double), 'n', 0, 'k', -1, 'out', cast(array() as array<int>)), (a, r) ->
-        if(a.n > 0 and r.v - a.s / a.n <= {tolerance},
-           named_struct('s', a.s + r.v, 'n', a.n + 1, 'k', a.k, 'out', concat(a.out, array(a.k))),
-           named_struct('s', r.v, 'n', 1, 'k', a.k + 1, 'out', concat(a.out, array(a.k + 1)))))"""
-    folded = grouped.select(*keys, F.explode(F.arrays_zip("rows_", F.expr(step)["out"].alias("cluster"))).alias("z"))
-    return folded.select(*keys, F.col("z")["rows_"]["id_"].alias("id_"), F.col("z")["cluster"].alias("cluster"))
+    cluster's running mean. df has ``id_``; returns keys, id_, cluster. A running mean has no associative form: rows are
+    sorted within hash partitions and folded once in Arrow batches; only a sum and a count are carried, so a group may be
+    of any length. Null values have cluster -1."""
+    import numpy as np
+    import pyarrow as pa
+
+    rows = df.select(*keys, "id_", F.col(value).cast("double").alias("v_"), *order, F.xxhash64(*keys).alias("g_"))
+    placed = rows.repartition(*keys).sortWithinPartitions(*keys, "v_", *order, "id_").select(*keys, "id_", "v_", "g_")
+    kept = len(keys) + 1
+
+    def fold(batches):
+        group, total, n, k = None, 0.0, 0, -1
+        for b in batches:
+            out = np.empty(b.num_rows, np.int32)
+            for i, (v, g) in enumerate(zip(b.column(kept).to_pylist(), b.column(kept + 1).to_pylist(), strict=True)):
+                if v is None:
+                    out[i] = -1
+                elif g != group:
+                    group, total, n, k = g, v, 1, 0
+                elif v - total / n <= tolerance:
+                    total += v
+                    n += 1
+                else:
+                    total, n, k = v, 1, k + 1
+                out[i] = k
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(kept)), pa.array(out)], names=[*keys, "id_", "cluster"])
+
+    types = dict(df.dtypes)
+    return placed.mapInArrow(fold, ", ".join(f"`{c}` {types[c]}" for c in [*keys, "id_"]) + ", cluster int")
 
 
 def median_gap(df: DataFrame, keys: list[str], order: list[str], lo: str, hi: str, least: float = 2, most: float = 40, clamp=(3.0, 14.0), default: float = 8.0) -> DataFrame:
