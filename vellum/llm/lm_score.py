@@ -204,6 +204,8 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ma
 
     def run(batches):
         bits, keys, n = sent.value
+        middle = from_level(np.arange(most + 2))  # counts by level
+        logs = np.append(np.log10((n + 1) / denominator), 0.0)  # of common tokens; last: not one of them
         for b in batches:
             each = [token_hashes(t) for t in b.column(1).to_pylist()]
             if not each:
@@ -211,13 +213,13 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ma
             lengths = np.array([len(t) for t in each])
             first = np.concatenate(([0], np.cumsum(lengths)))[:-1]
             tokens = np.concatenate(each)
-            c1 = from_level(read_levels(bits, tokens, probes, most))
+            c1 = middle[read_levels(bits, tokens, probes, most)]
             p = (c1 + 1) / (z + vocabulary + 1)
             follows = np.ones(len(tokens), bool)
             follows[first] = False
             at = np.flatnonzero(follows)
             if len(at):
-                c2 = from_level(read_levels(bits, bigram_hashes_at(tokens, at), probes, most))
+                c2 = middle[read_levels(bits, bigram_hashes_at(tokens, at), probes, most)]
                 before = c1[at - 1]
                 seen = before > 0
                 p[at] = np.where(seen, weight * np.minimum(1, c2 / np.maximum(before, 1)) + (1 - weight) * p[at], p[at])
@@ -225,7 +227,7 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ma
             where = np.searchsorted(keys, tokens)
             where[where == len(keys)] = 0
             known = keys[where] == tokens if len(keys) else np.zeros(len(tokens), bool)
-            base = np.where(known, np.log10((np.where(known, n[where], 0) + 1) / denominator), 0.0) if len(keys) else np.zeros(len(tokens))
+            base = logs[np.where(known, where, len(n))]
             rare = [np.unique(t[~k], return_counts=True) for t, k in zip(each, np.split(known, first[1:]), strict=True)]
             offsets = np.concatenate(([0], np.cumsum([len(u) for u, _ in rare]))).astype(np.int32)
             tail = pa.StructArray.from_arrays([pa.array(np.concatenate([u for u, _ in rare]).view(np.int64)), pa.array(np.concatenate([k for _, k in rare]).astype(np.int32))], names=["key", "k"])
