@@ -6,7 +6,7 @@ tokens and posterior p_i, taken at rate r_i, adds n_i p_i r_i to the expected do
     minimise  sum_i n_i (r_i - 1)^2   subject to   sum_i n_i p_i r_i = target,  r_i >= 0
 
 as nearly as can be: projected-gradient least squares on the misfit, in the metric of the tokens. With
-M = sum_i n_i p_i p_i' the step is r_i <- max(0, r_i - p_i . y), y = M^-1 (sum n p r - target), which without clipping
+M = sum n p p' over the documents whose rate is above zero, the step is r_i <- max(0, r_i - p_i . y), y = M^-1 (sum n p r - target), which without clipping
 is exact after one round. A round moves one vector of as many numbers as there are domains to the driver; the rates are
 recomputed in each row from the short list of these vectors, so no rate column is ever stored or shuffled.
 
@@ -33,8 +33,12 @@ from vellum.llm._common import documents, short_batches, stored
 DOMAINS = ("high", "low", "toxic")
 TARGET = {"high": 0.90, "low": 0.10, "toxic": 0.0}
 KEEP = "high"
-ROUNDS = 25
-TOLERANCE = 1e-6
+ROUNDS = 10
+TOLERANCE = 1e-5
+#: A round that leaves more than this share of the misfit is the last.
+STALL = 0.98
+#: Share of the metric over all documents that is added to that over the free ones, so few free documents don't make wide steps.
+DAMPING = 0.05
 
 
 class Softmax:
@@ -106,17 +110,19 @@ def fit_rates(rows: DataFrame, names, target: dict[str, float], keep: str, round
     share = share / share.sum()
     at = list(names).index(keep)
     goal = share * (before[at] / share[at] if share[at] > 0 else before.sum())
-    metric = metric + np.eye(k) * max(1e-9, 1e-6 * np.trace(metric) / k)
-    steps, now = [], before
+    steps, now, last, whole = [], before, np.inf, metric
     for _ in range(rounds):
-        if np.abs(now - goal).sum() <= TOLERANCE * max(1.0, goal.sum()):
-            break
-        steps.append(np.linalg.solve(metric, now - goal))
+        off = np.abs(now - goal).sum()
+        if off <= TOLERANCE * max(1.0, goal.sum()) or off >= last * STALL:
+            break  # met, or what is left can't be matched with rates of zero or more
+        last = off
+        ridged = metric + DAMPING * whole + np.eye(k) * max(1e-9, 1e-6 * np.trace(metric) / k)
+        steps.append(np.linalg.solve(ridged, now - goal))
         r = rate_of(p, steps, k)
-        now = np.array([x or 0.0 for x in rows.agg(*(F.sum(n * p[i] * r) for i in range(k))).first()])
-        if len(steps) > 3 and np.abs(now - goal).sum() >= last * 0.999:
-            break  # what is left can't be matched with rates of zero or more
-        last = np.abs(now - goal).sum()
+        free = F.when(F.col("r_") > 0, n)  # documents at rate zero can't give way any more
+        found = rows.withColumn("r_", r).agg(*(F.sum(n * p[i] * F.col("r_")) for i in range(k)), *(F.sum(free * p[i] * p[j]) for i in range(k) for j in range(k))).first()
+        now = np.array([x or 0.0 for x in found[:k]])
+        metric = np.array([x or 0.0 for x in found[k:]]).reshape(k, k)
     return steps, {"before": before.tolist(), "goal": goal.tolist(), "after": now.tolist()}
 
 
