@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import decontaminate, hilbert, mixing, simhash, toxicity
+from vellum.llm import decontaminate, hilbert, mixing, near_copies, toxicity
 from vellum.llm._common import stored
 
 #: Shares of tokens by domain; the tokens of "high" stay as they are.
@@ -25,9 +25,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group: the one with the smallest id, and of repeated rows with that id one."""
-    groups = simhash.near_duplicates(docs.select("doc_id", "text"))
-    kept = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("kept_id_")).distinct()
+    """One document of each group of near copies (five-word shingles, similarity of 0.8 or more): the one with the smallest id, and of repeated rows with that id one."""
+    groups = near_copies.near_copies(docs.select("doc_id", "text"))
+    kept = groups.groupBy("root").agg(F.min("doc_id").alias("kept_id_")).select("kept_id_").distinct()
     return docs.join(kept, F.col("doc_id") == F.col("kept_id_"), "left_semi").dropDuplicates(["doc_id"])
 
 
