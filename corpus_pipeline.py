@@ -25,10 +25,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity of 0.8 or more): the one with the smallest id, and of repeated rows with that id one."""
+    """One document of each group of near copies (five-word shingles, similarity of 0.8 or more): the one with the smallest
+    id, then the smallest text hash, and of equal rows one. A null id ranks after all others; repeated ids with texts of
+    different groups each stay."""
     groups = near_copies.near_copies(docs.select("doc_id", "text"))
-    kept = groups.groupBy("root").agg(F.min("doc_id").alias("kept_id_")).select("kept_id_").distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("kept_id_"), "left_semi").dropDuplicates(["doc_id"])
+    least = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("row"))
+    kept = least.select(F.col("row.doc_id").alias("kept_id_"), F.col("row.text_hash").alias("kept_hash_"))
+    keyed = docs.withColumn("text_hash_", F.xxhash64(F.coalesce("text", F.lit(""))))
+    same = F.col("doc_id").eqNullSafe(F.col("kept_id_")) & (F.col("text_hash_") == F.col("kept_hash_"))
+    return keyed.join(kept, same, "left_semi").dropDuplicates(["doc_id", "text_hash_"]).drop("text_hash_")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -53,3 +53,9 @@ def test_real_documents(spark):
     want = brute_groups([r.text for r in rows])
     kept = {r.doc_id for r in cp.drop_near_duplicates(spark, docs, "").collect()}
     assert kept == {rows[i].doc_id for i in set(want)}
+
+
+def test_stage_with_null_and_repeated_ids(spark, docs_of):
+    rows = [(None, "alone one"), (None, "alone two"), (None, "copied text"), (4, "copied text"), (5, "a text"), (5, "another text"), (5, "a text"), (6, "another text"), (None, None), (7, "")]
+    kept = [(r.doc_id, r.text) for r in cp.drop_near_duplicates(spark, docs_of(rows), "").collect()]
+    assert sorted(kept, key=str) == sorted([(None, "alone one"), (None, "alone two"), (4, "copied text"), (5, "a text"), (5, "another text"), (7, "")], key=str)
