@@ -4,8 +4,9 @@ Counts are gathered over all training rows: unigrams of every document, and bigr
 A count c is stored as q = 1 + floor(log_b c): the filter holds the pairs (n-gram, 1) .. (n-gram, q), so a count is read
 back by probing j = 1, 2, ... until a probe fails, and a false positive can only overstate it, with falling odds. The
 filter is built by tasks, each of which sets the bits of its own slice of the bit array; the slices are put together
-and broadcast. Its size follows the number of stored pairs up to ``max_filter_bytes``; beyond, the same bits hold more
-pairs (with fewer hash functions each), so that nothing is left out and only the odds of false positives rise.
+and broadcast. Its size follows the number of stored pairs, with the same bits and probes for each at every size; it is
+cut by key slice into parts of at most ``max_filter_bytes``. A task loads one part after another for a bounded run of
+tokens, and each key is read from the one part that holds it, so no worker holds two parts.
 
 The model interpolates: P(w | h) = a * min(1, c(hw) / c(h)) + (1 - a) * (c(w) + 1) / (Z + V + 1), all c read from the
 filter, Z the sum of what the filter would return for the vocabulary, a = ``weight`` if h was seen, else 0. Bigrams met
@@ -38,7 +39,10 @@ BASE = 1.5
 BITS_PER_PAIR = 10
 #: Hash functions at most: at 10 bits a pair, four give a false positive in eighty probes.
 PROBES = 4
+#: Bytes of a part of the filter.
 MAX_FILTER_BYTES = 128 << 20
+#: Tokens whose levels are gathered over all parts at once.
+RUN_TOKENS = 4_000_000
 SLICE_BYTES = 1 << 20
 MIN_BIGRAM = 2
 WEIGHT = 0.25
@@ -87,11 +91,13 @@ def _slot(h: np.ndarray, i: int) -> np.ndarray:
     return ((h & np.uint64(0xFFFFFFFF)) + np.uint64(i) * ((h >> np.uint64(32)) | np.uint64(1))) % np.uint64(SLICE_BYTES * 8)
 
 
-def read_levels(bitmap: np.ndarray, keys: np.ndarray, probes: int, most: int) -> np.ndarray:
-    """Repeated membership probes: for each key the largest q such that (key, 1) .. (key, q) are all found."""
+def read_levels(bitmap: np.ndarray, keys: np.ndarray, probes: int, most: int, part: int = 0, slices: int | None = None, per_part: int | None = None) -> np.ndarray:
+    """Repeated membership probes: for each key the largest q such that (key, 1) .. (key, q) are all found; 0 for keys of other parts."""
+    slices = slices or len(bitmap) // SLICE_BYTES
     uniq, back = np.unique(keys, return_inverse=True)
-    q, live = np.zeros(len(uniq), np.int64), np.arange(len(uniq))
-    first = ((uniq >> np.uint64(20)) % np.uint64(len(bitmap) // SLICE_BYTES)) * np.uint64(SLICE_BYTES * 8)
+    own = ((uniq >> np.uint64(20)) % np.uint64(slices)).astype(np.int64) - part * (per_part or slices)
+    q, live = np.zeros(len(uniq), np.int64), np.flatnonzero((own >= 0) & (own < len(bitmap) // SLICE_BYTES))
+    first = own.astype(np.uint64) * np.uint64(SLICE_BYTES * 8)
     for j in range(1, most + 1):
         h = _pair_hash(uniq[live], j)
         for i in range(probes):  # each probe goes on with what the last left
@@ -145,16 +151,22 @@ def count_ngrams(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "kind tinyint, key bigint, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
-def build_filter(spark: SparkSession, counts: DataFrame, max_filter_bytes: int) -> tuple[np.ndarray, int, int]:
-    """(bit array, probes, highest level) from counts(kind, key, n). A key's pairs lie in one slice of the bits, so a task builds a slice alone."""
-    base = math.log(BASE)
-    q = (F.floor(F.log("n") / base + 1e-9) + 1).cast("int")
-    wanted = counts.select("key", q.alias("q"))
-    total, most = wanted.agg(F.coalesce(F.sum("q"), F.lit(0)), F.coalesce(F.max("q"), F.lit(0))).first()
-    slices = max(1, min(max_filter_bytes // SLICE_BYTES, -(-total * BITS_PER_PAIR // (SLICE_BYTES * 8))))
-    bits = slices * SLICE_BYTES * 8
-    probes = max(1, min(PROBES, round(0.69 * bits / max(1, total))))
-    groups = min(slices, plan_partitions(spark))
+def filter_shape(counts: DataFrame) -> tuple[int, int]:
+    """(slices, highest level) of the filter over counts(key, n)."""
+    total, most = counts.select(_level().alias("q")).agg(F.coalesce(F.sum("q"), F.lit(0)), F.coalesce(F.max("q"), F.lit(0))).first()
+    return max(1, -(-total * BITS_PER_PAIR // (SLICE_BYTES * 8))), int(most)
+
+
+def _level():
+    return (F.floor(F.log("n") / math.log(BASE) + 1e-9) + 1).cast("int")
+
+
+def build_filter(spark: SparkSession, counts: DataFrame, max_filter_bytes: int, part: int = 0, shape: tuple[int, int] | None = None) -> tuple[np.ndarray, int, int]:
+    """(bit array of one part, probes, highest level) from counts(kind, key, n). A key's pairs lie in one slice of the bits, so a task builds a slice alone."""
+    slices, most = shape or filter_shape(counts)
+    per_part = max(1, max_filter_bytes // SLICE_BYTES)
+    low, high, probes = part * per_part, min(slices, (part + 1) * per_part), PROBES
+    groups = min(high - low, plan_partitions(spark))
 
     def slice_of(batches):
         """Rows arrive sorted by slice: one slice is held at a time."""
@@ -178,12 +190,12 @@ def build_filter(spark: SparkSession, counts: DataFrame, max_filter_bytes: int)
     def out(current, flags):
         return pa.RecordBatch.from_arrays([pa.array([int(current)], pa.int32()), pa.array([np.packbits(flags, bitorder="little").tobytes()])], names=["slice", "bytes"])
 
-    dealt = wanted.select((F.shiftrightunsigned("key", 20) % slices).cast("int").alias("slice"), "key", "q")
+    dealt = counts.select((F.shiftrightunsigned("key", 20) % slices).cast("int").alias("slice"), "key", _level().alias("q")).where(F.col("slice").between(low, high - 1))
     made = dealt.repartition(groups, "slice").sortWithinPartitions("slice").mapInArrow(slice_of, "slice int, bytes binary")
-    bitmap = np.zeros(bits // 8, np.uint8)
+    bitmap = np.zeros((high - low) * SLICE_BYTES, np.uint8)
     for row in made.toLocalIterator():  # at most max_filter_bytes, a slice at a time
-        bitmap[row.slice * SLICE_BYTES : (row.slice + 1) * SLICE_BYTES] = np.frombuffer(row.bytes, np.uint8)
-    return bitmap, probes, int(most)
+        bitmap[(row.slice - low) * SLICE_BYTES : (row.slice - low + 1) * SLICE_BYTES] = np.frombuffer(row.bytes, np.uint8)
+    return bitmap, probes, most
 
 
 def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_filter_bytes: int = MAX_FILTER_BYTES, weight: float = WEIGHT, head: int = HEAD) -> DataFrame:
@@ -198,28 +210,54 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ma
     least = max(1, -(-n_all // head))
     common = unigrams.where(F.col("n") >= least).toPandas()  # at most head rows: their counts sum to n_all
     order = np.argsort(head_keys := common["key"].to_numpy(np.int64).view(np.uint64))
-    bitmap, probes, most = build_filter(spark, counts, max_filter_bytes)
-    sent = spark.sparkContext.broadcast((bitmap, head_keys[order], common["n"].to_numpy(np.int64)[order]))
+    shape = slices, most = filter_shape(counts)
+    per_part = max(1, max_filter_bytes // SLICE_BYTES)
+    parts = [spark.sparkContext.broadcast(build_filter(spark, counts, max_filter_bytes, i, shape)[0]) for i in range(-(-slices // per_part))]
+    sent = spark.sparkContext.broadcast((head_keys[order], common["n"].to_numpy(np.int64)[order]))
     denominator = n_all + vocabulary + 1
 
+    def runs(batches):
+        """Batches with their token hashes, in runs of RUN_TOKENS or little more."""
+        held, size = [], 0
+        for b in batches:
+            each = [token_hashes(t) for t in b.column(1).to_pylist()]
+            if each:
+                held.append((b.column(0), each))
+                size += sum(map(len, each))
+            if len(parts) == 1 or size >= RUN_TOKENS:  # one part stays loaded, so nothing is gained by waiting
+                yield held
+                held, size = [], 0
+        yield held
+
     def run(batches):
-        bits, keys, n = sent.value
+        keys, n = sent.value
         middle = from_level(np.arange(most + 2))  # counts by level
         logs = np.append(np.log10((n + 1) / denominator), 0.0)  # of common tokens; last: not one of them
-        for b in batches:
-            each = [token_hashes(t) for t in b.column(1).to_pylist()]
-            if not each:
-                continue
+        for held in runs(batches):
+            levels = [[None, None] for _ in held]
+            for i, sent_part in enumerate(parts if held else []):
+                bits = sent_part.value
+                for (_, each), found in zip(held, levels, strict=True):
+                    tokens = np.concatenate(each)
+                    for k, wanted in enumerate((tokens, bigram_hashes(tokens))):  # those that span two texts aren't used
+                        q = read_levels(bits, wanted, PROBES, most, i, slices, per_part).astype(np.uint8)
+                        found[k] = q if found[k] is None else found[k] + q
+                if len(parts) > 1:
+                    del bits, sent_part._value  # read again from the worker's disk for the next run
+            yield from scored(held, levels, keys, n, middle, logs)
+
+    def scored(held, levels, keys, n, middle, logs):
+        for (ids, each), (q1, q2) in zip(held, levels, strict=True):
             lengths = np.array([len(t) for t in each])
             first = np.concatenate(([0], np.cumsum(lengths)))[:-1]
             tokens = np.concatenate(each)
-            c1 = middle[read_levels(bits, tokens, probes, most)]
+            c1 = middle[q1]
             p = (c1 + 1) / (z + vocabulary + 1)
             follows = np.ones(len(tokens), bool)
             follows[first] = False
             at = np.flatnonzero(follows)
             if len(at):
-                c2 = middle[read_levels(bits, bigram_hashes_at(tokens, at), probes, most)]
+                c2 = middle[q2[at - 1]]
                 before = c1[at - 1]
                 seen = before > 0
                 p[at] = np.where(seen, weight * np.minimum(1, c2 / np.maximum(before, 1)) + (1 - weight) * p[at], p[at])
@@ -232,7 +270,7 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ma
             offsets = np.concatenate(([0], np.cumsum([len(u) for u, _ in rare]))).astype(np.int32)
             tail = pa.StructArray.from_arrays([pa.array(np.concatenate([u for u, _ in rare]).view(np.int64)), pa.array(np.concatenate([k for _, k in rare]).astype(np.int32))], names=["key", "k"])
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(_held_out(b.column(0).to_pylist())), pa.array(lengths.astype(np.int64)), pa.array(np.add.reduceat(known.astype(np.int64), first)), pa.array(np.add.reduceat(base, first)), pa.array(total), pa.ListArray.from_arrays(pa.array(offsets), tail)],
+                [ids, pa.array(_held_out(ids.to_pylist())), pa.array(lengths.astype(np.int64)), pa.array(np.add.reduceat(known.astype(np.int64), first)), pa.array(np.add.reduceat(base, first)), pa.array(total), pa.ListArray.from_arrays(pa.array(offsets), tail)],
                 names=["doc_id", "held_out", "n_tokens", "known_head", "base_head", "score", "tail"],
             )
 
@@ -252,10 +290,5 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ma
     )
 
 
-def bigram_hashes_at(tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Bigrams that end at the given places."""
-    return mix(tokens[at - 1] * _GOLD + tokens[at])
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(documents(spark, sf_dir))
