@@ -49,6 +49,13 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def dropped(df: DataFrame) -> None:
+    """Delete a table that ``stored`` wrote and that no later plan reads."""
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def text_key(id_col: str = "doc_id", text_col: str = "text"):
     """128 bits that name a row by its id and text, so that repeated ids with other texts stay apart."""
     return F.unhex(F.md5(F.concat_ws("\x01", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.coalesce(F.col(text_col), F.lit("")))))

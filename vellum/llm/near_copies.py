@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellum.llm._common import plan_partitions, short_batches, stored
+from vellum.llm._common import dropped, plan_partitions, short_batches, stored
 from vellum.llm.components import connected_components
 from vellum.llm.simhash import shingle_bytes
 
@@ -164,6 +164,7 @@ def node_roots(marked: DataFrame, chunk: int = CHUNK) -> DataFrame:
     both = stored(candidates.toDF("node", "cand").join(clusters.toDF("node", "cluster"), "node", "left").select("cand", "node", F.coalesce("cluster", "node").alias("cluster")))
     split = both.groupBy("cand").agg(F.min("cluster").alias("a"), F.max("cluster").alias("b")).where("a <> b").select("cand")
     more = stored(rest_links(both.join(split, "cand", "left_semi"), sets, parts, chunk))
+    dropped(sets)
     return clusters if more.isEmpty() else connected_components(linked.union(more))
 
 
@@ -171,4 +172,6 @@ def near_copies(docs: DataFrame, *, shingle: int = SHINGLE, chunk: int = CHUNK)
     """(doc_id, text_hash, root): one row per input row of docs(doc_id, text); rows of one root are one group."""
     marked = stored(marked_rows(docs, shingle))
     roots = node_roots(marked, chunk)
-    return marked.select("doc_id", "text_hash", "node").join(roots, "node", "left").select("doc_id", "text_hash", F.coalesce("root", "node").alias("root"))
+    named = stored(marked.select("doc_id", "text_hash", "node").join(roots, "node", "left").select("doc_id", "text_hash", F.coalesce("root", "node").alias("root")))
+    dropped(marked)  # the sets are larger than the texts
+    return named
