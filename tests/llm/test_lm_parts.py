@@ -29,3 +29,11 @@ def test_scores_do_not_depend_on_parts(docs_of, monkeypatch):
     monkeypatch.setattr(lm_score, "RUN_TOKENS", 20_000)
     whole, cut = ({r.doc_id: r.score for r in lm_score.score(docs_of(rows), max_filter_bytes=b).collect()} for b in (64 << 20, 1 << 20))
     assert whole == cut
+
+
+def test_bigrams_met_once_count(docs_of):
+    held = next(i for i in range(100) if lm_score._held_out([i])[0])
+    words = [f"w{i}" for i in range(400)]
+    rows = [(None, " ".join(words)), (held, " ".join(words)), (held, " ".join(words[::-1]))]
+    met, unmet = sorted((r.score for r in lm_score.score(docs_of(rows)).where(f"doc_id = {held}").collect()), reverse=True)
+    assert met > unmet + 100

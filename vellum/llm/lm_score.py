@@ -9,8 +9,8 @@ cut by key slice into parts of at most ``max_filter_bytes``. A task loads one pa
 tokens, and each key is read from the one part that holds it, so no worker holds two parts.
 
 The model interpolates: P(w | h) = a * min(1, c(hw) / c(h)) + (1 - a) * (c(w) + 1) / (Z + V + 1), all c read from the
-filter, Z the sum of what the filter would return for the vocabulary, a = ``weight`` if h was seen, else 0. Bigrams met
-once are not stored (their count is read as 0); that is the model, at every size.
+filter, Z the sum of what the filter would return for the vocabulary, a = ``weight`` if h was seen, else 0. All
+bigrams are stored, also those met once.
 
 The base score needs exact counts: tokens with count >= N / ``head`` (at most ``head`` tokens, whatever the corpus) are
 broadcast; the rest leave the scan as (document, token, times) rows and meet their counts in a shuffle join, whose keys
@@ -44,7 +44,6 @@ MAX_FILTER_BYTES = 128 << 20
 #: Tokens whose levels are gathered over all parts at once.
 RUN_TOKENS = 4_000_000
 SLICE_BYTES = 1 << 20
-MIN_BIGRAM = 2
 WEIGHT = 0.25
 HEAD = 1 << 21
 END = np.uint64(0x9AE16A3B2F90404F)
@@ -202,7 +201,7 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ma
     spark = docs.sparkSession
     short_batches(spark)
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    counts = stored(count_ngrams(docs).where((F.col("kind") == 1) | (F.col("n") >= MIN_BIGRAM)))
+    counts = stored(count_ngrams(docs))
     unigrams = counts.where("kind = 1").select("key", "n")
     q = F.floor(F.log("n") / math.log(BASE) + 1e-9) + 1
     low, high = F.ceil(F.pow(F.lit(BASE), q - 1) - 1e-9), F.ceil(F.pow(F.lit(BASE), q) - 1e-9) - 1
