@@ -69,7 +69,25 @@ def test_toxicity_odd_and_empty(spark, odd, empty):
     scored = toxicity.with_toxicity(odd, toxicity.train_chain(odd, none))
     assert scored.count() == odd.count() and scored.where("p_toxic > 0").isEmpty()
     some = spark.createDataFrame([(4, 0, None), (5, 0, 1), (6, 1, 0)], "doc_id long, low_quality int, toxic int")
-    assert toxicity.with_toxicity(empty, toxicity.train_chain(odd, some)).count() == 0
+    chain = toxicity.train_chain(odd, some)
+    assert toxicity.with_toxicity(empty, chain).count() == 0
+    clash = odd.withColumn("toxicity", F.lit(1)).withColumn("p_toxic", F.lit(2)).withColumn("p", F.lit(3))
+    kept = toxicity.without_toxic(clash, chain)
+    assert kept.columns == clash.columns and kept.count() == odd.count()
+
+
+def test_toxicity_catches_rare_and_disguised_forms(spark):
+    docs = spark.read.parquet("/root/testdata/check_s/documents.parquet").where("doc_id < 12000")
+    labels = spark.read.parquet("/root/testdata/check_s/labels.parquet").select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
+    learn, rest = labels.where("doc_id % 2 = 0"), labels.where("doc_id % 2 = 1 and doc_id < 12000")
+    chain = toxicity.train_chain(docs, learn)
+    got = toxicity.with_toxicity(docs, chain).join(rest, "doc_id").select("lang", "toxic", "p_toxic").toPandas()
+    caught = (got.p_toxic >= chain.thresholds["toxic"])
+    assert (caught[got.toxic == 1].groupby(got.lang).mean() >= 0.9).all() and caught[got.toxic == 0].mean() <= 0.01
+    clean = docs.join(rest.where("toxic = 0"), "doc_id").limit(300)
+    for word in ("1d1ot SCUM", "s.c.u.m mor-on", "idiots moronic", "tr@sh stup1d"):
+        seen = toxicity.with_toxicity(clean.withColumn("text", F.concat("text", F.lit(f" {word}"))), chain)
+        assert seen.agg(F.avg((F.col("p_toxic") >= chain.thresholds["toxic"]).cast("int"))).first()[0] > 0.8
 
 
 # ------------------------------------------------------------- 2 language model
@@ -155,20 +173,35 @@ def test_merkle_single_row_follows_itself(docs_of):
 # ------------------------------------------------------------- 4 mixing
 
 
-def test_mixing_meets_targets(spark):
+def nonnegative_least_squares(a, b, sweeps=4000):
+    """min |a x - b| over x >= 0 by coordinate descent, which shares no step with the operator."""
+    gram, right, x = a.T @ a, a.T @ b, np.ones(a.shape[1])
+    for _ in range(sweeps):
+        old = x.copy()
+        for i in range(len(x)):
+            x[i] = max(0.0, x[i] + (right[i] - gram[i] @ x) / gram[i, i])
+        if np.abs(x - old).max() < 1e-12:
+            return x
+    return x
+
+
+@pytest.mark.parametrize("target", [{"a": 0.5, "b": 0.3, "c": 0.2}, {"a": 0.9, "b": 0.1, "c": 0.0}])
+def test_mixing_solves_the_least_squares(spark, target):
     rng = np.random.default_rng(2)
-    p = rng.dirichlet((0.3, 0.3, 0.3), 3000)
-    n = rng.integers(1, 500, 3000)
+    p, n = rng.dirichlet((0.5, 0.3, 0.2), 120), rng.integers(1, 500, 120).astype(float)
     rows = spark.createDataFrame([(int(a), [float(x) for x in b]) for a, b in zip(n, p, strict=True)], "n long, p array<double>")
-    target = {"a": 0.5, "b": 0.3, "c": 0.2}
-    steps, report = mixing.fit_rates(rows, ["a", "b", "c"], target, "a")
-    assert np.allclose(report["after"], report["goal"], rtol=1e-4)
-    rate = np.ones(3000)
-    for y in steps:  # the same projected steps in numpy
-        rate = np.maximum(0, rate - p @ y)
-    assert (rate >= 0).all() and np.allclose((n[:, None] * p * rate[:, None]).sum(axis=0), report["goal"], rtol=1e-4)
-    got = [r[0] for r in rows.select(mixing.rate_of(F.col("p"), steps, 3)).collect()]
-    assert np.allclose(np.sort(got), np.sort(rate))
+    y, report = mixing.fit_rates(rows, ["a", "b", "c"], target, "a")
+    share = np.array([target[x] for x in "abc"])
+    goal = share * (n * p[:, 0]).sum() / share[0]
+    root = np.linalg.cholesky(np.linalg.inv((n[:, None] * p).T @ p)).T
+    stay = math.sqrt(mixing.STAY)
+    a, b = np.vstack((root @ (n[:, None] * p).T, stay * np.diag(np.sqrt(n)))), np.concatenate((root @ goal, stay * np.sqrt(n)))
+    want, got = nonnegative_least_squares(a, b), np.maximum(0, 1 - p @ y)
+    assert ((a @ got - b) ** 2).sum() <= ((a @ want - b) ** 2).sum() * (1 + 1e-5) and np.allclose(got, want, atol=0.01 * want.max())
+    assert np.allclose(report["after"], (n[:, None] * p * got[:, None]).sum(axis=0)) and np.allclose(report["goal"], goal)
+    assert report["misfit"] < 0.02 if target["c"] else report["misfit"] < report["misfit_before"] / 5
+    rates = sorted(r[0] for r in rows.select(mixing.rate_of(F.col("p"), y)).collect())
+    assert np.allclose(rates, np.sort(got))
 
 
 def test_mixing_copies_follow_rates(spark):
@@ -179,7 +212,10 @@ def test_mixing_copies_follow_rates(spark):
 def test_mixing_odd_and_empty(spark, odd, empty):
     none = spark.createDataFrame([], "doc_id long, domain string")
     assert mixing.mix(empty, none).count() == 0
-    assert set(mixing.mix(odd, none).columns) == set(odd.columns)
+    assert mixing.mix(odd, none).columns == odd.columns
+    clash = odd.withColumn("row", F.lit(1)).withColumn("mix", F.lit(2)).withColumn("copies", F.lit(3)).withColumn("col", F.lit(4))
+    got = mixing.mix(clash, none)
+    assert got.columns == clash.columns and {tuple(r) for r in got.select("row", "mix", "copies", "col").collect()} <= {(1, 2, 3, 4)}
 
 
 # ------------------------------------------------------------- 5 SimHash
@@ -460,6 +496,22 @@ def test_shards_odd_and_empty(odd, empty):
     assert hilbert.shard_documents(empty).count() == 0
     table = hilbert.shard_table(odd)
     assert set(odd.columns) <= set(table.columns) and table.select("shard").distinct().first()[0] == 7
+    clash = odd.select("*", *(F.lit(5).alias(c) for c in ("curve__", "rank__", "part__", "shard__", "slot__", "id", "hash", "row")))
+    got = hilbert.shard_table(clash)
+    assert got.columns == [*clash.columns, "shard_id", "slot_id"] and {tuple(r) for r in got.select("curve__", "rank__", "part__", "id", "row").collect()} == {(5,) * 5}
+
+
+def test_strings_are_ordered_whole(spark):
+    df = spark.createDataFrame([(f"https://host{i % 40:02d}/", i) for i in range(4000)] + [(None, 1)], "source string, n_chars long")
+    got = df.select("source", hilbert.cell_columns(df, ["source"], 5)[0].alias("cell")).distinct().orderBy("source").collect()
+    assert got[0].cell == 0 and [r.cell for r in got] == sorted(r.cell for r in got) and len({r.cell for r in got}) >= 30
+
+
+def test_shards_prune_files(spark):
+    """Most shards hold few of the languages and sources, so a filter on either skips files."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    got = hilbert.shard_table(docs).groupBy("shard_id").agg(F.countDistinct("lang").alias("lang"), F.countDistinct("source").alias("source")).toPandas()
+    assert got.lang.mean() <= 2.2 and got.source.mean() <= 10
 
 
 def test_registry():

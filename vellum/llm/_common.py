@@ -56,6 +56,14 @@ def dropped(df: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that begins with ``name`` and that df doesn't have, whatever its columns are called."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken or any(c.startswith(name.lower() + "_") for c in taken):
+        name += "_"
+    return name
+
+
 def text_key(id_col: str = "doc_id", text_col: str = "text"):
     """128 bits that name a row by its id and text, so that repeated ids with other texts stay apart."""
     return F.unhex(F.md5(F.concat_ws("\x01", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.coalesce(F.col(text_col), F.lit("")))))

@@ -1,14 +1,17 @@
 """Sparse text features and linear models, shared by the classifiers of this subpackage.
 
-Features of a text (each present or not): its words (ASCII letters lower-cased, other ASCII apart from letters dropped),
-their first four and five bytes (so inflected forms share a feature), and for each ASCII mark, capitals and digits the
-binary logarithm of their share of the text. All features of all training rows are counted; the ``VOCABULARY`` features
-with the strongest association with any label make the model's vocabulary, which bounds what is broadcast.
+Features of a text (each present or not): its words (runs of letters, lower-cased), their first three to eight letters (so
+inflected forms share features, also ones that training never met), the same for words written with digits or marks for or
+between letters (``id1ot``, ``s.t.u.p.i.d``), and for each ASCII mark, capitals and digits the binary logarithm of their
+share of the text. All features of all training rows are counted; those whose association with a label stands out at a
+false-discovery rate of ``DISCOVERY`` (likelihood ratio, Benjamini-Hochberg) make the model's vocabulary, at most
+``VOCABULARY`` of them, which bounds what is broadcast.
 """
 
 from __future__ import annotations
 
 import math
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -19,40 +22,55 @@ from vellum.llm._common import short_batches, stored
 
 #: At most so many labelled rows are fitted, those with the least hash of their id.
 SAMPLE_ROWS = 20_000
-VOCABULARY = 2048
-#: A feature must be in so many training rows.
-LEAST_ROWS = 5
-#: And its log odds be so many standard errors from none: the rest would be noise to fit.
-LEAST_Z = 3.0
-#: Words in more than this share of the rows tell a language, not a category, and are left out; marks stay.
-MOST_SHARE = 0.25
-
-_LETTERS = bytes(c + 32 if 0x41 <= c <= 0x5A else c if c >= 0x80 or 0x61 <= c <= 0x7A else 0x20 for c in range(256))
+VOCABULARY = 4096
+#: Features in fewer training rows than this aren't tested.
+LEAST_ROWS = 3
+#: The share of chosen features that may be noise.
+DISCOVERY = 0.05
+PREFIXES = range(3, 9)
+
 _MARKS = [c for c in range(0x21, 0x7F) if not chr(c).isalnum()]
+_WORD = re.compile(r"[^\W\d_]+")
+#: Digits and marks that stand for letters.
+_FOR_LETTERS = str.maketrans("013457$@!|", "oieastsail")
+
+
+def forms(word: str) -> list[str]:
+    return [word, *(word[:k] + "*" for k in PREFIXES if len(word) > k)]
+
+
+def token_features(token: bytes) -> set[str]:
+    """What a run of bytes that aren't blank brings."""
+    text = token.decode("utf-8", "replace").lower()
+    words = _WORD.findall(text)
+    out = {f for w in words for f in forms(w)}
+    if len(words) > 1 or (words and not text.isalpha()):
+        whole = "".join(_WORD.findall(text.strip(".,;:!?|()\"'").translate(_FOR_LETTERS)))
+        if whole not in words:
+            out.update(forms(whole))
+    return out
 
 
-def features(text: str | None) -> set[bytes]:
+def features(text: str | None) -> set[str]:
     raw = (text or "").encode("utf-8", "surrogatepass")
-    words = set(raw.translate(_LETTERS).split())
-    out = words | {w[:4] + b"*" for w in words if len(w) > 4} | {w[:5] + b"*" for w in words if len(w) > 5}
-    return out | _shares(raw)
+    return _shares(raw).union(*map(token_features, set(raw.lower().split())))
 
 
-def _shares(raw: bytes) -> set[bytes]:
+def _shares(raw: bytes) -> set[str]:
     if not raw:
         return set()
     counts = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
     n = len(raw)
-    shares = [(c, counts[c]) for c in _MARKS if counts[c]] + [(1, counts[0x41:0x5B].sum()), (2, counts[0x30:0x3A].sum())]
-    return {b"#%c%d" % (c, int(math.log2(k / n))) for c, k in shares if k}
+    shares = [(chr(c), counts[c]) for c in _MARKS if counts[c]] + [("A", counts[0x41:0x5B].sum()), ("0", counts[0x30:0x3A].sum())]
+    return {f"#{c}{int(math.log2(k / n))}" for c, k in shares if k}
 
 
 class Vocabulary:
-    """Numbers of the chosen features in a text; what a word brings is kept, so a word is looked into once."""
+    """Numbers of the chosen features in a text; what a token brings is kept, so a token is looked into once."""
 
     KEPT = 400_000
 
-    def __init__(self, words: list[bytes]):
+    def __init__(self, words: list[str]):
         self.index = {w: i for i, w in enumerate(words)}
         self.known: set[bytes] = set()
         self.hits: dict[bytes, tuple[int, ...]] = {}
@@ -60,14 +78,13 @@ class Vocabulary:
     def numbers(self, text: str | None) -> list[int]:
         raw, index = (text or "").encode("utf-8", "surrogatepass"), self.index
         found = {index[f] for f in _shares(raw) if f in index}
-        words = set(raw.translate(_LETTERS).split())
-        for w in words - self.known:
-            forms = [w, *([w[:4] + b"*"] if len(w) > 4 else []), *([w[:5] + b"*"] if len(w) > 5 else [])]
-            if own := tuple(index[f] for f in forms if f in index):
-                self.hits[w] = own
-        for w in self.hits.keys() & words:
-            found.update(self.hits[w])
-        self.known |= words
+        tokens = set(raw.lower().split())
+        for t in tokens - self.known:
+            if own := tuple(index[f] for f in token_features(t) if f in index):
+                self.hits[t] = own
+        for t in self.hits.keys() & tokens:
+            found.update(self.hits[t])
+        self.known |= tokens
         if len(self.known) > self.KEPT:
             self.known, self.hits = set(), {}
         return sorted(found)
@@ -96,28 +113,40 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, names: list[str], rows:
     def run(batches):
         for b in batches:
             found = [sorted(features(t)) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.binary())), b.column(2)], names=["doc_id", "f", "y"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.string())), b.column(2)], names=["doc_id", "f", "y"])
 
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(picked), F.col("doc_id") == F.col("l_id")).select("doc_id", "text", "y")
-    return stored(texts.mapInArrow(run, "doc_id bigint, f array<binary>, y array<double>"))
+    return stored(texts.mapInArrow(run, "doc_id bigint, f array<string>, y array<double>"))
 
 
-def choose_vocabulary(sample: DataFrame, n_labels: int, size: int = VOCABULARY) -> list[bytes]:
-    """The features with the largest z value of their log odds, over any label, among at most SAMPLE_ROWS rows."""
+def choose_vocabulary(sample: DataFrame, n_labels: int, size: int = VOCABULARY, discovery: float = DISCOVERY) -> list[str]:
+    """The features more frequent with a label than without that stand out at the false-discovery rate, for each label at
+    most its part of ``size``, the strongest first."""
     total = sample.agg(F.count("*").alias("n"), *(F.sum(F.col("y")[i]).alias(f"p{i}") for i in range(n_labels))).first()
     if not total["n"]:
         return []
-    counts = sample.select(F.explode("f").alias("w"), "y").groupBy("w").agg(F.count("*").alias("n"), *(F.sum(F.col("y")[i]).alias(f"p{i}") for i in range(n_labels))).where((F.col("n") >= LEAST_ROWS) & ((F.col("n") <= MOST_SHARE * total["n"]) | (F.substring("w", 1, 1) == F.lit(b"#"))))
-    z = F.lit(0.0)
+    n, rows = F.col("n"), float(total["n"])
+    counts = sample.select(F.explode("f").alias("w"), "y").groupBy("w").agg(F.count("*").cast("double").alias("n"), *(F.sum(F.col("y")[i]).alias(f"p{i}") for i in range(n_labels))).where(n >= LEAST_ROWS)
+
+    def ratio(i: int):
+        """Likelihood ratio of the feature's and the label's two by two table; zero if they keep apart."""
+        p, all_p = F.col(f"p{i}"), float(total[f"p{i}"] or 0.0)
+        cells = ((p, n * all_p / rows), (n - p, n * (rows - all_p) / rows), (all_p - p, (rows - n) * all_p / rows), (rows - all_p - n + p, (rows - n) * (rows - all_p) / rows))
+        g = sum((F.when(seen > 0, 2 * seen * F.log(seen / due)).otherwise(0.0) for seen, due in cells), F.lit(0.0))
+        return F.when(p * rows > n * all_p, g).otherwise(0.0)
+
+    tested = stored(counts.select("w", *(ratio(i).alias(f"g{i}") for i in range(n_labels))))
+    tests, part = tested.count(), max(1, size // n_labels)
+    chosen: dict[str, None] = {}
     for i in range(n_labels):
-        pos, rows = total[f"p{i}"] or 0.0, total["n"]
-        a, b = F.col(f"p{i}") + 0.5, F.col("n") - F.col(f"p{i}") + 0.5
-        odds = F.log(a / (pos - F.col(f"p{i}") + 0.5)) - F.log(b / (rows - pos - (F.col("n") - F.col(f"p{i}")) + 0.5))
-        z = F.greatest(z, F.abs(odds) / F.sqrt(1 / a + 1 / b))
-    return [bytes(r["w"]) for r in counts.select("w", z.alias("z")).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "w").limit(size).collect()]
+        best = tested.select("w", F.col(f"g{i}").alias("g")).where("g > 0").orderBy(F.desc("g"), "w").limit(part).collect()
+        # exp(-g / 2) bounds the odds of a ratio g by chance
+        passed = [k for k, r in enumerate(best, 1) if math.exp(-r.g / 2) <= discovery * k / max(1, tests)]
+        chosen |= dict.fromkeys(r.w for r in best[: max(passed, default=0)])
+    return list(chosen)
 
 
-def matrix(sample: DataFrame, vocabulary: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def matrix(sample: DataFrame, vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(indices end to end, row starts, y) of the sample in doc_id order; bounded by SAMPLE_ROWS and VOCABULARY."""
     index = {w: i for i, w in enumerate(vocabulary)}
 
@@ -150,9 +179,8 @@ def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit_logistic(flat, at, dense, y, size: int, ridge: float = 0.1, rounds: int = 150, positive: bool = False):
-    """Ridge logistic regression by accelerated gradient steps, scaled by each weight's curvature. Returns (w, v, bias).
-    ``positive`` keeps the features' weights from falling below zero: then no number of harmless words hides a harmful one."""
+def fit_logistic(flat, at, dense, y, size: int, ridge: float = 0.1, rounds: int = 150):
+    """Ridge logistic regression by accelerated gradient steps, scaled by each weight's curvature. Returns (w, v, bias)."""
     n = len(y)
     rows = np.repeat(np.arange(n), np.diff(at))
     prior = (y.sum() + 0.5) / (n + 1)
@@ -170,8 +198,6 @@ def fit_logistic(flat, at, dense, y, size: int, ridge: float = 0.1, rounds: int
         g = sigmoid(margins(flat, at, dense, yw, yv, yb)) - y
         last = (w, v, bias)
         w = yw - step_w * (np.bincount(flat, weights=g[rows], minlength=size) + ridge * yw)
-        if positive:
-            w = np.maximum(w, 0)
         v = yv - step_v * (dense.T @ g + ridge * yv)
         bias = yb - step_b * g.sum()
     return w, v, bias

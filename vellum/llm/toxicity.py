@@ -2,17 +2,19 @@
 
 Categories are predicted one after another. Each model sees the text's features and the log odds that the earlier
 models of the chain gave; in training these come out of fold, from models that didn't see the row, so later models learn
-how far to trust earlier ones. Weights of features are not negative: a category is shown by what is in a text, and
-harmless words beside it don't take that back. The query's chain runs over the columns of ``labels``: low quality (1 - quality), then
+how far to trust earlier ones. The query's chain runs over the columns of ``labels``: low quality (1 - quality), then
 toxic; ``train_chain`` takes any list of 0/1 columns, in the order wanted.
 
+Each category's threshold comes from the out-of-fold scores: the least that leaves ``CLEAN_SHARE`` of the rows without the
+label alone, but not above one half, where the category is the likelier answer, and not below ``LEAST_THRESHOLD``.
+
 Training is bounded: at most ``SAMPLE_ROWS`` labelled rows (by hash of the id), ``VOCABULARY`` features; scoring reads
 every text whole, in one pass without a shuffle.
 
 Defined cases: a null or empty text has no features and gets the chain's prior; labels that are null leave the row out
 of training; an empty or one-sided labelled table gives constant probabilities (0 if empty), and nothing is rejected
 without a positive label; repeated rows are scored alike; extra columns are kept by ``with_toxicity`` and ignored by the
-query.
+query; columns made within are in one struct with a name that the table doesn't have, and ``prefix`` names the new ones.
 """
 
 from __future__ import annotations
@@ -23,18 +25,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.llm import linear
-from vellum.llm._common import documents, short_batches
+from vellum.llm._common import documents, free_name, short_batches
 
 FOLDS = 5
-THRESHOLD = 0.5
+CLEAN_SHARE = 0.995
+LEAST_THRESHOLD, MOST_THRESHOLD = 0.1, 0.5
 CHAIN = ("low_quality", "toxic")
 
 
 class Chain:
     """names, vocabulary and one (w, v, bias) for each category; v weighs the earlier categories' log odds."""
 
-    def __init__(self, names, vocabulary, models):
+    def __init__(self, names, vocabulary, models, thresholds=None):
         self.names, self.words, self.models = list(names), vocabulary, models
+        self.thresholds = dict(zip(self.names, thresholds or [MOST_THRESHOLD] * len(self.names), strict=True))
         self.index = linear.Vocabulary(vocabulary)
 
     def plain(self) -> tuple:
@@ -62,18 +66,19 @@ def train_chain(docs: DataFrame, labels: DataFrame, names=CHAIN, *, rows: int =
     if not len(y):
         return Chain(names, [], [])
     fold = np.arange(len(y)) % folds
-    models, out_of_fold = [], np.zeros((len(y), 0))
+    models, thresholds, out_of_fold = [], [], np.zeros((len(y), 0))
     for k in range(len(names)):
         held = np.zeros(len(y))
-        if k + 1 < len(names):
-            for f in range(folds):
-                fit, rest = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
-                if len(fit) and len(rest):
-                    model = linear.fit_logistic(*linear.take(flat, at, fit), out_of_fold[fit], y[fit, k], len(words), positive=True)
-                    held[rest] = linear.margins(*linear.take(flat, at, rest), out_of_fold[rest], *model)
-        models.append(linear.fit_logistic(flat, at, out_of_fold, y[:, k], len(words), positive=True))
+        for f in range(folds):
+            fit, rest = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
+            if len(fit) and len(rest):
+                model = linear.fit_logistic(*linear.take(flat, at, fit), out_of_fold[fit], y[fit, k], len(words))
+                held[rest] = linear.margins(*linear.take(flat, at, rest), out_of_fold[rest], *model)
+        models.append(linear.fit_logistic(flat, at, out_of_fold, y[:, k], len(words)))
+        clean = held[y[:, k] == 0]
+        thresholds.append(float(np.clip(linear.sigmoid(np.quantile(clean, CLEAN_SHARE)), LEAST_THRESHOLD, MOST_THRESHOLD)) if len(clean) else MOST_THRESHOLD)
         out_of_fold = np.column_stack((out_of_fold, np.clip(held, -30, 30)))
-    return Chain(names, words, models)
+    return Chain(names, words, models, thresholds)
 
 
 def with_toxicity(docs: DataFrame, chain: Chain, text_col: str = "text", prefix: str = "p_") -> DataFrame:
@@ -88,8 +93,15 @@ def with_toxicity(docs: DataFrame, chain: Chain, text_col: str = "text", prefix:
             built["chain"] = Chain(*held.value)
         return pd.DataFrame(built["chain"].probabilities(texts.tolist()), columns=names)
 
-    scored = docs.withColumn("toxicity_", score(F.col(text_col)))
-    return scored.select(*docs.columns, *(F.col("toxicity_")[n].alias(n) for n in names))
+    held_name = free_name(docs, "toxicity")
+    scored = docs.withColumn(held_name, score(F.col(text_col)))
+    return scored.select(*docs.columns, *(F.col(held_name)[n].alias(n) for n in names))
+
+
+def without_toxic(docs: DataFrame, chain: Chain, category: str = "toxic", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, whose probability of the category is under its threshold."""
+    prefix = free_name(docs, "p") + "_"
+    return with_toxicity(docs, chain, text_col, prefix).where(F.col(prefix + category) < chain.thresholds[category]).select(*docs.columns)
 
 
 def label_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,4 +112,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     chain = train_chain(docs, label_table(spark, sf_dir))
     scored = with_toxicity(docs.select("doc_id", "text"), chain)
-    return scored.select("doc_id", "p_low_quality", "p_toxic", (F.col("p_toxic") >= THRESHOLD).alias("toxic"))
+    return scored.select("doc_id", "p_low_quality", "p_toxic", (F.col("p_toxic") >= chain.thresholds["toxic"]).alias("toxic"))
