@@ -3,21 +3,24 @@
 A softmax classifier, fitted on the labelled table, gives each document a posterior over domains. Document i with n_i
 tokens and posterior p_i, taken at rate r_i, adds n_i p_i r_i to the expected domain totals. The rates solve
 
-    minimise  sum_i n_i (r_i - 1)^2   subject to   sum_i n_i p_i r_i = target,  r_i >= 0
+    minimise  d' W d + STAY * sum_i n_i (r_i - 1)^2,   d = sum_i n_i p_i r_i - target,   r_i >= 0
 
-as nearly as can be: projected-gradient least squares on the misfit, in the metric of the tokens. With
-M = sum n p p' over the documents whose rate is above zero, the step is r_i <- max(0, r_i - p_i . y), y = M^-1 (sum n p r - target), which without clipping
-is exact after one round. A round moves one vector of as many numbers as there are domains to the driver; the rates are
-recomputed in each row from the short list of these vectors, so no rate column is ever stored or shuffled.
+W the inverse of sum n p p', so both terms count tokens; ``STAY`` is small, and its term makes the solution unique and
+keeps rates from running off where a target can't be met. A projected-gradient step of length 1 / STAY from any rates gives
+r_i = max(0, 1 - p_i . y), y = W d / STAY, so one vector of as many numbers as there are domains describes all rates. Each
+round moves y towards the vector that its own rates ask for, in the metric of the documents whose rate is above zero, by the
+best of several step lengths, all tried in one pass over (n, p); it ends when no length lowers the objective by a
+millionth. No rate column is ever stored or shuffled.
 
 Target weights are shares; the total is set so that the ``keep`` domain keeps the tokens it has, so its documents stay
 at a rate near one. A row is written ``floor(r_i + u_i)`` times, u_i a uniform number made from its id: the expected
 number of copies is r_i, and the result is the same in every run.
 
 Defined cases: a null or empty text has no tokens, the classifier's prior as posterior and takes part with weight zero;
-an empty labelled table gives uniform posteriors; a domain without any tokens can't be matched and is left out of the
-fit (M gets a small ridge); repeated rows have equal rates; an empty table gives no rows; extra columns are kept by
-``mix`` and ignored by the query.
+an empty labelled table gives uniform posteriors; a domain without any tokens can't be matched and doesn't move the
+fit (the metric gets a small ridge); a target that rates of zero or more can't meet is met as nearly as the objective says, and
+the report and the query's ``misfit`` columns say how nearly; repeated rows have equal rates; an empty table gives no rows;
+extra columns of any name are kept by ``mix`` and ignored by the query.
 """
 
 from __future__ import annotations
@@ -28,17 +31,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.llm import linear
-from vellum.llm._common import documents, short_batches, stored
+from vellum.llm._common import documents, dropped, short_batches, stored
 
 DOMAINS = ("high", "low", "toxic")
 TARGET = {"high": 0.90, "low": 0.10, "toxic": 0.0}
 KEEP = "high"
-ROUNDS = 10
-TOLERANCE = 1e-5
-#: A round that leaves more than this share of the misfit is the last.
-STALL = 0.98
-#: Share of the metric over all documents that is added to that over the free ones, so few free documents don't make wide steps.
-DAMPING = 0.05
+#: Weight of rates staying near one, against the misfit.
+STAY = 1e-3
+#: Step lengths tried in a round, and the least share by which the objective must fall.
+LENGTHS = (1.0, 0.5, 0.25, 0.125, 2.0, 4.0)
+TOLERANCE = 1e-6
+#: The fit takes some ten rounds; not to settle in so many is an error, not a result.
+MAX_ROUNDS = 200
 
 
 class Softmax:
@@ -75,8 +79,8 @@ def train_domains(docs: DataFrame, labels: DataFrame, names=DOMAINS, *, rows: in
     return Softmax(names, words, [linear.fit_logistic(flat, at, none, y[:, k], len(words)) for k in range(len(names))])
 
 
-def with_posteriors(docs: DataFrame, model: Softmax, text_col: str = "text") -> DataFrame:
-    """docs plus ``mix_``: struct of n (words) and p (posteriors)."""
+def with_posteriors(docs: DataFrame, model: Softmax, text_col: str = "text", into: str = "mix") -> DataFrame:
+    """docs plus ``into``: struct of n (words) and p (posteriors)."""
     short_batches(docs.sparkSession)
     held, built = docs.sparkSession.sparkContext.broadcast(model.plain()), {}
 
@@ -88,42 +92,57 @@ def with_posteriors(docs: DataFrame, model: Softmax, text_col: str = "text") ->
         return pd.DataFrame({"n": [linear.n_words(t) for t in values], "p": list(built["model"].posteriors(values))})
 
     # not marked deterministic: else a filter on the rate would have the texts scored a second time
-    return docs.withColumn("mix_", score.asNondeterministic()(F.col(text_col)))
+    return docs.withColumn(into, score.asNondeterministic()(F.col(text_col)))
 
 
-def rate_of(p: Column, steps: list[np.ndarray], k: int) -> Column:
-    """The rate after these steps, from 1."""
-    if not steps:
-        return F.lit(1.0)
-    literal = F.array(*(F.array(*(F.lit(float(x)) for x in y)) for y in steps))
-    return F.aggregate(literal, F.lit(1.0), lambda r, y: F.greatest(F.lit(0.0), r - sum((p[i] * y[i] for i in range(1, k)), p[0] * y[0])))
+def rate_of(p: Column, y: np.ndarray) -> Column:
+    return F.greatest(F.lit(0.0), 1 - sum((p[i] * float(v) for i, v in enumerate(y)), F.lit(0.0)))
 
 
-def fit_rates(rows: DataFrame, names, target: dict[str, float], keep: str, rounds: int = ROUNDS) -> tuple[list[np.ndarray], dict]:
-    """rows(n, p). Returns the steps and a report: totals before, target, totals after."""
+def fit_rates(rows: DataFrame, names, target: dict[str, float], keep: str) -> tuple[np.ndarray, dict]:
+    """rows(n, p). Returns the vector of ``rate_of`` and a report: domain totals before, goal and after, and rounds."""
     k = len(names)
     p, n = F.col("p"), F.col("n").cast("double")
-    first = rows.agg(*(F.sum(n * p[i]) for i in range(k)), *(F.sum(n * p[i] * p[j]) for i in range(k) for j in range(k))).first()
-    before = np.array([x or 0.0 for x in first[:k]])
-    metric = np.array([x or 0.0 for x in first[k:]]).reshape(k, k)
+
+    def totals(vectors: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, float]]:
+        """For each vector the domain totals, the metric of documents with rates above zero, and the cost of leaving one."""
+        sums = []
+        for y in vectors:
+            rate = rate_of(p, y)
+            free = F.when(rate > 0, n).otherwise(0.0)
+            sums += [F.sum(n * p[i] * rate) for i in range(k)] + [F.sum(free * p[i] * p[j]) for i in range(k) for j in range(i + 1)] + [F.sum(n * (rate - 1) * (rate - 1))]
+        row = np.array([x or 0.0 for x in rows.agg(*sums).first()]).reshape(len(vectors), -1)
+        out = []
+        for x in row:
+            m = np.zeros((k, k))
+            m[np.tril_indices(k)] = x[k:-1]
+            out.append((x[:k], m + np.tril(m, -1).T, x[-1]))
+        return out
+
+    y = np.zeros(k)
+    now, metric, moved = totals([y])[0]
+    before = now
     share = np.array([float(target.get(x, 0.0)) for x in names])
     share = share / share.sum()
     at = list(names).index(keep)
     goal = share * (before[at] / share[at] if share[at] > 0 else before.sum())
-    steps, now, last, whole = [], before, np.inf, metric
-    for _ in range(rounds):
-        off = np.abs(now - goal).sum()
-        if off <= TOLERANCE * max(1.0, goal.sum()) or off >= last * STALL:
-            break  # met, or what is left can't be matched with rates of zero or more
-        last = off
-        ridged = metric + DAMPING * whole + np.eye(k) * max(1e-9, 1e-6 * np.trace(metric) / k)
-        steps.append(np.linalg.solve(ridged, now - goal))
-        r = rate_of(p, steps, k)
-        free = F.when(F.col("r_") > 0, n)  # documents at rate zero can't give way any more
-        found = rows.withColumn("r_", r).agg(*(F.sum(n * p[i] * F.col("r_")) for i in range(k)), *(F.sum(free * p[i] * p[j]) for i in range(k) for j in range(k))).first()
-        now = np.array([x or 0.0 for x in found[:k]])
-        metric = np.array([x or 0.0 for x in found[k:]]).reshape(k, k)
-    return steps, {"before": before.tolist(), "goal": goal.tolist(), "after": now.tolist()}
+    w = np.linalg.inv(metric + np.eye(k) * max(1e-9, 1e-9 * np.trace(metric) / k))
+    cost = lambda found: float((found[0] - goal) @ w @ (found[0] - goal) + STAY * found[2])
+    last, rounds = cost((now, metric, moved)), 0
+    while last > 0:
+        wanted = w @ (now - goal) / STAY - y
+        step = np.linalg.solve(np.eye(k) + w @ metric / STAY, wanted)
+        tried = [y + t * step for t in LENGTHS]
+        found = totals(tried)
+        best = min(range(len(tried)), key=lambda i: cost(found[i]))
+        if cost(found[best]) >= last * (1 - TOLERANCE):
+            break
+        y, (now, metric, moved) = tried[best], found[best]
+        last, rounds = cost(found[best]), rounds + 1
+        if rounds > MAX_ROUNDS:
+            raise RuntimeError(f"mixing rates did not settle in {MAX_ROUNDS} rounds")
+    off = lambda t: float(np.abs(t - goal).sum() / max(1.0, goal.sum()))
+    return y, {"before": before.tolist(), "goal": goal.tolist(), "after": now.tolist(), "misfit_before": off(before), "misfit": off(now), "rounds": rounds}
 
 
 def copies_of(rate: Column, id_col: str = "doc_id") -> Column:
@@ -138,18 +157,28 @@ def domain_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mix(docs: DataFrame, labels: DataFrame, target: dict[str, float] = TARGET, keep: str = KEEP, train_on: DataFrame | None = None, id_col: str = "doc_id") -> DataFrame:
     """docs, each row as often as its rate says. The classifier is fitted on ``train_on`` (docs, if None)."""
     model = train_domains(train_on if train_on is not None else docs, labels)
-    scored = with_posteriors(docs, model)
-    rows = stored(scored.select("mix_.n", "mix_.p"))
-    steps, _ = fit_rates(rows, model.names, target, keep)
-    times = copies_of(rate_of(F.col("mix_")["p"], steps, len(model.names)), id_col)
-    kept = scored.withColumn("copies_", times).where("copies_ > 0")
-    return kept.withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("copies_")))).drop("mix_", "copies_", "copy_")
+    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col("text"), F.col(id_col).alias("id"))
+    scored = with_posteriors(packed, model)
+    rows = stored(scored.select("mix.n", "mix.p"))
+    y, _ = fit_rates(rows, model.names, target, keep)
+    dropped(rows)
+    times = copies_of(rate_of(F.col("mix.p"), y), "id")
+    kept = scored.withColumn("copies", times).where("copies > 0")
+    return kept.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = train_domains(docs, domain_table(spark, sf_dir))
-    rows = stored(with_posteriors(docs.select("doc_id", "text"), model).select("doc_id", "mix_.n", "mix_.p"))
-    steps, _ = fit_rates(rows, model.names, TARGET, KEEP)
-    rate = rate_of(F.col("p"), steps, len(model.names))
-    return rows.select("doc_id", F.col("n").alias("n_tokens"), *(F.col("p")[i].alias(f"p_{x}") for i, x in enumerate(model.names)), rate.alias("rate"), copies_of(rate).alias("copies"))
+    rows = stored(with_posteriors(docs.select("doc_id", "text"), model).select("doc_id", "mix.n", "mix.p"))
+    y, report = fit_rates(rows, model.names, TARGET, KEEP)
+    rate = rate_of(F.col("p"), y)
+    return rows.select(
+        "doc_id",
+        F.col("n").alias("n_tokens"),
+        *(F.col("p")[i].alias(f"p_{x}") for i, x in enumerate(model.names)),
+        rate.alias("rate"),
+        copies_of(rate).alias("copies"),
+        F.lit(report["misfit_before"]).alias("misfit_before"),
+        F.lit(report["misfit"]).alias("misfit"),
+    )
