@@ -1,8 +1,8 @@
 """Sharding along a Hilbert curve, for files that prune on several columns at once.
 
-Each dimension (language, source, length by default) is quantised to ``2^bits`` cells by approximate quantiles of an
-order-preserving number (strings: their first bytes), so that cells hold like shares of the rows; the cell numbers give
-a curve index, rows are sorted by (index, doc_id, text hash) and the sequence is cut into ``shards`` runs. A shard is a
+Each dimension (language, source, length by default) is quantised to ``2^bits`` cells that hold like shares of the rows:
+numbers by approximate quantiles, strings by the values at which the running count of the sorted distinct values passes
+each share (counted by ranges, so no task sees all values; whole strings are compared). The cell numbers give a curve index, rows are sorted by (index, doc_id, text hash) and the sequence is cut into ``shards`` runs. A shard is a
 run of neighbouring cells, so its minimum and maximum of every dimension are narrow and a filter on any of them skips
 most files. The law is ``rows``: counts of shards differ by one at most.
 
@@ -11,7 +11,8 @@ and no task sees all rows. Texts don't move in the query: only the digest column
 
 Defined cases: null text is empty for the digest and has size 1; null dimensions sort first; fewer rows than shards
 leave shards empty; equal rows keep separate slots; an empty table gives no rows; extra columns are kept by
-``shard_table`` and ignored by the query.
+``shard_table`` and ignored by the query. ``shard_table`` carries a row as one struct, so no name made within can meet a
+column's; columns named ``shard_id`` or ``slot_id`` are replaced.
 """
 
 from __future__ import annotations
@@ -60,30 +61,48 @@ def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def as_number(df: DataFrame, column: str) -> Column:
-    """A double in the column's order: numbers as they are, strings by their first six bytes."""
-    kind = dict(df.dtypes).get(column)
-    if kind is None:
-        return F.lit(0.0)
-    if kind == "string":
-        return F.coalesce(F.conv(F.rpad(F.hex(F.substring(F.encode(F.col(column), "UTF-8"), 1, 6)), 12, "0"), 16, 10).cast("double"), F.lit(-1.0))
-    return F.coalesce(F.col(column).cast("double"), F.lit(-1.0))
+def string_bounds(values: DataFrame, cells: int) -> list[str]:
+    """values(v): for each i from 1 to cells - 1 the string at which the running count over sorted strings passes i / cells of all."""
+    counts = stored(values.where("v is not null").groupBy("v").count().repartitionByRange(plan_partitions(values.sparkSession), "v").withColumn("part", F.spark_partition_id()))
+    sizes = {r["part"]: r["n"] for r in counts.groupBy("part").agg(F.sum("count").alias("n")).collect()}  # one row a range
+    total, before, at = sum(sizes.values()), {}, 0
+    for p in sorted(sizes):
+        before[p], at = at, at + sizes[p]
+    if not total:
+        return []
+    up_to = F.sum("count").over(Window.partitionBy("part").orderBy("v")) + F.element_at(F.create_map(*(F.lit(int(x)) for kv in before.items() for x in kv)), F.col("part"))
+    placed = counts.withColumn("up_to", up_to)
+    passes = placed.select("v", (F.least(F.floor(F.col("up_to") * cells / total), F.lit(cells - 1)) - F.floor((F.col("up_to") - F.col("count")) * cells / total)).alias("times")).where("times > 0")
+    return sorted(v for r in passes.collect() for v in [r.v] * r.times)
+
+
+def cell_columns(df: DataFrame, dimensions, bits: int) -> list[Column]:
+    """The cell of each dimension; nulls and absent columns are in cell 0."""
+    kinds, cells = dict(df.dtypes), 1 << bits
+    numbers = [c for c in dict.fromkeys(dimensions) if c in kinds and kinds[c] != "string"]
+    found = df.select(*(F.col(c).cast("double").alias(f"n{i}") for i, c in enumerate(numbers))).approxQuantile([f"n{i}" for i in range(len(numbers))], [i / cells for i in range(1, cells)], QUANTILE_ERROR) if numbers else []
+    cuts = {c: [F.lit(float(x)) for x in b] for c, b in zip(numbers, found, strict=True)}
+    # a value that passes several shares is that many bounds, so few values spread over the whole range of cells
+    # a string's bound is the last value of a cell, a number's the first of the next
+    cuts |= {c: [F.lit(x) for x in string_bounds(df.select(F.col(c).alias("v")), cells)] for c in dict.fromkeys(dimensions) if kinds.get(c) == "string"}
+
+    def cell(c: str) -> Column:
+        if not cuts.get(c):
+            return F.lit(0)
+        passed = (lambda x: x < F.col(c)) if kinds[c] == "string" else (lambda x: x <= F.col(c).cast("double"))
+        return F.when(F.col(c).isNull(), 0).otherwise(F.size(F.filter(F.array(*cuts[c]), passed)))
 
+    return [cell(c) for c in dimensions]
 
-def with_curve(df: DataFrame, dimensions=DIMENSIONS, bits: int = BITS) -> DataFrame:
-    """df plus ``curve__``. Quantile bounds are 2^bits numbers a dimension, whatever the table's size."""
-    names = [f"dim_{i}__" for i in range(len(dimensions))]
-    numbered = df.withColumns({n: as_number(df, c) for n, c in zip(names, dimensions, strict=True)})
-    cells = 1 << bits
-    bounds = numbered.approxQuantile(names, [i / cells for i in range(1, cells)], QUANTILE_ERROR)
-    bounds = [np.array(sorted(set(b)), dtype=float) for b in bounds]
+
+def with_curve(df: DataFrame, name: str, dimensions=DIMENSIONS, bits: int = BITS) -> DataFrame:
+    """df plus the curve index. Bounds are 2^bits values a dimension, whatever the table's size."""
 
     @F.pandas_udf("bigint")
     def index(*columns: pd.Series) -> pd.Series:
-        grid = np.stack([np.searchsorted(b, c.to_numpy(float), side="right") for b, c in zip(bounds, columns, strict=True)], axis=1)
-        return pd.Series(hilbert_index(grid, bits))
+        return pd.Series(hilbert_index(np.stack([c.to_numpy(np.int64) for c in columns], axis=1), bits))
 
-    return numbered.withColumn("curve__", index(*names)).drop(*names)
+    return df.withColumn(name, index(*cell_columns(df, dimensions, bits)))
 
 
 def ranked(df: DataFrame, order: list[str]) -> tuple[DataFrame, int]:
@@ -108,26 +127,31 @@ def shard_rows(rows: DataFrame, order: list[str], shards: int = SHARDS) -> DataF
     return df.withColumn("shard__", shard).withColumn("slot__", F.expr(f"rank__ - (shard__ * {total}L + {shards - 1}) div {shards}")).drop("rank__")
 
 
+def placed_rows(docs: DataFrame, row: list[Column], id_col: str, text_col: str, dimensions, bits: int, shards: int) -> DataFrame:
+    """row (a struct of the given columns), curve, shard__, slot__ of each row."""
+    own = {c: f"d{i}" for i, c in enumerate(c for c in dict.fromkeys(dimensions) if c in docs.columns)}
+    narrow = docs.select(F.struct(*row).alias("row"), F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("hash"), *(F.col(c).alias(n) for c, n in own.items()))
+    curved = with_curve(narrow, "curve", [own.get(c, c) for c in dimensions], bits).drop(*own.values())
+    return shard_rows(curved, ["curve", "id", "hash"], shards)
+
+
 def shard_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", dimensions=DIMENSIONS, bits: int = BITS, shards: int = SHARDS) -> DataFrame:
     """The digest of every row's place: doc_id, size, text_crc32, law, shard, slot, grown_shard, curve."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    kept = [c for c in dict.fromkeys(dimensions) if c in docs.columns and c not in (id_col, text_col)]
-    digest = docs.select(
+    digest = [
         F.col(id_col).cast("bigint").alias("doc_id"),
         (F.octet_length(text) + 1).cast("bigint").alias("size"),
         F.crc32(F.encode(text, "UTF-8")).cast("bigint").alias("text_crc32"),
-        F.xxhash64(text).alias("text_hash"),
-        *kept,
-    )
-    placed = shard_rows(with_curve(digest, [c if c != id_col else "doc_id" for c in dimensions], bits), ["curve__", "doc_id", "text_hash"], shards)
-    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard__").alias("shard"), F.col("slot__").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), F.col("curve__").alias("curve"))
+    ]
+    placed = placed_rows(docs, digest, id_col, text_col, dimensions, bits, shards)
+    return placed.select("row.*", F.lit("rows").alias("law"), F.col("shard__").alias("shard"), F.col("slot__").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "curve")
 
 
 def shard_table(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", dimensions=DIMENSIONS, bits: int = BITS, shards: int = SHARDS) -> DataFrame:
     """docs with ``shard_id`` and ``slot_id`` (in place of columns of these names), ready for a write partitioned by shard; all columns move once."""
-    hashed = docs.drop("shard_id", "slot_id").withColumn("text_hash__", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    placed = shard_rows(with_curve(hashed, dimensions, bits), ["curve__", id_col, "text_hash__"], shards)
-    return placed.drop("curve__", "text_hash__").withColumnsRenamed({"shard__": "shard_id", "slot__": "slot_id"})
+    docs = docs.drop("shard_id", "slot_id")
+    placed = placed_rows(docs, [F.col(c) for c in docs.columns], id_col, text_col, dimensions, bits, shards)
+    return placed.select("row.*", F.col("shard__").alias("shard_id"), F.col("slot__").alias("slot_id"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
