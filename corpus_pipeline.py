@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.llm import decontaminate, hilbert, mixing, near_copies, toxicity
-from vellum.llm._common import stored
+from vellum.llm._common import free_name, stored
 
 #: Shares of tokens by domain; the tokens of "high" stay as they are.
 MIX_TARGET = {"high": 0.90, "low": 0.10, "toxic": 0.0}
@@ -20,8 +20,7 @@ MIX_TARGET = {"high": 0.90, "low": 0.10, "toxic": 0.0}
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose probability of being toxic is under the threshold."""
     chain = toxicity.train_chain(docs, toxicity.label_table(spark, sf_dir))
-    scored = toxicity.with_toxicity(docs, chain, prefix="toxicity_p_")
-    return scored.where(F.col("toxicity_p_toxic") < toxicity.THRESHOLD).select(*docs.columns)
+    return toxicity.without_toxic(docs, chain)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,10 +29,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     different groups each stay."""
     groups = near_copies.near_copies(docs.select("doc_id", "text"))
     least = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("row"))
-    kept = least.select(F.col("row.doc_id").alias("kept_id_"), F.col("row.text_hash").alias("kept_hash_"))
-    keyed = docs.withColumn("text_hash_", F.xxhash64(F.coalesce("text", F.lit(""))))
-    same = F.col("doc_id").eqNullSafe(F.col("kept_id_")) & (F.col("text_hash_") == F.col("kept_hash_"))
-    return keyed.join(kept, same, "left_semi").dropDuplicates(["doc_id", "text_hash_"]).drop("text_hash_")
+    kept = least.select("row.doc_id", "row.text_hash")
+    hashed, kept_id, kept_hash = (free_name(docs, n) for n in ("text_hash", "kept_id", "kept_hash"))
+    keyed, kept = docs.withColumn(hashed, F.xxhash64(F.coalesce("text", F.lit("")))), kept.toDF(kept_id, kept_hash)
+    same = F.col("doc_id").eqNullSafe(F.col(kept_id)) & (F.col(hashed) == F.col(kept_hash))
+    return keyed.join(kept, same, "left_semi").dropDuplicates(["doc_id", hashed]).drop(hashed)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
