@@ -15,6 +15,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +32,7 @@ PREFIXES = range(3, 9)
 
 _MARKS = [c for c in range(0x21, 0x7F) if not chr(c).isalnum()]
 _WORD = re.compile(r"[^\W\d_]+")
+_AROUND = ".,;:!?|()\"'"
 #: Digits and marks that stand for letters.
 _FOR_LETTERS = str.maketrans("013457$@!|", "oieastsail")
 
@@ -39,23 +41,31 @@ def forms(word: str) -> list[str]:
     return [word, *(word[:k] + "*" for k in PREFIXES if len(word) > k)]
 
 
-def token_features(token: bytes) -> set[str]:
-    """What a run of bytes that aren't blank brings."""
+def token_words(token: bytes) -> list[str]:
+    """The words in a run of bytes that aren't blank, and what it spells with digits and marks read as letters or left out."""
     text = token.decode("utf-8", "replace").lower()
+    if text.isalpha():
+        return [text]
+    core = text.strip(_AROUND)
+    if core.isalpha():
+        return [core]
     words = _WORD.findall(text)
-    out = {f for w in words for f in forms(w)}
-    if len(words) > 1 or (words and not text.isalpha()):
-        whole = "".join(_WORD.findall(text.strip(".,;:!?|()\"'").translate(_FOR_LETTERS)))
-        if whole not in words:
-            out.update(forms(whole))
+    whole = "".join(_WORD.findall(core.translate(_FOR_LETTERS)))
+    return words if not whole or whole in words else [*words, whole]
+
+
+def features(text: str | None, known: dict[bytes, list[str]] | None = None) -> set[str]:
+    """``known`` keeps what tokens bring, so that a run of texts looks into each once."""
+    raw, known = (text or "").encode("utf-8", "surrogatepass"), {} if known is None else known
+    out = _shares(raw)
+    for t in set(raw.lower().split()):
+        found = known.get(t)
+        if found is None:
+            found = known[t] = [f for w in token_words(t) for f in forms(w)]
+        out.update(found)
     return out
 
 
-def features(text: str | None) -> set[str]:
-    raw = (text or "").encode("utf-8", "surrogatepass")
-    return _shares(raw).union(*map(token_features, set(raw.lower().split())))
-
-
 def _shares(raw: bytes) -> set[str]:
     if not raw:
         return set()
@@ -72,15 +82,17 @@ class Vocabulary:
 
     def __init__(self, words: list[str]):
         self.index = {w: i for i, w in enumerate(words)}
+        self.heads = {w[: PREFIXES[0]] for w in words}
         self.known: set[bytes] = set()
         self.hits: dict[bytes, tuple[int, ...]] = {}
 
     def numbers(self, text: str | None) -> list[int]:
-        raw, index = (text or "").encode("utf-8", "surrogatepass"), self.index
+        raw, index, heads = (text or "").encode("utf-8", "surrogatepass"), self.index, self.heads
         found = {index[f] for f in _shares(raw) if f in index}
         tokens = set(raw.lower().split())
         for t in tokens - self.known:
-            if own := tuple(index[f] for f in token_features(t) if f in index):
+            words = [w for w in token_words(t) if w[: PREFIXES[0]] in heads]
+            if words and (own := tuple(index[f] for w in words for f in forms(w) if f in index)):
                 self.hits[t] = own
         for t in self.hits.keys() & tokens:
             found.update(self.hits[t])
@@ -111,8 +123,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, names: list[str], rows:
     picked = known.orderBy(F.xxhash64("l_id"), "l_id").limit(rows)
 
     def run(batches):
+        known: dict[bytes, list[str]] = {}
         for b in batches:
-            found = [sorted(features(t)) for t in b.column(1).to_pylist()]
+            found = [list(features(t, known)) for t in b.column(1).to_pylist()]
+            if len(known) > Vocabulary.KEPT:
+                known.clear()
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.string())), b.column(2)], names=["doc_id", "f", "y"])
 
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(picked), F.col("doc_id") == F.col("l_id")).select("doc_id", "text", "y")
@@ -148,12 +163,16 @@ def choose_vocabulary(sample: DataFrame, n_labels: int, size: int = VOCABULARY,
 
 def matrix(sample: DataFrame, vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(indices end to end, row starts, y) of the sample in doc_id order; bounded by SAMPLE_ROWS and VOCABULARY."""
-    index = {w: i for i, w in enumerate(vocabulary)}
+    words = pa.array(vocabulary, pa.string())
 
     def run(batches):
         for b in batches:
-            rows = [sorted(index[w] for w in f if w in index) for f in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.list_(pa.int32())), b.column(2)], names=["doc_id", "x", "y"])
+            at = pc.index_in(b.column(1).flatten(), value_set=words)
+            row = pc.list_parent_indices(b.column(1)).to_numpy()
+            there = at.is_valid().to_numpy(zero_copy_only=False)
+            ends = np.concatenate(([0], np.cumsum(np.bincount(row[there], minlength=b.num_rows))))
+            rows = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), at.filter(at.is_valid()))
+            yield pa.RecordBatch.from_arrays([b.column(0), rows, b.column(2)], names=["doc_id", "x", "y"])
 
     table = sample.mapInArrow(run, "doc_id bigint, x array<int>, y array<double>").toPandas().sort_values("doc_id", kind="stable")
     if not len(table):
