@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from vellum.llm import decontaminate, hilbert, lm_score, merkle, mixing, pii, registry, simhash, suffix_dedup, toxicity, warc
+from vellum.llm import decontaminate, hilbert, induced, lm_score, merkle, mixing, pii, registry, simhash, suffix_dedup, toxicity, warc
 from vellum.llm.components import connected_components
 
 SF = "/root/testdata/sf0.001"
@@ -424,17 +424,44 @@ def brute_removed(texts):
     return out
 
 
-def test_suffixes_are_sorted_also_from_files(tmp_path):
-    rng = random.Random(1)
-    for trial in range(120):
+def test_suffixes_and_common_prefixes_also_from_files(tmp_path, monkeypatch):
+    rng, spilled = random.Random(1), 0
+    for _ in range(150):
         symbols, n = rng.choice([1, 2, 3, 20]), rng.randrange(1, 250)
         x = [rng.randrange(1, symbols + 1) for _ in range(n)] * rng.choice((1, 1, 3)) + [0]
-        got = suffix_dedup.sort_suffixes(np.array(x, np.uint16), symbols + 1, 10**6, str(tmp_path), 200 if trial % 2 else 1 << 30)
-        assert got.tolist() == sorted(range(len(x)), key=lambda i: x[i:])
-    assert not list(tmp_path.iterdir())
-
-
-def test_removal_against_brute_force(spark, real):
+        depth, block, base, memory = rng.choice((10**6, 7)), rng.choice((16, 64, 1 << 22)), rng.choice((0, 8, 1 << 24)), rng.choice((200, 4000, 1 << 30))
+        monkeypatch.setattr(induced, "BATCH", rng.choice((5, 64, 1 << 20)))
+        store = induced.Store(str(tmp_path), memory)
+        text = induced.Pages(store, np.uint8, block)
+        text.append(np.array(x, np.uint8))
+        pairs = [(int(a), int(v)) for at, lcp in induced.suffixes(text.done(), store, depth, base) for a, v in zip(at, lcp, strict=True)]
+        got = [len(x) - 1, *(a for a, _ in reversed(pairs))]
+        assert sorted(got) == list(range(len(x))) and [x[i : i + depth] for i in got] == sorted(x[i : i + depth] for i in range(len(x)))
+        prefix = lambda a, b: next((k for k in range(min(depth, len(x))) if x[a + k : a + k + 1] != x[b + k : b + k + 1]), depth)  # noqa: B023, E731
+        assert [v for _, v in pairs][1:] == [prefix(got[i], got[i + 1]) for i in range(1, len(got) - 1)][::-1]
+        spilled += store.spilled
+        store.close()
+    assert spilled > 0 and not list(tmp_path.iterdir())
+
+
+def test_shard_far_larger_than_its_memory(tmp_path):
+    rng = random.Random(7)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(200)]
+    shared = [" ".join(rng.choice(words) for _ in range(120)) for _ in range(20)]
+    pieces = [(" ".join(rng.choice(words) for _ in range(rng.randint(1, 60))) + " " + rng.choice(shared) + " ".join(rng.choice(words) for _ in range(60)))[:776].encode() for _ in range(400)]
+    shard = suffix_dedup.Shard(str(tmp_path), 100_000, 1 << 14)
+    for p in pieces:
+        shard.add(p)
+    found = collections.defaultdict(set)
+    for k, a, b in zip(*shard.repeats(base=1000), strict=True):
+        found[k] |= set(range(a, b + 1))
+    counts = collections.Counter(p[i : i + 400] for p in pieces for i in range(len(p) - 399))
+    assert all(found[k] == {i for i in range(len(p) - 399) if counts[p[i : i + 400]] > 1} for k, p in enumerate(pieces))
+    assert shard.store.spilled > 20 * 100_000 and not list(tmp_path.iterdir())
+
+
+def test_removal_against_brute_force(spark, real, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "MEMORY", 50_000)  # the queues of the query's own shards spill
     got = {r[0]: tuple(r[1:]) for r in suffix_dedup.query(spark, SF).collect()}
     assert got == dict(zip(real.doc_id, brute_removed(real.text), strict=True))
 

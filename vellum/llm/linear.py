@@ -136,7 +136,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, names: list[str], rows:
 
 def choose_vocabulary(sample: DataFrame, n_labels: int, size: int = VOCABULARY, discovery: float = DISCOVERY) -> list[str]:
     """The features more frequent with a label than without that stand out at the false-discovery rate, for each label at
-    most its part of ``size``, the strongest first."""
+    most its part of ``size``, the strongest first. Of several labels, one that most rows have is told by the lack of the
+    others' features."""
     total = sample.agg(F.count("*").alias("n"), *(F.sum(F.col("y")[i]).alias(f"p{i}") for i in range(n_labels))).first()
     if not total["n"]:
         return []
@@ -151,9 +152,10 @@ def choose_vocabulary(sample: DataFrame, n_labels: int, size: int = VOCABULARY,
         return F.when(p * rows > n * all_p, g).otherwise(0.0)
 
     tested = stored(counts.select("w", *(ratio(i).alias(f"g{i}") for i in range(n_labels))))
-    tests, part = tested.count(), max(1, size // n_labels)
+    rare = [i for i in range(n_labels) if (total[f"p{i}"] or 0.0) <= rows / 2] or list(range(n_labels))
+    tests, part = tested.count(), max(1, size // len(rare))
     chosen: dict[str, None] = {}
-    for i in range(n_labels):
+    for i in rare:
         best = tested.select("w", F.col(f"g{i}").alias("g")).where("g > 0").orderBy(F.desc("g"), "w").limit(part).collect()
         # exp(-g / 2) bounds the odds of a ratio g by chance
         passed = [k for k, r in enumerate(best, 1) if math.exp(-r.g / 2) <= discovery * k / max(1, tests)]

@@ -4,17 +4,16 @@
    equal anchors at equal places, so only windows whose anchor occurs elsewhere can repeat. Windows that follow each
    other and share an anchor form a segment (start of the first to end of the last). Segments are counted by (anchor,
    hash): a segment met twice repeats whole, and one copy stands for all. Anchors with one segment only are done.
-2. Suffix sorting. The distinct segments of the other anchors are dealt by anchor into shards. A shard's suffixes are
-   sorted by induction: left-most S suffixes are ordered by inducing their substrings and by doubling over the names
-   (far enough to tell 400 bytes apart), then L suffixes are induced from left to right and S suffixes from right to left.
-   The priority queues of the induction are one first-in-first-out queue for each symbol (what is induced into a symbol's
-   bucket arrives in order), and queues beyond ``QUEUE_BYTES`` go on in files of the shared folder, so a shard's suffixes,
-   eight bytes each, needn't fit in memory. An anchor with over ``MAX_SEGMENTS`` distinct segments, such as the end of a
-   passage that very many documents hold, isn't gathered: its windows' hashes are counted instead. Neighbours in suffix order that agree on 400 bytes repeat.
+2. Suffix sorting. The distinct segments of the other anchors are dealt by anchor into tasks, and a task's segments are one
+   shard (at most ``SHARD_BYTES``, closed between anchors), sorted by ``induced``: disk-backed priority queues carry suffix
+   tuples with common-prefix values through a recursive induction, within ``MEMORY`` bytes; what is beyond goes on in files
+   of the shared folder. Neighbours whose common-prefix value reaches 400 repeat. An anchor with over ``MAX_SEGMENTS``
+   distinct segments, such as the end of a passage that very many documents hold, would be one task's work whatever its
+   memory: its windows' hashes are counted by an aggregation instead, which is exact too.
 3. Removal. Repeated windows go back to their documents, are united, and the bytes are cut out.
 
-Strings are judged on the input; matches never cross documents (segments don't). The 400-byte agreement of neighbours
-and of segments is by 64-bit hash within an anchor of 64 bits; no text is compared with all others.
+Strings are judged on the input; matches never cross documents (segments don't). Whole segments are told apart by a 64-bit
+hash within an anchor of 64 bits, bytes within a shard by the sort itself.
 
 Defined cases: null is empty; texts of under 400 bytes keep all bytes; a text repeated as a row of its own counts as
 elsewhere; repeated (doc_id, text) rows and repeated or null doc_ids stay separate rows; very long texts are cut into
@@ -25,22 +24,22 @@ ignored.
 from __future__ import annotations
 
 import hashlib
-import uuid
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vellum.llm import induced
 from vellum.llm._common import documents, plan_partitions, shared_dir, short_batches, stored
 
 WINDOW, GRAM = 400, 24
 PIECE = 1 << 20
-SHARD_BYTES = 1 << 20
-QUEUE_BYTES = 64 << 20
+SHARD_BYTES = 256 << 20
+#: What a shard's sort holds in memory, apart from three numbers a segment and the string of names.
+MEMORY = 32 << 20
 #: An anchor with more distinct segments than this isn't gathered: its windows are counted one by one.
 MAX_SEGMENTS = 20_000
 _ODD = 0x9E3779B97F4A7C15
@@ -88,198 +87,57 @@ def segments(raw: bytes, rolling: Rolling, window: int = WINDOW, gram: int = GRA
         yield h[(least[lo] & _MASK).astype(np.int64)], lo + base, hi + base
 
 
-# ---------------------------------------------------------------- induced sorting
-
-
-class Queues:
-    """A first-in-first-out queue for each symbol. What exceeds the budget goes to files below ``folder`` and comes back in order."""
-
-    def __init__(self, symbols: int, folder: str | None, budget: int = QUEUE_BYTES):
-        self.held: list[list[np.ndarray]] = [[] for _ in range(symbols)]
-        self.files: dict[int, list[str]] = {}
-        self.folder, self.budget, self.bytes, self.kind = folder, budget, 0, np.dtype(np.int32)
-
-    def push(self, symbols: np.ndarray, values: np.ndarray) -> None:
-        if not len(values):
-            return
-        self.kind = values.dtype
-        order = np.argsort(symbols, kind="stable")
-        symbols, values = symbols[order], values[order]
-        cuts = np.flatnonzero(symbols[1:] != symbols[:-1]) + 1
-        for c, part in zip(symbols[np.concatenate(([0], cuts))].tolist(), np.split(values, cuts), strict=True):
-            self.held[c].append(part)
-        self.bytes += values.nbytes
-        if self.bytes > self.budget and self.folder is not None:
-            self.spill()
-
-    def spill(self) -> None:
-        fs, base = pafs.FileSystem.from_uri(self.folder) if ":/" in self.folder else (pafs.LocalFileSystem(), self.folder)
-        for c in sorted(range(len(self.held)), key=lambda c: -sum(x.nbytes for x in self.held[c]))[:16]:
-            if self.held[c]:
-                path = f"{base}/queue-{uuid.uuid4().hex}"
-                with fs.open_output_stream(path, compression=None) as sink:
-                    sink.write(np.concatenate(self.held[c]).tobytes())
-                self.files.setdefault(c, []).append(path)
-                self.bytes -= sum(x.nbytes for x in self.held[c])
-                self.held[c] = []
-
-    def pop(self, c: int):
-        """All of a symbol's queue, run by run."""
-        held, self.held[c] = self.held[c], []
-        self.bytes -= sum(x.nbytes for x in held)
-        for path in self.files.pop(c, []):
-            fs, _ = pafs.FileSystem.from_uri(self.folder) if ":/" in self.folder else (pafs.LocalFileSystem(), self.folder)
-            with fs.open_input_stream(path, compression=None) as source:
-                while chunk := source.read(8 << 20):
-                    yield np.frombuffer(chunk, self.kind)
-            fs.delete_file(path)
-        if held:
-            yield np.concatenate(held)
-
-
-def _types(t: np.ndarray) -> np.ndarray:
-    """True for S suffixes; the last symbol is the sentinel."""
-    n = len(t)
-    differs = np.where(t[:-1] != t[1:], np.arange(n - 1), n)
-    after = np.minimum.accumulate(differs[::-1])[::-1]
-    s = np.ones(n, bool)
-    s[:-1] = t[after] < t[after + 1]
-    return s
-
-
-def induce(t: np.ndarray, seeds: np.ndarray, symbols: int, folder: str | None = None, budget: int = QUEUE_BYTES) -> np.ndarray:
-    """All suffixes in order, from the left-most S suffixes in (bucket) order. t ends with a sentinel 0 that occurs once."""
-    first = t[seeds]
-    order = np.argsort(first, kind="stable")
-    at = np.searchsorted(first[order], np.arange(symbols + 1))
-    seeds = seeds[order]
-    ls: list[list[np.ndarray]] = [[] for _ in range(symbols)]
-    queues = Queues(symbols, folder, budget)
-    for c in range(symbols):
-        runs = queues.pop(c)
-        while runs:  # what the bucket induces into itself comes after all that it held
-            own = []
-            for batch in runs:
-                ls[c].append(batch)
-                before = batch[batch > 0] - 1
-                x = t[before]
-                queues.push(x[x > c], before[x > c])
-                if (x == c).any():
-                    own.append(before[x == c])
-            runs = own
-        star = seeds[at[c] : at[c + 1]]
-        before = star[star > 0] - 1
-        queues.push(t[before], before)
-    out: list[np.ndarray] = []
-    queues = Queues(symbols, folder, budget)
-    for c in range(symbols - 1, -1, -1):
-        ss: list[np.ndarray] = []
-        runs = queues.pop(c)
-        while runs:
-            own = []
-            for batch in runs:
-                ss.append(batch)
-                before = batch[batch > 0] - 1
-                x = t[before]
-                queues.push(x[x < c], before[x < c])
-                if (x == c).any():
-                    own.append(before[x == c])
-            runs = own
-        left = np.concatenate(ls[c]) if ls[c] else seeds[:0]
-        ls[c] = []
-        back = left[::-1]
-        before = back[back > 0] - 1
-        x = t[before]
-        queues.push(x[x < c], before[x < c])
-        out += [*ss, back]
-    out.append(np.array([len(t) - 1], seeds.dtype))
-    return np.concatenate(out)[::-1]
-
-
-def _names(t: np.ndarray, stars: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """Rank of each star's substring (to the next star), by position in stars, from their induced order."""
-    length = np.diff(np.concatenate((stars, [len(t) - 1]))) + 1
-    where = np.searchsorted(stars, order)
-    a, b = where[:-1], where[1:]
-    live = np.flatnonzero(length[a] == length[b])
-    equal = np.zeros(len(a), bool)
-    k = 0
-    while len(live):
-        same = t[stars[a[live]] + k] == t[stars[b[live]] + k]
-        live = live[same]
-        k += 1
-        done = length[a[live]] <= k
-        equal[live[done]] = True
-        live = live[~done]
-    rank = np.empty(len(stars), np.int64)
-    rank[where] = np.concatenate(([0], np.cumsum(~equal)))
-    return rank
-
-
-def sort_suffixes(t: np.ndarray, symbols: int, depth: int = WINDOW, folder: str | None = None, budget: int = QUEUE_BYTES) -> np.ndarray:
-    """Suffixes of t (ends with its only 0) in order, as far as their first ``depth`` symbols tell them apart."""
-    s = _types(t)
-    stars = (np.flatnonzero(s[1:] & ~s[:-1]) + 1).astype(np.int32 if len(t) < 1 << 31 else np.int64)
-    if len(stars) > 1:
-        order = induce(t, stars, symbols, folder, budget)
-        is_star = np.zeros(len(t), bool)
-        is_star[stars] = True
-        rank = _names(t, stars, order[is_star[order]])
-        span = 1
-        # every star but the last reaches two symbols at least, so doubling ends by span = depth
-        while span < depth:
-            counts = np.bincount(rank)
-            tied = np.flatnonzero(counts[rank] > 1)
-            if not len(tied):
-                break
-            after = np.minimum(tied + span, len(stars) - 1)
-            second = np.where(tied + span < len(stars), rank[after] + 1, 0)
-            own = np.argsort(rank[tied] * (len(stars) + 1) + second)
-            r, q = rank[tied][own], second[own]
-            new_group = np.concatenate(([True], r[1:] != r[:-1]))
-            step = np.concatenate(([True], (r[1:] != r[:-1]) | (q[1:] != q[:-1])))
-            # ranks are numbers of smaller stars, so a group's members move up by their place in it
-            place = np.arange(len(r)) - np.maximum.accumulate(np.where(new_group, np.arange(len(r)), 0))
-            lead = np.maximum.accumulate(np.where(step, np.arange(len(r)), 0))
-            rank = _spread(rank, counts) if span == 1 else rank
-            base = rank[tied][own]
-            rank[tied[own]] = base + place[lead]
-            span *= 2
-        stars = stars[np.argsort(rank, kind="stable")]
-    return induce(t, stars, symbols, folder, budget)
-
-
-def _spread(rank: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Dense ranks to numbers of smaller stars."""
-    return np.concatenate(([0], np.cumsum(counts)[:-1]))[rank]
-
-
-def repeated_windows(pieces: list[bytes], window: int = WINDOW, folder: str | None = None, budget: int = QUEUE_BYTES, rolling: Rolling | None = None) -> list[np.ndarray]:
-    """For each piece, a mask of its window starts that repeat anywhere in the pieces."""
-    lengths = np.array([len(p) for p in pieces])
-    starts = np.concatenate(([0], np.cumsum(lengths + 1)))
-    t = np.ones(int(starts[-1]) + 1, np.uint16)
-    t[-1] = 0
-    hashes = np.zeros(len(t), np.uint64)
-    valid = np.zeros(len(t), bool)
-    rolling = rolling or Rolling(int(lengths.max()))
-    for p, o in zip(pieces, starts.tolist(), strict=False):
-        b = np.frombuffer(p, np.uint8)
-        t[o : o + len(b)] = b.astype(np.uint16) + 2
-        if len(b) >= window:
-            n = len(b) - window + 1
-            hashes[o : o + n] = rolling.hashes(b, window)
-            valid[o : o + n] = True
-    used = np.unique(t)
-    symbols = np.searchsorted(used, t).astype(np.uint16)
-    order = sort_suffixes(symbols, len(used), window, folder, budget)
-    order = order[valid[order]]
-    h = hashes[order]
-    same = h[1:] == h[:-1]
-    hit = np.zeros(len(t), bool)
-    hit[order[1:][same]] = True
-    hit[order[:-1][same]] = True
-    return [hit[o : o + max(0, len(p) - window + 1)] for p, o in zip(pieces, starts.tolist(), strict=False)]
+# ---------------------------------------------------------------- sorting a shard
+
+#: UTF-8 never uses thirteen byte values, which makes room for the end (0) and the mark between segments (1).
+_USED = np.array([c for c in range(256) if c not in (0xC0, 0xC1) and c < 0xF5])
+_SYMBOL = np.zeros(256, np.uint8)
+_SYMBOL[_USED] = np.arange(2, 2 + len(_USED))
+
+
+class Shard:
+    """Segments, sorted together; texts, suffixes and hits are kept in a store of bounded memory."""
+
+    def __init__(self, folder: str | None, memory: int = 0, block: int = induced.BLOCK):
+        self.store = induced.Store(folder, memory or MEMORY)
+        self.text = induced.Pages(self.store, np.uint8, block)
+        self.starts: list[int] = []
+        self.lengths: list[int] = []
+
+    def add(self, raw: bytes) -> None:
+        self.starts.append(len(self.text))
+        self.lengths.append(len(raw))
+        self.text.append(np.append(_SYMBOL[np.frombuffer(raw, np.uint8)], np.uint8(1)))
+
+    def repeats(self, window: int = WINDOW, base: int = induced.BASE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Runs of window starts that repeat: segment number, first and last start. A run may come in two."""
+        self.text.append(np.zeros(1, np.uint8))
+        text = self.text.done()
+        starts, lengths = np.array(self.starts), np.array(self.lengths)
+        hits: list[list[int]] = [[] for _ in text.keys]
+        last = None
+        for at, lcp in induced.suffixes(text, self.store, window, base):
+            again = lcp >= window
+            both = np.concatenate((at[again], at[:-1][again[1:]], [] if last is None or not again[0] else [last])).astype(at.dtype)
+            last = at[-1]
+            of = both // text.block
+            for b in np.unique(of).tolist():
+                hits[b].append(self.store.put(both[of == b]))
+        out = [np.empty(0, np.int64)] * 3
+        for keys in hits:
+            if keys:
+                at = np.unique(np.concatenate([self.store.drop(k) for k in keys])).astype(np.int64)
+                piece = np.searchsorted(starts, at, side="right") - 1
+                place = at - starts[piece]
+                inside = place <= lengths[piece] - window  # not past the mark between segments
+                piece, place = piece[inside], place[inside]
+                if len(place):
+                    new = np.concatenate(([True], (piece[1:] != piece[:-1]) | (place[1:] != place[:-1] + 1)))
+                    lo = np.flatnonzero(new)
+                    hi = np.concatenate((lo[1:], [len(place)])) - 1
+                    out = [np.concatenate(x) for x in zip(out, (piece[lo], place[lo], place[hi]), strict=True)]
+        self.store.close()
+        return tuple(out)
 
 
 def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -381,26 +239,29 @@ def repeated_spans(docs: DataFrame, max_segments: int = MAX_SEGMENTS) -> DataFra
     pieces = met.mapInArrow(cut, "anchor bigint, seg bigint, n bigint, hot boolean, bytes binary")
     shards = pieces.where("not hot").drop("hot").repartition(parts, "anchor").sortWithinPartitions("anchor", "seg")
 
-    def judge(rows: list[tuple], rolling):
-        masks = repeated_windows([r[3] for r in rows], WINDOW, folder, QUEUE_BYTES, rolling)
-        out = [(r[0], r[1], list(zip(*_runs(m), strict=True))) for r, m in zip(rows, masks, strict=True) if r[2] == 1 and m.any()]
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), _spans([r[2] for r in out])], names=["anchor", "seg", "runs"])
-
     def sort(batches):
-        rolling = Rolling(2 * WINDOW)
-        rows, size, last = [], 0, None
+        shard, names, size, last = Shard(folder), [], 0, None
+
+        def judged():
+            """Runs of the segments met once; those met more often repeat whole."""
+            piece, lo, hi = shard.repeats()
+            for i in range(0, len(piece), 1 << 16):
+                rows = [(*names[k][:2], a, z) for k, a, z in zip(piece[i : i + (1 << 16)].tolist(), lo[i : i + (1 << 16)].tolist(), hi[i : i + (1 << 16)].tolist(), strict=True) if names[k][2] == 1]
+                yield pa.RecordBatch.from_arrays([*(pa.array([x[j] for x in rows], pa.int64()) for j in (0, 1)), _spans([[x[2:]] for x in rows])], names=["anchor", "seg", "runs"])
+
         for b in batches:
-            for r in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                if last is not None and r[:2] == last:
+            for anchor, seg, n, raw in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                if last == (anchor, seg):
                     continue  # a repeated row of the table brings its segments again
-                if rows and size >= SHARD_BYTES and r[0] != last[0]:
-                    yield judge(rows, rolling)
-                    rows, size = [], 0
-                rows.append(r)
-                size += len(r[3])
-                last = r[:2]
-        if rows:
-            yield judge(rows, rolling)
+                if names and size >= SHARD_BYTES and anchor != last[0]:
+                    yield from judged()
+                    shard, names, size = Shard(folder), [], 0
+                shard.add(raw)
+                names.append((anchor, seg, n))
+                size += len(raw)
+                last = (anchor, seg)
+        if names:
+            yield from judged()
 
     runs = stored(shards.mapInArrow(sort, "anchor bigint, seg bigint, runs array<struct<lo:bigint,hi:bigint>>"))
     if not hot.isEmpty():
