@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow.fs as pafs
 
 #: Symbols of a block of text or names.
-BLOCK = 1 << 22
+BLOCK = 1 << 23
 #: Tuples handed on at once.
 BATCH = 1 << 20
 #: A string of at most so many names is sorted in memory.
@@ -129,10 +129,13 @@ class Pages:
         if len(self.keys) == 1:
             yield self.store.get(self.keys[0]), slice(None), at
             return
-        of = at // self.block
-        for b in np.unique(of).tolist():
+        if not len(at):
+            return
+        of = (at // self.block).astype(np.int16 if len(self.keys) < 1 << 15 else np.int64)
+        for b in range(int(of.min()), int(of.max()) + 1):
             own = np.flatnonzero(of == b)
-            yield self.store.get(self.keys[b]), own, at[own] - b * self.block
+            if len(own):
+                yield self.store.get(self.keys[b]), own, at[own] - b * self.block
 
     def gather(self, at: np.ndarray) -> np.ndarray:
         out = np.empty(len(at), self.kind)
@@ -150,6 +153,8 @@ class Pages:
     def search(self, values: np.ndarray) -> np.ndarray:
         """Index of the first entry of sorted pages that isn't below each value; it may be their length."""
         of = np.maximum(np.searchsorted(self.firsts, values, side="right") - 1, 0)
+        if len(self.keys) == 1:
+            return np.searchsorted(self.chunk(0), values)
         out = np.empty(len(values), np.int64)
         for b in np.unique(of).tolist():
             own = np.flatnonzero(of == b)
@@ -229,9 +234,9 @@ class Minima:
         def least(a, b):
             """min of lcp[a:b] for arrays a < b."""
             n = b - a
-            k = np.frexp(n.astype(np.float64))[1] - 1
+            k = (np.frexp(n.astype(np.float64))[1] - 1).astype(np.int8)
             found = np.empty(len(a), np.int32)
-            for j in np.unique(k).tolist():
+            for j in range(int(k.max(initial=-1)) + 1):
                 own = np.flatnonzero(k == j)
                 found[own] = np.minimum(table[j][a[own]], table[j][b[own] - (1 << j)])
             return found
@@ -270,7 +275,8 @@ def common(text: Pages, a: np.ndarray, b: np.ndarray, most: np.ndarray | int) ->
     live, k = np.arange(len(a)), 0
     most = np.broadcast_to(most, len(a))
     while len(live):
-        x = text.eight(np.minimum(a[live] + k, len(text) - 1)) ^ text.eight(np.minimum(b[live] + k, len(text) - 1))
+        # the end occurs once, so no two suffixes agree beyond it
+        x = text.eight(a[live] + k) ^ text.eight(b[live] + k)
         same = x == 0
         out[live] = k + np.where(same, 8, np.bitwise_count((x & (~x + np.uint64(1))) - np.uint64(1)).astype(np.int64) >> 3)
         k += 8
@@ -368,7 +374,7 @@ def _stars(text: Pages, store: Store) -> Pages:
         found = np.flatnonzero(s[1:] & ~s[:-1]) + 1 + base
         runs.append(store.put(found[found < n].astype(position)))
         s_next, symbol_next = bool(s[0]), t[0]
-    out = Pages(store, position, text.block)
+    out = Pages(store, position, max(1, text.block // 4))
     for key in reversed(runs):
         out.append(store.drop(key))
     return out.done()
@@ -384,7 +390,7 @@ def _doubled(names: np.ndarray, depth: int) -> np.ndarray:
         if not len(tied):
             break
         second = np.where(tied + span < n, rank[np.minimum(tied + span, n - 1)] + 1, 0)
-        own = np.lexsort((second, rank[tied]))
+        own = np.argsort(rank[tied] * (n + 1) + second)
         r, q = rank[tied][own], second[own]
         group = np.concatenate(([True], r[1:] != r[:-1]))
         step = np.concatenate(([True], (r[1:] != r[:-1]) | (q[1:] != q[:-1])))
