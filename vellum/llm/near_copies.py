@@ -40,9 +40,19 @@ _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct 64-bit hashes."""
+    """Sorted distinct hashes of 48 bits: a table of sets is larger than its texts, so they are no longer than they must be."""
     digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(s) for s in shingle_bytes(text, shingle)], np.uint64))
+    return np.unique(np.array([digest(s) for s in shingle_bytes(text, shingle)], np.uint64) >> np.uint64(16))
+
+
+def packed(hashes: np.ndarray) -> bytes:
+    return hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.reshape(-1).view("<u8")
 
 
 def coefficients() -> tuple[np.ndarray, np.ndarray]:
@@ -74,7 +84,7 @@ def marked_rows(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
         a, b = coefficients()
         for batch in batches:
             sets = [shingle_set(t, shingle) for t in batch.column(2).to_pylist()]
-            raw = [s.tobytes() for s in sets]
+            raw = [packed(s) for s in sets]
             nodes = np.array([xxhash.xxh64_intdigest(r) for r in raw], np.uint64).view(np.int64)
             keys = np.concatenate([band_keys(s, a, b) for s in sets] or [np.empty(0, np.uint64)]).view(np.int64)
             bands = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(keys))
@@ -89,9 +99,9 @@ def _verified(batches):
     for b in batches:
         ok = []
         for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-            n, m = len(x) // 8, len(y) // 8
+            n, m = len(x) // 6, len(y) // 6
             near = OF * min(n, m) >= SHARED * max(n, m)
-            ok.append(near and bool(similar(len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)), n, m)))
+            ok.append(near and bool(similar(len(np.intersect1d(unpacked(x), unpacked(y), assume_unique=True)), n, m)))
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
 
@@ -120,7 +130,7 @@ def _walk(batches):
     current = None
 
     def links():
-        found = group_links(np.array([h[0] for h in held]), np.array([h[1] for h in held], np.int64), [np.frombuffer(h[2], np.uint64) for h in held])
+        found = group_links(np.array([h[0] for h in held]), np.array([h[1] for h in held], np.int64), [unpacked(h[2]) for h in held])
         return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["u", "v"])
 
     for b in batches:
@@ -150,13 +160,15 @@ def rest_links(rest: DataFrame, sets: DataFrame, parts: int, chunk: int = CHUNK)
 
 
 def node_roots(marked: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """(node, root) of the nodes that have near copies, from stored rows of ``marked_rows``."""
+    """(node, root) of the nodes that have near copies, from stored rows of ``marked_rows``, which are deleted when the sets
+    that are compared have been taken from them."""
     parts = plan_partitions(marked.sparkSession)
     nodes = marked.groupBy("node").agg(F.first("bands").alias("bands"))
     keyed = nodes.select("node", F.explode("bands").alias("key")).withColumn("u", F.min("node").over(Window.partitionBy("key")))
     stars = stored(keyed.where("u <> node").select("u", F.col("node").alias("v")).distinct())
     met = stars.select(F.col("u").alias("node")).union(stars.select("v")).distinct()
     sets = stored(marked.select("node", "hashes").join(met, "node", "left_semi").groupBy("node").agg(F.first("hashes").alias("hashes")))
+    dropped(marked)
     one, two = sets.toDF("u", "su"), sets.toDF("v", "sv")
     linked = stored(stars.join(one, "u").join(two, "v").select("u", "v", "su", "sv").mapInArrow(_verified, "u bigint, v bigint"))
     clusters = connected_components(linked)
@@ -171,7 +183,6 @@ def node_roots(marked: DataFrame, chunk: int = CHUNK) -> DataFrame:
 def near_copies(docs: DataFrame, *, shingle: int = SHINGLE, chunk: int = CHUNK) -> DataFrame:
     """(doc_id, text_hash, root): one row per input row of docs(doc_id, text); rows of one root are one group."""
     marked = stored(marked_rows(docs, shingle))
+    rows = stored(marked.select("doc_id", "text_hash", "node"))
     roots = node_roots(marked, chunk)
-    named = stored(marked.select("doc_id", "text_hash", "node").join(roots, "node", "left").select("doc_id", "text_hash", F.coalesce("root", "node").alias("root")))
-    dropped(marked)  # the sets are larger than the texts
-    return named
+    return rows.join(roots, "node", "left").select("doc_id", "text_hash", F.coalesce("root", "node").alias("root"))
