@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions import geometry as G
 from vellum.functions import text as T
-from vellum.operators import formulas, gate, joins, layout, ownership, routing, sequence, stats, tables, translation
+from vellum.operators import formulas, gate, joins, layout, lifecycle, ownership, routing, sequence, stats, tables, translation
 
 
 def one(spark, expr):
@@ -161,9 +161,52 @@ def test_grid_resolution(spark):
 
 
 def test_recovery_policies(spark):
-    for stage, policy in formulas.RECOVERY:
-        assert one(spark, formulas.recovery(F.lit(stage))) == policy
-    assert one(spark, formulas.recovery(F.lit("complete"))) == "none"
+    """Lives of formulas and what may be done for them: whole, doubly owned, orphans with and without evidence, lost crops, assets and places."""
+    base = dict(status="incomplete", stage=None, double_owned=0, reattachable=False, duplicate_embed=0, embed_missing=0, svg_missing=0, viewbox_crops=0, model_exists=False, all_ink=False)
+    cases = [
+        (dict(status="complete", double_owned=9), "NO_ACTION"), (dict(status=None), "NO_ACTION"), (dict(double_owned=1), "BLOCK_UNSAFE"), (dict(status="orphan", reattachable=True), "READOPT_ORPHAN_FRAGMENT"),
+        (dict(status="ownership_error"), "BLOCK_UNSAFE"), (dict(stage="embedding", all_ink=True, duplicate_embed=1), "BLOCK_UNSAFE"), (dict(stage="embedding", all_ink=True, embed_missing=1), "REEMBED_EXISTING_SVG"),
+        (dict(stage="svg_generation", model_exists=True, embed_missing=1, svg_missing=1), "BLOCK_UNSAFE"), (dict(stage="svg_generation", viewbox_crops=2, model_exists=True), "REBUILD_VIEWBOX"),
+        (dict(stage="svg_generation", model_exists=True), "REGENERATE_SVG_FROM_EXISTING_MODEL"), (dict(stage="final_pdf", all_ink=True), "REEMBED_EXISTING_SVG"), (dict(stage="final_pdf"), "BLOCK_UNSAFE"), (dict(stage="detection", model_exists=True), "BLOCK_UNSAFE"),
+    ]
+    schema = "status string, stage string, double_owned int, reattachable boolean, duplicate_embed int, embed_missing int, svg_missing int, viewbox_crops int, model_exists boolean, all_ink boolean"
+    df = spark.createDataFrame([tuple((base | c).values()) for c, _ in cases], schema).coalesce(1)
+    assert [r[0] for r in df.select(lifecycle.recovery()).collect()] == [p for _, p in cases]
+
+
+def test_adopted_kinds_and_placeholders(spark):
+    want = {" ( 12 ) ": "equation_number", "(1234)": "ordinary_natural_language", "Where,": "condition_word", "correctly   supports.": "condition_word", "we show": "ordinary_natural_language", None: "ordinary_natural_language"}
+    assert [one(spark, lifecycle.adopted_kind(F.lit(k).cast("string"))) for k in want] == list(want.values())
+    p = spark.createDataFrame([(1, "a {{FORMULA_F1}} b {{FORMULA_F1}}"), (1, "{{FORMULA_F2}}")], "doc_id int, text string")
+    f = spark.createDataFrame([(1, "F1"), (1, "F2"), (1, "F3")], "doc_id int, formula string")
+    assert {r.formula: r.occurrences for r in lifecycle.placeholder_occurrences(p, f, ["doc_id"]).collect()} == {"F1": 2, "F2": 1, "F3": 0}
+
+
+def test_typographic_roles(spark):
+    cases = [("heading", "4 Method", "section_heading"), ("heading", "4.3 Setup", "subsection_heading"), ("heading", "D.1.1 More", "subsubsection_heading"), ("heading", "{{BOLD_0}}摘要{{END_BOLD_0}}", "abstract_heading"), ("heading", "4方法", "section_heading"), ("heading", "no number", "subsection_heading"), ("caption", "Figure 1", "caption"), ("footer", "x", "footnote"), (None, "plain", "body"), ("body", "[3] A study of 2019. x", "reference"), ("bibliography_item", "x", "reference")]
+    for style, text, role in cases:
+        assert one(spark, T.text_role(F.lit(style).cast("string"), F.lit(text), F.lit(text), F.lit(False), F.lit(None).cast("string"))) == role
+    assert one(spark, T.model_text(F.lit(" a {{BOLD_1}}b{{END_BOLD_1}}  {{FORMULA_F1}} "))) == "a b □"
+    assert [one(spark, T.span_script(F.lit(t))) for t in ("中1", "中", "a1", "12", "—")] == ["mixed", "cjk", "latin", "number", "punct"]
+    assert one(spark, T.connective_tokens(F.lit("A, and B; Where and if."))) == ["and", "where"]
+    assert one(spark, T.clean_heading(F.lit("{{BOLD_0}}A 综述生成中的信息瓶颈{{END_BOLD_0}} {{BOLD_1}}生成{{END_BOLD_1}}"))) == "{{BOLD_0}}综述生成中的信息瓶颈{{END_BOLD_0}}" and one(spark, T.clean_heading(F.lit("{{BOLD_0}}方法{{END_BOLD_0}}"))) == "{{BOLD_0}}方法{{END_BOLD_0}}"
+    fonts = lambda *f: F.array(*map(F.lit, f))
+    assert one(spark, T.is_code_expression(F.lit("layers = 6"), fonts("Times"))) and not one(spark, T.is_code_expression(F.lit("layers = 6"), fonts("Times", "CMMI10"))) and not one(spark, T.is_code_expression(F.lit("a + b"), fonts("Times")))
+
+
+def test_author_lines_are_references(spark):
+    for text, want in (("Jane Doe, John Roe, and Max Mustermann. 2020. A title.", True), ("Jane Doe 1 Big State University, 2019. Report", True), ("The limits of current methods are known (Wang et al., 2024)", False), ("", False)):
+        assert one(spark, translation.is_reference(F.lit(text))) == want
+
+
+def test_page_and_density_classes(spark):
+    r = "front_matter boolean, paragraphs int, references int, appendix_headings int, tables int, figures int, formulas int, full_width_tables int, full_width_figures int, substantive_0 int, substantive_1 int, grid_columns int, has_gutter boolean"
+    cases = [((True, 9, 9, 0, 0, 0, 0, 0, 0, 1, 1, 2, True), "front_matter_two_column"), ((False, 6, 3, 0, 0, 0, 0, 0, 0, 1, 1, 2, True), "reference_dense"), ((False, 7, 3, 0, 0, 0, 0, 0, 0, 1, 1, 2, True), "standard_two_column"), ((False, 30, 7, 0, 0, 0, 0, 0, 0, 1, 1, 2, True), "reference_dense"), ((False, 4, 0, 0, 0, 1, 0, 0, 0, 1, 1, 2, True), "single_column"), ((False, 9, 0, 1, 1, 0, 0, 1, 0, 1, 1, 2, True), "full_width_table_plus_two_column"), ((False, 9, 0, 1, 1, 0, 0, 0, 0, 1, 1, 2, True), "appendix_dense"), ((False, 9, 0, 0, 1, 1, 1, 0, 0, 1, 1, 2, True), "mixed_layout"), ((False, 9, 0, 0, 0, 0, 0, 0, 0, 1, 0, 2, True), "standard_two_column"), ((False, 9, 0, 0, 0, 0, 0, 0, 0, 1, 0, 1, False), "single_column")]
+    df = spark.createDataFrame([c for c, _ in cases], r).coalesce(1)
+    assert [x.page_class for x in layout.page_class(df).collect()] == [c for _, c in cases]
+    kinds = {0: ["formula"] * 8, 1: ["formula"], 2: ["table", "image"], 3: ["figure", "figure"], 4: ["text"], 5: ["formula", "figure"]}
+    d = spark.createDataFrame([(1, p, k, None) for p, ks in kinds.items() for k in ks] + [(1, 6, "table", "references")], "doc_id int, page int, kind string, semantic_role string")
+    assert [x.density_class for x in layout.density_class(d).orderBy("page").collect()] == ["formula_dense", "formula_dense", "mixed_content", "figure_dense", "text_only", "mixed_content", "reference_dense"]
 
 
 def test_box_join_by_strips_is_whole(spark):

@@ -51,10 +51,13 @@ def test_column_flow(spark):
 
 
 def test_capacity_takes_the_first_level_that_fits(spark):
-    p = spark.createDataFrame([(1, 0, 0, 0, 100.0, 200.0, False), (1, 1, 0, 0, 4000.0, 200.0, False)], "doc_id long, page long, ordinal long, column int, em double, width double, movable boolean")
-    i = spark.createDataFrame([(1, 0, 0, 72.0, 140.0), (1, 1, 0, 72.0, 100.0)], "doc_id long, page long, column int, a double, b double")
-    got = {r.page: (r.level, r.fits) for r in flow.resolve_capacity(p, i).collect()}
-    assert got[0][1] and 0 < got[0][0] < len(flow.LEVELS) - 1 and got[1] == (len(flow.LEVELS) - 1, False)
+    p = spark.createDataFrame([(1, 0, 0, 0, 100.0, 200.0, False, False), (1, 1, 0, 0, 4000.0, 200.0, False, False), (1, 2, 0, 0, 100.0, 200.0, False, True)], "doc_id long, page long, ordinal long, column int, em double, width double, movable boolean, reference boolean")
+    i = spark.createDataFrame([(1, 0, 0, 72.0, 151.1), (1, 1, 0, 72.0, 100.0), (1, 2, 0, 72.0, 135.0)], "doc_id long, page long, column int, a double, b double")
+    got = {r.page: r for r in flow.resolve_capacity(p, i).collect()}
+    # five lines: 75 points and a gap of 8, 6, 4; in the third setting they fit
+    assert (got[0].level, got[0].gap_scale, got[0].attempts, got[0].spill_required) == (2, 0.5, 3, False)
+    assert (got[1].level, got[1].attempts, got[1].spill_required) == (5, 7, True)
+    assert (got[2].level, got[2].reference_compact, got[2].spill_required) == (5, True, False)  # only references shrink so far
 
 
 def test_greedy_choice():

@@ -10,8 +10,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 PAGE = ["doc_id", "page"]
-#: Settings from roomy to tight: (font scale, line height). The last is tried if none fits.
-LEVELS = ((1.0, 1.5), (1.0, 1.4), (0.96, 1.4), (0.92, 1.35), (0.88, 1.3), (0.84, 1.25), (0.8, 1.2))
+# Settings from roomy to tight, (level, gap, line height, font) as scales, and those of references where they differ.
+# The last is taken if none fits.
+LEVELS = (
+    (0, 1.00, 1.00, 1.00, None),
+    (1, 0.75, 1.00, 1.00, None),
+    (2, 0.50, 1.00, 1.00, None),
+    (3, 0.45, 0.96, 1.00, None),
+    (4, 0.40, 0.92, 0.97, None),
+    (4, 0.35, 0.92, 0.94, None),
+    (5, 0.35, 0.92, 0.94, (0.22, 0.84, 0.88)),
+)
+#: Gap and line height at scale one.
+GAP, LINE_HEIGHT = 8.0, 1.5
 
 
 def place(items, obstacles, gap: float = 8.0, y0: float = 72.0):
@@ -47,12 +58,14 @@ def overflow(flow: DataFrame, limit: float = 720.0) -> DataFrame:
     return flow.groupBy(*PAGE).agg(F.greatest(F.lit(0.0), F.max(F.col("flow_y") + F.col("height")) - limit).alias("overflow"))
 
 
-def simulate(paragraphs, intervals, scale: float, line_height: float, size: float = 10.0) -> float:
-    """Height that finds no place: paragraphs (column, em, width, movable) into intervals {column: [(a, b), ...]} by cursors, the own column first, another if movable."""
+def simulate(paragraphs, intervals, setting, size: float = 10.0) -> float:
+    """Height that finds no place: paragraphs (column, em, width, movable, reference) into intervals {column: [(a, b), ...]} by
+    cursors, the own column first, another if movable. References take their own scales where the setting has them."""
     room = {c: [b - a for a, b in v] for c, v in intervals.items()}
     lost = 0.0
-    for column, em, width, movable in paragraphs:
-        need = max(1, math.ceil(em / max(1.0, width / (size * scale)))) * size * scale * line_height
+    for column, em, width, movable, reference in paragraphs:
+        gap, line, font = setting[4] if reference and setting[4] else setting[1:4]
+        need = max(1, math.ceil(em / max(1.0, width / (size * font)))) * size * font * LINE_HEIGHT * line + GAP * gap
         for c in [column, *([k for k in room if k != column] if movable else [])]:
             for i, free in enumerate(room.get(c, [])):
                 used = min(free, need)
@@ -67,9 +80,9 @@ def simulate(paragraphs, intervals, scale: float, line_height: float, size: floa
 
 
 def resolve_capacity(paragraphs: DataFrame, intervals: DataFrame, levels=LEVELS, tolerance: float = 0.01) -> DataFrame:
-    """paragraphs(doc_id, page, ordinal, column, em, width, movable), intervals(doc_id, page, column, a, b): the first level
-    without overflow, else the last; and whether it fits."""
-    rows = paragraphs.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("ordinal", "column", "em", "width", "movable"))).alias("ps"))
+    """paragraphs(doc_id, page, ordinal, column, em, width, movable, reference), intervals(doc_id, page, column, a, b): the first
+    setting without overflow, else the last: its level and scales, attempts made, overflow, and whether text spills."""
+    rows = paragraphs.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("ordinal", "column", "em", "width", "movable", "reference"))).alias("ps"))
     free = intervals.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("column", "a", "b"))).alias("iv"))
 
     def run(frames):
@@ -79,13 +92,15 @@ def resolve_capacity(paragraphs: DataFrame, intervals: DataFrame, levels=LEVELS,
                 by: dict[int, list] = {}
                 for x in r.iv if r.iv is not None else []:
                     by.setdefault(x["column"], []).append((x["a"], x["b"]))
-                ps = [(x["column"], x["em"], x["width"], x["movable"]) for x in r.ps]
-                tried = [simulate(ps, by, *level) for level in levels]
-                fit = next((i for i, v in enumerate(tried) if v <= tolerance), len(levels) - 1)
-                out.append((r.doc_id, r.page, fit, tried[fit], tried[fit] <= tolerance))
-            yield pd.DataFrame(out, columns=["doc_id", "page", "level", "overflow", "fits"])
-
-    return rows.join(free, PAGE, "left").mapInPandas(run, "doc_id long, page long, level int, overflow double, fits boolean")
+                ps = [(x["column"], x["em"], x["width"], x["movable"], x["reference"]) for x in r.ps]
+                for attempt, level in enumerate(levels, 1):
+                    over = simulate(ps, by, level)
+                    if over <= tolerance:
+                        break
+                out.append((r.doc_id, r.page, *level[:4], level[4] is not None, attempt, round(over, 3), over > tolerance))
+            yield pd.DataFrame(out, columns=["doc_id", "page", "level", "gap_scale", "line_height_scale", "font_scale", "reference_compact", "attempts", "overflow", "spill_required"])
+
+    return rows.join(free, PAGE, "left").mapInPandas(run, "doc_id long, page long, level int, gap_scale double, line_height_scale double, font_scale double, reference_compact boolean, attempts int, overflow double, spill_required boolean")
 
 
 def greedy_diverse(candidates: list[tuple[str, set]], n: int) -> list[str]:

@@ -75,25 +75,6 @@ def block_class(rows: Column, width_share: Column, numbered: Column, in_line: Co
     return F.when(in_line & (rows == 1), "inline").when(in_line, "complex_inline").when((rows == 1) & (numbered | (width_share < 0.9)), "display").otherwise("complex_display")
 
 
-# Recovery decisions, in order.
-RECOVERY = (
-    ("not_detected", "redetect"),
-    ("ownership_ambiguous", "reassign_owner"),
-    ("component_missing", "recompose_model"),
-    ("render_segment_missing", "resegment"),
-    ("asset_missing", "rerender_asset"),
-    ("placement_missing", "replace_in_flow"),
-)
-
-
-def recovery(stage: Column) -> Column:
-    """The policy for the first stage of the life cycle that failed; none if all held."""
-    out = F.when(stage == RECOVERY[0][0], RECOVERY[0][1])
-    for name, policy in RECOVERY[1:]:
-        out = out.when(stage == name, policy)
-    return out.otherwise("none")
-
-
 def merge_blocks(blocks: DataFrame, keys: list[str], line_height: float = 12.0) -> DataFrame:
     """Blocks joined until none can be: neighbours on rows that overlap in x by over 0.3 of the narrower and lie less than
     1.7 line heights apart, or up to 2.2 if the upper one's brackets are open. A page's blocks are few, so its components

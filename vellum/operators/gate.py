@@ -41,11 +41,11 @@ def decide(layer_rows: DataFrame, group: list[str]) -> DataFrame:
     return layer_rows.groupBy(*group).agg(b.alias("n_blocked"), w.alias("n_warning"), F.when(b > 0, "blocked").when(w > 0, "warning").otherwise("pass").alias("decision"))
 
 
-def weighted_defects(pages: DataFrame, weights: dict[str, int], keys: list[str]) -> DataFrame:
-    """Pages that have any defect, worst first; ties by key."""
+def weighted_defects(pages: DataFrame, weights: dict[str, int], keys: list[str], limit: int = 20) -> DataFrame:
+    """The worst pages that have any defect; ties by key. A top-k, so no full sort."""
     score = sum((F.col(c) * w for c, w in weights.items()), F.lit(0))
     present = F.filter(F.array(*(F.when(F.col(c) > 0, F.lit(c)) for c in weights)), lambda x: x.isNotNull())
-    return pages.select(*keys, score.alias("score"), F.array_join(present, ",").alias("defects")).where("score > 0").orderBy(F.desc("score"), *keys)
+    return pages.select(*keys, score.alias("score"), F.array_join(present, ",").alias("defects")).where("score > 0").orderBy(F.desc("score"), *keys).limit(limit)
 
 
 def complexity(pages: DataFrame, keys: list[str], limit: int = 20) -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellum.functions import geometry as G
 from vellum.operators import sequence, stats
 
 PAGE = ["doc_id", "page"]
@@ -35,26 +34,45 @@ def column_grid(spans: DataFrame, least_gutter: float = 6.0, share: float = 0.2)
     return out.select(*PAGE, "frame_x0", "frame_x1", F.when(F.col("v").isNull(), 1).otherwise(2).alias("n_columns"), F.col("v.valley_lo").alias("gutter_lo"), F.col("v.valley_hi").alias("gutter_hi"))
 
 
-def page_traits(spans: DataFrame) -> DataFrame:
-    """Counts that page classes are decided on."""
-    digits, caps = F.col("text").rlike("[0-9]"), F.col("text").rlike("^[A-Z]")
-    return spans.groupBy(*PAGE).agg(
-        F.count("*").alias("n_spans"), F.count_if(F.col("col") == 0).alias("left_spans"), F.count_if(F.col("col") == 1).alias("right_spans"), F.count_if(digits).alias("digit_spans"),
-        F.count_if(caps).alias("capital_spans"), F.max("y1").alias("bottom"), F.countDistinct("col", "line").alias("n_lines"), F.sum(G.area(G.box())).alias("ink_area"),
+# The opening of an appendix's heading.
+APPENDIX_HEADING = r"(?i)^\s*(?:Appendix\s+)?[A-Z](?:\.\d+)*(?:[.\s:]|$)"
+#: Roles whose paragraphs show columns.
+COLUMN_ROLES = ("body", "heading", "list_item", "caption")
+
+
+def page_traits(regions: DataFrame, pages: DataFrame) -> DataFrame:
+    """Counts that page classes are decided on. regions as in ``semantics``; pages(doc_id, page, width, front_matter, grid_columns, has_gutter)."""
+    from vellum.operators.translation import is_reference
+
+    text, role = F.col("kind") == "text", F.coalesce("role", F.lit("body"))
+    long = text & role.isin(*COLUMN_ROLES) & (F.length(F.trim("text")) >= 40)
+    full = lambda share: (F.col("x1") - F.col("x0")) / F.greatest(F.col("width"), F.lit(1.0)) >= share
+    counted = regions.join(pages.select(*PAGE, "width"), PAGE).groupBy(*PAGE).agg(
+        F.count_if(text).alias("paragraphs"),
+        F.count_if(text & is_reference(F.col("text"))).alias("references"),
+        F.count_if(text & (role == "heading") & F.col("text").rlike(APPENDIX_HEADING)).alias("appendix_headings"),
+        *(F.count_if(F.col("kind") == k).alias(f"{k}s") for k in ("table", "figure", "formula")),
+        *(F.count_if((F.col("kind") == k) & full(s)).alias(f"full_width_{k}s") for k, s in (("table", 0.64), ("figure", 0.64), ("formula", 0.60))),
+        *(F.count_if(long & (F.col("column") == c)).alias(f"substantive_{c}") for c in (0, 1)),
     )
+    return pages.join(counted, PAGE, "left").na.fill(0)
 
 
 def page_class(traits: DataFrame) -> DataFrame:
-    """Seven classes, the first rule that holds."""
-    one = F.col("right_spans") == 0
+    """Seven classes, the first rule that holds: semantics before geometry, the page's number never."""
+    c = F.col
+    both = (c("substantive_0") > 0) & (c("substantive_1") > 0)
+    dense = (c("references") >= 3) & ((c("references") / F.greatest("paragraphs", F.lit(1)) >= 0.48) | (c("references") >= 7))
+    plate = (c("figures") > 0) & (c("tables") + c("formulas") + c("appendix_headings") == 0) & (c("paragraphs") <= F.greatest(F.lit(4), 2 * c("figures")))
     cls = (
-        F.when((F.col("page") == 0) & ~one & (F.col("capital_spans") * 4 >= F.col("n_spans")), "front_matter_two_column")
-        .when(F.col("digit_spans") * 3 >= F.col("n_spans"), "reference_dense")
-        .when(one & (F.col("n_lines") <= 8), "sparse")
-        .when(one, "single_column")
-        .when(F.col("right_spans") * 4 < F.col("left_spans"), "mixed_layout")
-        .when(F.col("n_lines") >= 100, "dense_two_column")
-        .otherwise("standard_two_column")
+        F.when(c("front_matter"), "front_matter_two_column")
+        .when(dense, "reference_dense")
+        .when(plate, "single_column")
+        .when(c("full_width_tables") > 0, "full_width_table_plus_two_column")
+        .when(c("appendix_headings") > 0, "appendix_dense")
+        .when(both & ((c("full_width_figures") > 0) | ((c("figures") > 0) & (c("formulas") > 0))), "mixed_layout")
+        .when(both | (c("has_gutter") & (c("grid_columns") == 2)), "standard_two_column")
+        .otherwise("single_column")
     )
     return traits.withColumn("page_class", cls)
 
@@ -107,11 +125,14 @@ def order_defects(paragraphs: DataFrame, page_height: float = 792.0) -> DataFram
 
 
 def density_class(regions: DataFrame) -> DataFrame:
-    """Pages by what they hold: table, figure, formula, mixed or text heavy, or plain."""
-    c = regions.groupBy(*PAGE).agg(*(F.count_if(F.col("kind") == k).alias(k) for k in ("table", "figure", "formula", "text")))
-    many = (F.col("table") > 0).cast("int") + (F.col("figure") > 0).cast("int") + (F.col("formula") >= 3).cast("int")
-    cls = F.when(many >= 2, "mixed").when(F.col("table") > 0, "table_heavy").when(F.col("figure") > 0, "figure_heavy").when(F.col("formula") >= 3, "formula_heavy").when(F.col("text") >= 12, "text_dense").otherwise("plain")
-    return c.withColumn("density_class", cls)
+    """Pages by what they hold: references, a mix of formulas, tables and figures, or the densest kind. regions(doc_id, page, kind, semantic_role)."""
+    n = {k: F.count_if(F.col("kind").isin(*v)) for k, v in (("formula", ("formula",)), ("table", ("table",)), ("figure", ("figure", "image")))}
+    c = regions.groupBy(*PAGE).agg(*(v.alias(k) for k, v in n.items()), F.bool_or(F.coalesce(F.col("semantic_role") == "references", F.lit(False))).alias("refs_"))
+    kinds = sum(((F.col(k) >= 1).cast("int") for k in n), F.lit(0))
+    cls = F.when(F.col("refs_"), "reference_dense").when(kinds >= 2, "mixed_content")
+    for k, least in (("formula", 8), ("table", 2), ("figure", 2), ("table", 1), ("formula", 1), ("figure", 1)):
+        cls = cls.when(F.col(k) >= least, f"{k}_dense")
+    return c.withColumn("density_class", cls.otherwise("text_only")).drop("refs_")
 
 
 def bottom_reserve(notes: DataFrame, frames: DataFrame, gap: float = 16.0, line_height: float = 1.3) -> DataFrame:

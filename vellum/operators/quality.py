@@ -10,8 +10,6 @@ from vellum.functions import text as T
 from vellum.operators import joins, stats
 
 PAGE = ["doc_id", "page"]
-# Words that join clauses, which a translated text shouldn't keep.
-CONNECTIVES = ("and", "or", "but", "with", "for", "from", "where", "which", "that", "while", "when", "however", "therefore", "because")
 
 
 def collisions(texts: DataFrame, regions: DataFrame) -> DataFrame:
@@ -22,8 +20,7 @@ def collisions(texts: DataFrame, regions: DataFrame) -> DataFrame:
 
 def residual(spans: DataFrame, skip_roles=("reference", "formula", "code")) -> DataFrame:
     """Spans that still hold the source language: not East Asian, not an exempt role, not all capitalised names; connectives or a run of English."""
-    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
-    joins_ = F.size(F.array_intersect(words, F.array(*map(F.lit, CONNECTIVES)))) > 0
+    joins_ = F.size(T.connective_tokens(F.col("text"))) > 0
     names = F.col("text").rlike(r"^(?:[A-Z][\w.-]*\s*)+$")
     return spans.where(~T.has_cjk(F.col("text")) & ~F.col("role").isin(*skip_roles) & ~names & (joins_ | T.residual_english(F.col("text"))))
 

@@ -29,7 +29,7 @@ def density_profile(df: DataFrame, src: str = "src") -> DataFrame:
     function = f"(length(t) > 1 and lower(t) in ({_in(T.FUNCTION_WORDS)}))"
     # most texts hold no such character at all; a few ranges tell
     some = F.col("raw_").rlike(T.MAY_BE_MATH)
-    marks = {k: F.when(some, T.count_of(F.col("raw_"), v)).otherwise(0) for k, v in (("math_symbol_count", T.MATH_SYMBOLS), ("relation_operator_count", T.RELATIONS), ("greek_count", T.GREEK))}
+    marks = {k: F.when(some, T.count_of(F.col("raw_"), v)).otherwise(0) for k, v in (("math_symbol_count", T.MATH_SYMBOLS), ("relation_operator_count", T.COUNTED_RELATIONS), ("greek_count", T.GREEK))}
     placeholders = [F.regexp_extract_all(F.col(src), F.lit(p), F.lit(0)) for p in (T.FORMULA, T.PROTECTED)]
     chars = lambda a: F.length(F.array_join(a, ""))
     out = out.withColumns(

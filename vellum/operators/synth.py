@@ -46,3 +46,38 @@ SPANS_SQL = f"""words AS (
          CAST(82 + 12 * ((start_ // {CHARS}) % {LINES}) AS DOUBLE) AS y1, 10.0::DOUBLE AS size
   FROM placed
 )"""
+
+
+def regions(docs: DataFrame) -> DataFrame:
+    """Lines of a text as regions of pages of eight, as ``semantics`` takes them: every seventh a table, figure or formula."""
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("region", "text")).withColumn("text", F.regexp_replace("text", r"^\s+|\s+$", "")).where("text <> ''")
+    n = F.length("text")
+    kind = F.when(F.col("region") % 7 != 6, "text").otherwise(F.element_at(F.array(*map(F.lit, ("table", "figure", "formula", "display_formula"))), (n % 4 + 1).cast("int")))
+    role = F.when(F.col("text").rlike("^[-*]"), "list_item").when(F.col("text").rlike("^(Figure|Table)"), "caption").when(n <= 30, "heading").otherwise("body")
+    placed = lines.withColumn("page", F.expr("cast(region div 8 as bigint)")).withColumn("row_", F.col("region") % 8).withColumn("kind", kind).withColumn("role", role)
+    placed = placed.withColumn("column", F.when((F.col("page") == 0) & (F.col("row_") < 3), -1).otherwise(F.col("region") % 2)).withColumn("col_width", (200 + 20 * (n % 10)).cast("double"))
+    x0, y0 = (72 + 234 * F.greatest("column", F.lit(0))).cast("double"), (72 + 80 * F.col("row_")).cast("double")
+    return placed.select(
+        "doc_id", "page", "region", "kind", "role", F.when(F.col("text").rlike("[0-9]{4}"), "reference_item").alias("semantic_role"), "column", (~F.col("text").rlike("[.!?]$")).alias("continues"), "text", "col_width",
+        F.when(F.col("role") == "heading", 14.0).otherwise(10.0).alias("size"), x0.alias("x0"), y0.alias("y0"), (x0 + F.col("col_width") * F.when((F.col("kind") != "text") & (n % 3 == 0), 2).otherwise(1)).alias("x1"), (y0 + 60).alias("y1"),
+    )
+
+
+REGIONS_SQL = r"""region_lines AS (
+  SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents
+), region_rows AS (
+  SELECT doc_id, unnest(range(len(ls))) AS region, ls FROM region_lines
+), region_texts AS (
+  SELECT doc_id, region, regexp_replace(ls[region + 1], '^\s+|\s+$', '', 'g') AS text FROM region_rows
+), region_kinds AS (
+  SELECT doc_id, region, text, length(text) AS n, region // 8 AS page, region % 8 AS row_,
+         CASE WHEN region % 7 <> 6 THEN 'text' ELSE ['table', 'figure', 'formula', 'display_formula'][length(text) % 4 + 1] END AS kind,
+         CASE WHEN regexp_matches(text, '^[-*]') THEN 'list_item' WHEN regexp_matches(text, '^(Figure|Table)') THEN 'caption' WHEN length(text) <= 30 THEN 'heading' ELSE 'body' END AS role
+  FROM region_texts WHERE text <> ''
+), regions AS (
+  SELECT *, CASE WHEN regexp_matches(text, '[0-9]{4}') THEN 'reference_item' END AS semantic_role, CASE WHEN page = 0 AND row_ < 3 THEN -1 ELSE region % 2 END AS col,
+         NOT regexp_matches(text, '[.!?]$') AS continues, CAST(200 + 20 * (n % 10) AS DOUBLE) AS col_width, CASE WHEN role = 'heading' THEN 14.0 ELSE 10.0 END AS size,
+         CAST(72 + 234 * (CASE WHEN page = 0 AND row_ < 3 THEN 0 ELSE region % 2 END) AS DOUBLE) AS x0, CAST(72 + 80 * row_ AS DOUBLE) AS y0,
+         CAST((200 + 20 * (n % 10)) * (CASE WHEN kind <> 'text' AND n % 3 = 0 THEN 2 ELSE 1 END) AS DOUBLE) AS width
+  FROM region_kinds
+)"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vellum.functions import geometry as G
+from vellum.functions import text as T
 from vellum.operators import formulas, joins, layout, stats, synth
 from vellum.plans.text_queries import _long, _t
 
@@ -20,11 +21,6 @@ def synthetic_spans(spark, sf_dir):
     return _long(s.groupBy(*PAGE, "col").agg(F.count("*").alias("n"), F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1"))).select("doc_id", F.col("page").cast("bigint").alias("page"), F.col("col").cast("bigint").alias("col"), "n", "x0", "x1", "y0", "y1")
 
 
-def page_traits(spark, sf_dir):
-    t = layout.page_class(layout.page_traits(_spans(spark, sf_dir)))
-    return t.select("doc_id", F.col("page").cast("bigint").alias("page"), "n_spans", "left_spans", "right_spans", "digit_spans", "capital_spans", "bottom", "n_lines", "page_class")
-
-
 def reading_lines(spark, sf_dir):
     l = layout.lines(_spans(spark, sf_dir))
     return l.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.max("n_spans").alias("most_spans"), F.sum(F.length("text")).cast("bigint").alias("n_chars"))
@@ -97,7 +93,7 @@ def body_capacity(spark, sf_dir):
     return c.select("doc_id", F.col("page").cast("bigint").alias("page"), F.col("col").cast("bigint").alias("col"), "available", "height", "overflow")
 
 
-QUERIES = {f.__name__: f for f in (synthetic_spans, page_traits, reading_lines, page_occupancy, column_grids, box_pairs, region_owners, nearest_regions, region_coverage, reading_order, fragment_kinds, formula_runs, body_capacity)}
+QUERIES = {f.__name__: f for f in (synthetic_spans, reading_lines, page_occupancy, column_grids, box_pairs, region_owners, nearest_regions, region_coverage, reading_order, fragment_kinds, formula_runs, body_capacity)}
 
 S = synth.SPANS_SQL
 _PAIRS = "greatest(0.0::DOUBLE, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0.0::DOUBLE, least(a.y1, b.y1) - greatest(a.y0, b.y0))"
@@ -110,10 +106,17 @@ _LINES = """g AS (
 )"""
 _BANDS = "bands AS (SELECT p.doc_id, p.page, r.region, 0.0::DOUBLE AS x0, 79.0::DOUBLE * r.region AS y0, 700.0::DOUBLE AS x1, 79.0::DOUBLE * (r.region + 1) AS y1 FROM (SELECT DISTINCT doc_id, page FROM spans) p CROSS JOIN (SELECT unnest(range(10)) AS region) r)"
 
+_MATH = f"[{T.GREEK}{T.MATH_SYMBOLS}]"
+_STRIPS = "range(CAST(floor(y0 / 120) AS BIGINT), CAST(floor(y1 / 120) AS BIGINT) + 1)"
+
 ORACLE_SQL = {
+    "fragment_kinds": f"""WITH {S}, t AS (SELECT trim(text) AS t FROM spans) SELECT CASE WHEN regexp_matches(t, '^\\([0-9]{{1,3}}\\)$') THEN 'equation_number' WHEN regexp_matches(t, '{_MATH}') THEN 'math_glyph' WHEN regexp_matches(lower(t), '^(?:if|otherwise|where|and|for|with|subject|to|s\\.t\\.)$') THEN 'condition_word'
+        WHEN regexp_matches(t, '^[^\\w\\s]+$') THEN 'punctuation' WHEN regexp_matches(t, '[A-Za-z]{{2,}}\\s+[A-Za-z]{{2,}}') THEN 'prose' WHEN regexp_matches(t, '^[A-Za-z]+$') THEN 'roman_label' ELSE 'symbol' END AS kind, count(*) AS n FROM t GROUP BY 1""",
+    "formula_runs": f"""WITH {S}, c AS (SELECT * FROM spans WHERE (trim(text) <> '' AND (regexp_matches(trim(text), '{_MATH}') OR regexp_matches(trim(text), '^\\p{{Sm}}+$') OR regexp_matches(trim(text), '^[0-9]+$'))) OR regexp_matches(text, '^[0-9]')), f AS (SELECT *, coalesce(CASE WHEN x0 - lag(x1) OVER w > 15 THEN 1 WHEN lag(x1) OVER w IS NULL THEN 1 ELSE 0 END, 1) AS f FROM c WINDOW w AS (PARTITION BY doc_id, page, y0 ORDER BY x0, ordinal))
+        SELECT doc_id, CAST(sum(f) AS BIGINT) AS runs, count(*) AS spans FROM f GROUP BY 1""",
+    "box_pairs": f"""WITH {S}, z AS (SELECT *, unnest({_STRIPS}) AS strip FROM spans), p AS (SELECT a.doc_id, a.ordinal AS i, b.ordinal AS j, any_value({_PAIRS}) AS area FROM z a JOIN z b ON a.doc_id = b.doc_id AND a.page = b.page AND a.strip = b.strip AND a.ordinal < b.ordinal AND a.y0 < b.y1 AND b.y0 < a.y1 AND a.x0 < b.x1 AND b.x0 < a.x1 GROUP BY 1, 2, 3)
+        SELECT doc_id, count(*) AS n, sum(area) AS area FROM p WHERE area > 0 GROUP BY 1""",
     "synthetic_spans": f"WITH {S} SELECT doc_id, page, col, count(*) AS n, min(x0) AS x0, max(x1) AS x1, min(y0) AS y0, max(y1) AS y1 FROM spans GROUP BY 1, 2, 3",
-    "page_traits": f"""WITH {S}, t AS (SELECT doc_id, page, count(*) AS n_spans, count(*) FILTER (WHERE col = 0) AS left_spans, count(*) FILTER (WHERE col = 1) AS right_spans, count(*) FILTER (WHERE regexp_matches(text, '[0-9]')) AS digit_spans, count(*) FILTER (WHERE regexp_matches(text, '^[A-Z]')) AS capital_spans, max(y1) AS bottom, count(DISTINCT col * 100 + line) AS n_lines FROM spans GROUP BY 1, 2)
-        SELECT *, CASE WHEN page = 0 AND right_spans > 0 AND capital_spans * 4 >= n_spans THEN 'front_matter_two_column' WHEN digit_spans * 3 >= n_spans THEN 'reference_dense' WHEN right_spans = 0 AND n_lines <= 8 THEN 'sparse' WHEN right_spans = 0 THEN 'single_column' WHEN right_spans * 4 < left_spans THEN 'mixed_layout' WHEN n_lines >= 100 THEN 'dense_two_column' ELSE 'standard_two_column' END AS page_class FROM t""",
     "reading_lines": f"WITH {S}, {_LINES} SELECT doc_id, count(*) AS n_lines, max(n_spans) AS most_spans, CAST(sum(n_chars) AS BIGINT) AS n_chars FROM lines GROUP BY 1",
     "region_owners": f"WITH {S}, {_BANDS}, p AS (SELECT a.doc_id, a.ordinal, b.region, {_PAIRS} AS area FROM spans a JOIN bands b ON a.doc_id = b.doc_id AND a.page = b.page), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, ordinal ORDER BY area DESC, region) AS r FROM p WHERE area > 0) SELECT doc_id, region, count(*) AS n, sum(area) AS area FROM r WHERE r = 1 GROUP BY 1, 2",
     "nearest_regions": f"WITH {S}, {_LINES}, {_BANDS}, p AS (SELECT a.doc_id, a.page, a.ordinal, b.region, abs((a.y0 + a.y1) / 2 - (b.y0 + b.y1) / 2) AS dy FROM lines a JOIN bands b ON a.doc_id = b.doc_id AND a.page = b.page), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page, ordinal ORDER BY dy, region) AS r FROM p) SELECT region AS nearest, count(*) AS n FROM r WHERE r = 1 GROUP BY 1",

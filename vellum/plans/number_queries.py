@@ -128,13 +128,6 @@ def complexity_ranking(spark, sf_dir):
     return gate.complexity(o, ["l_orderkey"]).select("l_orderkey", F.col("score").cast("bigint").alias("score"))
 
 
-def recovery_policies(spark, sf_dir):
-    from vellum.operators import formulas
-
-    stage = F.when(F.col("l_linenumber") <= 5, F.element_at(F.array(*(F.lit(s) for s, _ in formulas.RECOVERY)), F.col("l_linenumber")))
-    return _t(spark, sf_dir, "lineitem").groupBy(formulas.recovery(F.coalesce(stage, F.lit(""))).alias("policy")).agg(F.count("*").alias("n"))
-
-
 def failure_taxonomy(spark, sf_dir):
     o = _t(spark, sf_dir, "lineitem").select("l_returnflag", F.filter(F.array(F.when(F.col("l_discount") >= 0.08, F.lit("discount")), F.when(F.col("l_tax") >= 0.06, F.lit("tax")), F.when(F.col("l_quantity") >= 45, F.lit("quantity"))), lambda x: x.isNotNull()).alias("defects"))
     return gate.taxonomy(o, ["l_returnflag"])
@@ -210,7 +203,7 @@ def rule_roles(spark, sf_dir):
     return tables.rule_roles(r, ["l_orderkey"]).groupBy("role").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (summary_stats, upper_medians, trimmed_prices, first_modes, price_outliers, robust_profile, merged_intervals, free_intervals, voids, activity_islands, median_gaps, asof_events, interval_differences, integrity_gate, gate_layers, gate_decision, manifest_counts, defect_ranking, complexity_ranking, recovery_policies, failure_taxonomy, owner_resolution, owner_priority, owner_ledger, placement_cardinality, fragment_reuse, subset_blocks, table_cells, table_alignment, table_quality, table_html, table_types, rule_roles)}
+QUERIES = {f.__name__: f for f in (summary_stats, upper_medians, trimmed_prices, first_modes, price_outliers, robust_profile, merged_intervals, free_intervals, voids, activity_islands, median_gaps, asof_events, interval_differences, integrity_gate, gate_layers, gate_decision, manifest_counts, defect_ranking, complexity_ranking, failure_taxonomy, owner_resolution, owner_priority, owner_ledger, placement_cardinality, fragment_reuse, subset_blocks, table_cells, table_alignment, table_quality, table_html, table_types, rule_roles)}
 
 _INTERVALS = """iv AS (
   SELECT user_id, event_id, CAST(floor(epoch(ts)) AS BIGINT) AS lo, CAST(floor(epoch(ts)) + floor(abs(value)) AS BIGINT) AS hi FROM events
@@ -262,9 +255,8 @@ ORACLE_SQL = {
     "gate_decision": f"WITH {_MANIFEST}, l AS (SELECT source, CASE WHEN bool_or(status IN ('error', 'not_run', 'missing')) THEN 'blocked' WHEN bool_or(status = 'fail') THEN 'warning' ELSE 'pass' END AS layer FROM manifest WHERE stage = 'language' GROUP BY 1) SELECT source, count(*) FILTER (WHERE layer = 'blocked') AS n_blocked, count(*) FILTER (WHERE layer = 'warning') AS n_warning, CASE WHEN bool_or(layer = 'blocked') THEN 'blocked' WHEN bool_or(layer = 'warning') THEN 'warning' ELSE 'pass' END AS decision FROM l GROUP BY 1",
     "manifest_counts": f"WITH {_MANIFEST} SELECT stage, count(*) FILTER (WHERE status = 'pass') AS pass, count(*) FILTER (WHERE status = 'fail') AS fail, count(*) FILTER (WHERE status = 'error') AS error, count(*) FILTER (WHERE status = 'missing') AS missing FROM manifest GROUP BY 1",
     "defect_ranking": """WITH o AS (SELECT l_orderkey, count(*) FILTER (WHERE l_discount >= 0.1) AS a, count(*) FILTER (WHERE l_returnflag = 'R') AS b, count(*) FILTER (WHERE l_quantity >= 49) AS c FROM lineitem GROUP BY 1) SELECT l_orderkey, 23 * a + 30 * b + 50 * c AS score,
-        CASE WHEN a > 0 THEN 'deep_discount' ELSE '' END || CASE WHEN a > 0 AND (b > 0 OR c > 0) THEN ',' ELSE '' END || CASE WHEN b > 0 THEN 'returned' ELSE '' END || CASE WHEN b > 0 AND c > 0 THEN ',' ELSE '' END || CASE WHEN c > 0 THEN 'bulk' ELSE '' END AS defects FROM o WHERE a + b + c > 0""",
+        CASE WHEN a > 0 THEN 'deep_discount' ELSE '' END || CASE WHEN a > 0 AND (b > 0 OR c > 0) THEN ',' ELSE '' END || CASE WHEN b > 0 THEN 'returned' ELSE '' END || CASE WHEN b > 0 AND c > 0 THEN ',' ELSE '' END || CASE WHEN c > 0 THEN 'bulk' ELSE '' END AS defects FROM o WHERE a + b + c > 0 ORDER BY score DESC, l_orderkey LIMIT 20""",
     "complexity_ranking": "WITH o AS (SELECT l_orderkey, 8 * count(*) + sum(l_linenumber) + 25 * count(DISTINCT l_suppkey) + 35 * count(DISTINCT l_returnflag) + 10 * count(*) FILTER (WHERE l_tax > 0.04) + least(count(*), 20) AS score FROM lineitem GROUP BY 1) SELECT l_orderkey, CAST(score AS BIGINT) AS score FROM o ORDER BY score DESC, l_orderkey LIMIT 20",
-    "recovery_policies": "SELECT CASE l_linenumber WHEN 1 THEN 'redetect' WHEN 2 THEN 'reassign_owner' WHEN 3 THEN 'recompose_model' WHEN 4 THEN 'resegment' WHEN 5 THEN 'rerender_asset' ELSE 'none' END AS policy, count(*) AS n FROM lineitem GROUP BY 1",
     "failure_taxonomy": "SELECT l_returnflag, defect, count(*) AS n FROM (SELECT l_returnflag, 'discount' AS defect FROM lineitem WHERE l_discount >= 0.08 UNION ALL SELECT l_returnflag, 'tax' FROM lineitem WHERE l_tax >= 0.06 UNION ALL SELECT l_returnflag, 'quantity' FROM lineitem WHERE l_quantity >= 45) GROUP BY 1, 2",
     "owner_resolution": "WITH s AS (SELECT l_partkey, l_suppkey, l_orderkey * 10 + l_linenumber AS p, 1 + 2 * CAST(l_quantity > 25 AS INT) + 3 / (1 + l_extendedprice / 100) + 2 / (1 + l_tax) + 0.5::DOUBLE * CAST(l_returnflag = 'R' AS INT) + 1.5::DOUBLE * CAST(l_linestatus = 'O' AS INT) AS score FROM lineitem), r AS (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY score DESC, p) AS r FROM s) SELECT l_partkey, l_suppkey, p, round(score, 6) AS score FROM r WHERE r = 1",
     "owner_priority": "WITH c AS (SELECT DISTINCT l_partkey, CASE l_returnflag WHEN 'R' THEN 'table' WHEN 'A' THEN 'formula' ELSE 'text' END AS owner_type, l_suppkey AS owner_id FROM lineitem), r AS (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY CASE owner_type WHEN 'table' THEN 1 WHEN 'formula' THEN 2 ELSE 4 END, owner_id) AS r, count(*) OVER (PARTITION BY l_partkey) AS n_claims FROM c) SELECT l_partkey, owner_type, owner_id, n_claims FROM r WHERE r = 1",

@@ -36,7 +36,7 @@ PROFILE = f"""{PARAGRAPHS}, raw AS (
     length(array_to_string(list_filter(toks, lambda t: NOT {PROSE_SQL}), '')) + len(regexp_extract_all(raw, '[{T.MATH_SYMBOLS}{T.GREEK}0-9]')) AS math_char_count,
     len(list_filter(toks, lambda t: NOT {PROSE_SQL} AND NOT (length(t) > 1 AND lower(t) IN ({_quoted(T.FUNCTION_WORDS)})))) AS latin_identifier_count,
     len(regexp_extract_all(raw, '[{T.MATH_SYMBOLS}]')) AS math_symbol_count,
-    len(regexp_extract_all(raw, '[{T.RELATIONS}]')) AS relation_operator_count,
+    len(regexp_extract_all(raw, '[{T.COUNTED_RELATIONS}]')) AS relation_operator_count,
     len(regexp_extract_all(raw, '[{T.GREEK}]')) AS greek_count,
     len(regexp_extract_all(raw, '[0-9]+(?:\\.[0-9]+)?(?:e[+-]?[0-9]+)?')) AS numeric_token_count
   FROM tokens
@@ -171,6 +171,16 @@ def reference_density(spark, sf_dir):
     return sequence.document_states(pages, "doc_id", "pos").groupBy("doc_id").agg(F.count_if(F.col("state") == "references").alias("in_references"), F.count_if("inherited").alias("n_inherited"))
 
 
+def reference_sql(column: str) -> str:
+    """The rule of ``translation.is_reference`` in SQL."""
+    quoted = lambda p: p.replace("'", "''")
+    text = f"regexp_replace({column}, '^\\s+|\\s+$', '', 'g')"
+    opening = f"CASE WHEN regexp_extract({text}, '{quoted(translation.AUTHORS)}') <> '' THEN regexp_extract({text}, '{quoted(translation.AUTHORS)}') ELSE regexp_extract({text}, '{quoted(translation.AUTHOR_LINE)}') END"
+    rest = f"regexp_replace(substring({text}, length({opening}) + 1), '^\\s+', '')"
+    window = f"array_to_string(list_slice(regexp_split_to_array({rest}, '\\s+'), 1, 30), ' ')"
+    return f"({opening} <> '' AND (regexp_matches({window}, '{translation.YEAR}') OR regexp_matches({rest}, '^[A-Za-z]+\\.\\s') OR regexp_matches({window}, '{translation.REFERENCE_WORDS}')))"
+
+
 QUERIES = {f.__name__: f for f in (route_distribution, density_profile, route_plan, script_profile, style_roles, heading_numbers, content_kinds, residual_text, text_extent, reference_items, unchanged_items, translation_cache, translation_status, templates, word_recall, repeated_words, stitched_units, joined_lines, html_structure, conversation_states, reference_density)}
 
 _ITEMS = f"""{PARAGRAPHS}, items AS (
@@ -193,6 +203,7 @@ _ITEMS = f"""{PARAGRAPHS}, items AS (
 )"""
 
 ORACLE_SQL = {
+    "reference_items": f"WITH {PARAGRAPHS} SELECT source, count(*) FILTER (WHERE {reference_sql('src')}) AS \"references\", count(*) AS paragraphs FROM paragraphs GROUP BY 1",
     "route_distribution": f"WITH {PROFILE} SELECT source, route, count(*) AS n_paragraphs, CAST(sum(length(src)) AS BIGINT) AS n_chars FROM routed GROUP BY 1, 2",
     "density_profile": f"WITH {PROFILE} SELECT doc_id, pos, source_char_count, prose_char_count, math_char_count, latin_identifier_count, math_symbol_count, relation_operator_count, greek_count, numeric_token_count, route FROM routed",
     "route_plan": f"WITH {PROFILE} SELECT CASE route WHEN 'NON_TRANSLATABLE_MATH' THEN 'keep' WHEN 'NORMAL' THEN 'translate' ELSE 'protect_and_translate' END AS action, count(*) AS n, CAST(sum(prose_char_count) AS BIGINT) AS prose_chars FROM routed GROUP BY 1",
