@@ -6,15 +6,58 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Bands of values for each doubling of their size. Bands depend on the value alone, so no pass is needed to find them.
+BANDS = 32
+
+
+def band(value: Column) -> Column:
+    """A whole number that never falls as the value rises."""
+    v = value.cast("double")
+    return (F.signum(v) * F.floor(F.log2(F.abs(v) + 1) * BANDS)).cast("int")
+
+
+def _before(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """counts(keys, band_, n_) plus the rows of lower bands and of all: a window over one row a band."""
+    w = Window.partitionBy(*keys)
+    below = F.coalesce(F.sum("n_").over(w.orderBy("band_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return counts.select(*keys, "band_", below.alias("below_"), F.sum("n_").over(w).alias("all_"))
+
+
+def ranked(df: DataFrame, keys: list[str], value: str, order: list[str] = ()) -> DataFrame:
+    """df plus ``r_`` (rank from 1 by value, then order) and ``n_``. Rows are sorted by band, not by key, so a key that holds a
+    third of the table is many tasks' work."""
+    banded = df.withColumn("band_", band(F.col(value)))
+    places = _before(banded.groupBy(*keys, "band_").agg(F.count("*").alias("n_")), keys)
+    within = F.row_number().over(Window.partitionBy(*keys, "band_").orderBy(value, *order))
+    return banded.join(places, [*keys, "band_"]).withColumn("r_", F.col("below_") + within).withColumnRenamed("all_", "n_").drop("band_", "below_")
+
+
+def quantiles(df: DataFrame, keys: list[str], value: str, fractions: list[float]) -> DataFrame:
+    """(keys, n, q array): exact quantiles, interpolated. Values are counted first, then bands of distinct values are sorted,
+    so neither a key nor a value is one task's work."""
+    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("v_")).agg(F.count("*").alias("c_")).withColumn("band_", band(F.col("v_")))
+    places = _before(counted.groupBy(*keys, "band_").agg(F.sum("c_").alias("n_")), keys)
+    up_to = F.col("below_") + F.sum("c_").over(Window.partitionBy(*keys, "band_").orderBy("v_"))
+    j = counted.join(places, [*keys, "band_"]).withColumn("to_", up_to)
+
+    def at(rank: Column) -> Column:
+        """The value at a rank from 0."""
+        return F.max(F.when((F.col("to_") > rank) & (F.col("to_") - F.col("c_") <= rank), F.col("v_")))
+
+    place = [(F.col("all_") - 1) * f for f in fractions]
+    found = j.groupBy(*keys).agg(F.max("all_").alias("n"), *(at(F.floor(p)).alias(f"lo{i}_") for i, p in enumerate(place)), *(at(F.ceil(p)).alias(f"hi{i}_") for i, p in enumerate(place)))
+    rest = [(F.col("n") - 1) * f - F.floor((F.col("n") - 1) * f) for f in fractions]
+    return found.select(*keys, "n", F.array(*(F.when(w == 0, F.col(f"lo{i}_")).otherwise((1 - w) * F.col(f"lo{i}_") + w * F.col(f"hi{i}_")) for i, w in enumerate(rest))).alias("q"))
+
+
 def summary(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """count, median, p10, p90, min, max and the median absolute deviation; null and NaN values are left out."""
-    v = F.col(value)
-    clean = df.where(v.isNotNull() & ~F.isnan(v.cast("double")))
-    centred = clean.groupBy(*keys).agg(
-        F.count("*").alias("sample_count"), F.expr(f"median({value})").alias("median"), F.expr(f"percentile({value}, array(0.1, 0.9))").alias("q"), F.min(v).alias("min"), F.max(v).alias("max")
-    )
-    mad = clean.join(centred.select(*keys, "median"), keys).groupBy(*keys).agg(F.expr(f"median(abs({value} - median))").alias("mad"))
-    return centred.join(mad, keys).select(*keys, "sample_count", "median", F.col("q")[0].alias("p10"), F.col("q")[1].alias("p90"), "min", "max", "mad")
+    v = F.col(value).cast("double")
+    clean = df.where(v.isNotNull() & ~F.isnan(v))
+    centred = quantiles(clean, keys, value, [0.5, 0.1, 0.9, 0.0, 1.0])
+    off = clean.join(centred.select(*keys, F.col("q")[0].alias("m_")), keys).withColumn("off_", F.abs(F.col(value) - F.col("m_")))
+    mad = quantiles(off, keys, "off_", [0.5]).select(*keys, F.col("q")[0].alias("mad"))
+    return centred.join(mad, keys).select(*keys, F.col("n").alias("sample_count"), *(F.col("q")[i].alias(c) for i, c in enumerate(("median", "p10", "p90", "min", "max"))), "mad")
 
 
 def robust_z(value: Column, centre: Column, spread: Column, floor: float = 1e-9) -> Column:
@@ -22,18 +65,16 @@ def robust_z(value: Column, centre: Column, spread: Column, floor: float = 1e-9)
 
 
 def upper_median(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """The upper of the two middle values; not an average. Ranks by a window, so a large group is sorted and not gathered."""
-    w = Window.partitionBy(*keys)
-    ranked = df.where(F.col(value).isNotNull()).withColumn("r_", F.row_number().over(w.orderBy(value)) - 1).withColumn("n_", F.count("*").over(w))
-    return ranked.where(F.col("r_") == F.floor(F.col("n_") / 2)).select(*keys, F.col(value).alias("upper_median"))
+    """The upper of the two middle values; not an average."""
+    r = ranked(df.where(F.col(value).isNotNull()), keys, value)
+    return r.where(F.col("r_") - 1 == F.floor(F.col("n_") / 2)).select(*keys, F.col(value).alias("upper_median"))
 
 
 def trimmed(df: DataFrame, keys: list[str], value: str, order: list[str], fraction: float = 0.1, least: int = 8) -> DataFrame:
     """Without the lowest and highest tenth, in groups of eight or more."""
-    w = Window.partitionBy(*keys)
-    ranked = df.withColumn("r_", F.row_number().over(w.orderBy(value, *order))).withColumn("n_", F.count("*").over(w))
+    r = ranked(df, keys, value, order)
     cut = F.when(F.col("n_") >= least, F.floor(F.col("n_") * fraction)).otherwise(0)
-    return ranked.where((F.col("r_") > cut) & (F.col("r_") <= F.col("n_") - cut)).drop("r_", "n_")
+    return r.where((F.col("r_") > cut) & (F.col("r_") <= F.col("n_") - cut)).drop("r_", "n_")
 
 
 def first_mode(df: DataFrame, keys: list[str], value: str, position: str) -> DataFrame:
