@@ -29,6 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
     if found is None:
         if (set_already := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
             return set_already.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset; it has to name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="vellum-shared-")
         spark.sparkContext.setCheckpointDir(found)
     return found

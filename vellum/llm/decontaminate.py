@@ -104,10 +104,10 @@ def hold_items(items: DataFrame, id_col: str = "item_id", text_col: str = "text"
     return items.sparkSession.sparkContext.broadcast([(r.i, r.t) for r in items.collect()])
 
 
-def clean(docs: DataFrame, items: DataFrame, *, text_col: str = "text", window: int = WINDOW, min_items: int = 1) -> DataFrame:
+def clean(docs: DataFrame, items: DataFrame, *, text_col: str = "text", window: int = WINDOW, min_items: int = 1, max_items_bytes: int = MAX_ITEMS_BYTES) -> DataFrame:
     """The rows of docs, all columns, that hold windows of fewer than ``min_items`` test items."""
     short_batches(docs.sparkSession)
-    held = hold_items(items)
+    held = hold_items(items, max_items_bytes=max_items_bytes)
     cache: dict[str, object] = {}
 
     @F.pandas_udf("int")
