@@ -28,6 +28,8 @@ VOCABULARY = 4096
 LEAST_ROWS = 3
 #: The share of chosen features that may be noise.
 DISCOVERY = 0.05
+#: So many of the strongest features are taken for each label in any case: a few labelled rows prove little.
+LEAST_FEATURES = 100
 PREFIXES = range(3, 9)
 
 _MARKS = [c for c in range(0x21, 0x7F) if not chr(c).isalnum()]
@@ -159,7 +161,7 @@ def choose_vocabulary(sample: DataFrame, n_labels: int, size: int = VOCABULARY,
         best = tested.select("w", F.col(f"g{i}").alias("g")).where("g > 0").orderBy(F.desc("g"), "w").limit(part).collect()
         # exp(-g / 2) bounds the odds of a ratio g by chance
         passed = [k for k, r in enumerate(best, 1) if math.exp(-r.g / 2) <= discovery * k / max(1, tests)]
-        chosen |= dict.fromkeys(r.w for r in best[: max(passed, default=0)])
+        chosen |= dict.fromkeys(r.w for r in best[: max([LEAST_FEATURES, *passed])])
     return list(chosen)
 
 
