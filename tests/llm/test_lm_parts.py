@@ -2,6 +2,7 @@
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 
 from vellum.llm import lm_score
 
@@ -37,3 +38,18 @@ def test_bigrams_met_once_count(docs_of):
     rows = [(None, " ".join(words)), (held, " ".join(words)), (held, " ".join(words[::-1]))]
     met, unmet = sorted((r.score for r in lm_score.score(docs_of(rows)).where(f"doc_id = {held}").collect()), reverse=True)
     assert met > unmet + 100
+
+
+def test_tokens_are_words_and_ends(monkeypatch):
+    monkeypatch.setattr(lm_score, "BLOCK_BYTES", 64)
+    monkeypatch.setattr(lm_score, "_powers", {})
+    rng = np.random.default_rng(3)
+    letters = list("abABzé東 \t\n\x0b\r.9")
+    texts = ["".join(rng.choice(letters, n)) for n in rng.integers(0, 300, 200)]
+    texts += [None, "", " ", "x", "x" * 65 + " " + "X" * 65, "ab ba", " a "]
+    tokens, lengths = lm_score.batch_tokens(pa.array(["cut off", *texts]).slice(1))
+    want = [w for t in texts for w in [*(t or "").encode().lower().split(), None]]
+    assert lengths.tolist() == [len((t or "").encode().split()) + 1 for t in texts]
+    names = dict(zip(want, tokens.tolist(), strict=True))
+    assert [names[w] for w in want] == tokens.tolist() and len(set(names.values())) == len(names)
+    assert np.concatenate([lm_score.token_hashes(t) for t in texts]).tolist() == tokens.tolist()

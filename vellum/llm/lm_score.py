@@ -43,6 +43,9 @@ PROBES = 4
 MAX_FILTER_BYTES = 128 << 20
 #: Tokens whose levels are gathered over all parts at once.
 RUN_TOKENS = 4_000_000
+#: The same for a filter of one part, which stays loaded.
+SHORT_RUN_TOKENS = 1 << 20
+ROWS_OUT = 512
 SLICE_BYTES = 1 << 20
 WEIGHT = 0.25
 HEAD = 1 << 21
@@ -58,13 +61,77 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: One 64-bit number for each byte of a word (A-Z as a-z), and the ratio of the powers that places are weighted by.
+_LETTERS = np.random.default_rng(20).integers(1, 1 << 63, 256, np.uint64, endpoint=True) * np.uint64(2) + np.uint64(1)
+_LETTERS[65:91] = _LETTERS[97:123]
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_RATIO = 0xD1342543DE82EF93
+#: Bytes of texts that are hashed at once, and of the longest word that is hashed by its letters' sum.
+BLOCK_BYTES, LONG_WORD = 1 << 18, 64
+_powers: dict[int, np.ndarray] = {}
+
+
+def _power_table(ratio: int, n: int) -> np.ndarray:
+    """ratio ** 0 .. ratio ** (n - 1), modulo 2 ** 64; the table of a block's length is kept."""
+    if ratio in _powers and n <= len(_powers[ratio]):
+        return _powers[ratio][:n]
+    table = np.full(max(n, BLOCK_BYTES), ratio & 0xFFFFFFFFFFFFFFFF, np.uint64)
+    table[0] = 1
+    np.multiply.accumulate(table, out=table)
+    if n <= BLOCK_BYTES:
+        _powers[ratio] = table
+    return table[:n]
+
+
+def _word_hashes(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the words of UTF-8 bytes, words of each text); texts lie between neighbours of ``cuts``. A word's hash mixes the
+    sum of its letters' numbers times powers of their places, read as a difference of running sums; long words go through XXH64."""
+    n = len(data)
+    edge = np.zeros(n + 1, bool)
+    edge[cuts] = True
+    word = ~_SPACE[data]
+    starts = np.flatnonzero(word & (edge[:-1] | np.concatenate(([True], ~word[:-1]))))
+    ends = np.flatnonzero(word & (edge[1:] | np.concatenate((~word[1:], [True])))) + 1
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(_LETTERS[data] * _power_table(_RATIO, n), out=sums[1:])
+    back = _power_table(pow(_RATIO, -1, 1 << 64), n)
+    out = mix((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64) * _GOLD)
+    for i in np.flatnonzero(ends - starts > LONG_WORD):
+        out[i] = xxhash.xxh64_intdigest(data[starts[i] : ends[i]].tobytes().lower())
+    return out, np.diff(np.searchsorted(starts, cuts))
+
+
+def batch_tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(token hashes of all texts one after another, each text's closed by the end token; number of tokens of each text)."""
+    texts = texts.fill_null("").cast(pa.large_string())
+    if not len(texts):
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    _, offsets, data = texts.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(data, np.uint8) if data else np.empty(0, np.uint8)
+    words, counts, at = [], [], 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + BLOCK_BYTES, "right")) - 1)
+        to = min(to, len(texts))
+        found, n = _word_hashes(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])
+        words.append(found)
+        counts.append(n)
+        at = to
+    words, counts = np.concatenate(words), np.concatenate(counts)
+    tokens = np.full(len(words) + len(counts), END)
+    tokens[np.arange(len(words)) + np.repeat(np.arange(len(counts)), counts)] = words
+    return tokens, counts + 1
+
+
 def token_hashes(text: str | None) -> np.ndarray:
-    digest = xxhash.xxh64_intdigest
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    out = np.empty(len(words) + 1, np.uint64)
-    out[:-1] = [digest(w) for w in words]
-    out[-1] = END
-    return out
+    return batch_tokens(pa.array([text], pa.string()))[0]
+
+
+def inner_bigrams(tokens: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Bigrams of texts that lie one after another, without those that span two."""
+    inner = np.ones(len(tokens), bool)
+    inner[np.cumsum(lengths) - 1] = False
+    return bigram_hashes(tokens)[inner[:-1]]
 
 
 def bigram_hashes(tokens: np.ndarray) -> np.ndarray:
@@ -87,7 +154,7 @@ def _pair_hash(keys: np.ndarray, j: int) -> np.ndarray:
 
 def _slot(h: np.ndarray, i: int) -> np.ndarray:
     """Bit position of a pair's probe i within its key's slice."""
-    return ((h & np.uint64(0xFFFFFFFF)) + np.uint64(i) * ((h >> np.uint64(32)) | np.uint64(1))) % np.uint64(SLICE_BYTES * 8)
+    return (h + np.uint64(i) * ((h >> np.uint64(32)) | np.uint64(1))) & np.uint64(SLICE_BYTES * 8 - 1)
 
 
 def read_levels(bitmap: np.ndarray, keys: np.ndarray, probes: int, most: int, part: int = 0, slices: int | None = None, per_part: int | None = None) -> np.ndarray:
@@ -95,14 +162,15 @@ def read_levels(bitmap: np.ndarray, keys: np.ndarray, probes: int, most: int, pa
     slices = slices or len(bitmap) // SLICE_BYTES
     uniq, back = np.unique(keys, return_inverse=True)
     own = ((uniq >> np.uint64(20)) % np.uint64(slices)).astype(np.int64) - part * (per_part or slices)
-    q, live = np.zeros(len(uniq), np.int64), np.flatnonzero((own >= 0) & (own < len(bitmap) // SLICE_BYTES))
-    first = own.astype(np.uint64) * np.uint64(SLICE_BYTES * 8)
+    q, live = np.zeros(len(uniq), np.uint8), np.flatnonzero((own >= 0) & (own < len(bitmap) // SLICE_BYTES))
+    left, first = uniq[live], own[live].astype(np.uint64) * np.uint64(SLICE_BYTES * 8)
     for j in range(1, most + 1):
-        h = _pair_hash(uniq[live], j)
-        for i in range(probes):  # each probe goes on with what the last left
-            at = _slot(h, i) + first[live]
-            ok = (bitmap[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
-            live, h = live[ok], h[ok]
+        h = _pair_hash(left, j)
+        ok = np.ones(len(h), bool)
+        for i in range(probes):
+            at = _slot(h, i) + first
+            ok &= (bitmap[(at >> np.uint64(3)).view(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+        live, left, first = live[ok], left[ok], first[ok]
         if not len(live):
             break
         q[live] = j
@@ -133,11 +201,11 @@ def count_ngrams(docs: DataFrame) -> DataFrame:
     def run(batches):
         held = {1: [], 2: []}
         for b in batches:
-            texts = [t for t, out in zip(b.column(1).to_pylist(), _held_out(b.column(0).to_pylist()), strict=True) if not out]
-            each = [token_hashes(t) for t in texts]
-            for kind, arrays in ((1, each), (2, [bigram_hashes(t) for t in each if len(t) > 1])):
-                if arrays:
-                    held[kind].append(np.unique(np.concatenate(arrays), return_counts=True))
+            tokens, lengths = batch_tokens(b.column(1).filter(pa.array(~np.array(_held_out(b.column(0).to_pylist()), bool))))
+            if not len(tokens):
+                continue
+            for kind, found in ((1, tokens), (2, inner_bigrams(tokens, lengths))):
+                held[kind].append(np.unique(found, return_counts=True))
                 if sum(len(p[0]) for p in held[kind]) > FLUSH:
                     held[kind] = [merged(held[kind])]
                     if len(held[kind][0][0]) > FLUSH // 2:
@@ -216,62 +284,64 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ma
     denominator = n_all + vocabulary + 1
 
     def runs(batches):
-        """Batches with their token hashes, in runs of RUN_TOKENS or little more."""
-        held, size = [], 0
+        """(ids, tokens, lengths) of batches put together, in runs of about ``RUN_TOKENS``: what a run repeats is probed once."""
+        ids, tokens, lengths, size = [], [], [], 0
         for b in batches:
-            each = [token_hashes(t) for t in b.column(1).to_pylist()]
-            if each:
-                held.append((b.column(0), each))
-                size += sum(map(len, each))
-            if len(parts) == 1 or size >= RUN_TOKENS:  # one part stays loaded, so nothing is gained by waiting
-                yield held
-                held, size = [], 0
-        yield held
+            found, n = batch_tokens(b.column(1))
+            if len(n):
+                ids.append(b.column(0))
+                tokens.append(found)
+                lengths.append(n)
+                size += len(found)
+            if size >= (SHORT_RUN_TOKENS if len(parts) == 1 else RUN_TOKENS):
+                yield pa.concat_arrays(ids), np.concatenate(tokens), np.concatenate(lengths)
+                ids, tokens, lengths, size = [], [], [], 0
+        if ids:
+            yield pa.concat_arrays(ids), np.concatenate(tokens), np.concatenate(lengths)
 
     def run(batches):
         keys, n = sent.value
         middle = from_level(np.arange(most + 2))  # counts by level
         logs = np.append(np.log10((n + 1) / denominator), 0.0)  # of common tokens; last: not one of them
-        for held in runs(batches):
-            levels = [[None, None] for _ in held]
-            for i, sent_part in enumerate(parts if held else []):
+        for ids, tokens, lengths in runs(batches):
+            levels = [0, 0]
+            for i, sent_part in enumerate(parts):
                 bits = sent_part.value
-                for (_, each), found in zip(held, levels, strict=True):
-                    tokens = np.concatenate(each)
-                    for k, wanted in enumerate((tokens, bigram_hashes(tokens))):  # those that span two texts aren't used
-                        q = read_levels(bits, wanted, PROBES, most, i, slices, per_part).astype(np.uint8)
-                        found[k] = q if found[k] is None else found[k] + q
+                for k, wanted in enumerate((tokens, bigram_hashes(tokens))):  # those that span two texts aren't used
+                    levels[k] = levels[k] + read_levels(bits, wanted, PROBES, most, i, slices, per_part)
                 if len(parts) > 1:
                     del bits, sent_part._value  # read again from the worker's disk for the next run
-            yield from scored(held, levels, keys, n, middle, logs)
-
-    def scored(held, levels, keys, n, middle, logs):
-        for (ids, each), (q1, q2) in zip(held, levels, strict=True):
-            lengths = np.array([len(t) for t in each])
-            first = np.concatenate(([0], np.cumsum(lengths)))[:-1]
-            tokens = np.concatenate(each)
-            c1 = middle[q1]
-            p = (c1 + 1) / (z + vocabulary + 1)
-            follows = np.ones(len(tokens), bool)
-            follows[first] = False
-            at = np.flatnonzero(follows)
-            if len(at):
-                c2 = middle[q2[at - 1]]
-                before = c1[at - 1]
-                seen = before > 0
-                p[at] = np.where(seen, weight * np.minimum(1, c2 / np.maximum(before, 1)) + (1 - weight) * p[at], p[at])
-            total = np.add.reduceat(np.log10(p), first)
-            where = np.searchsorted(keys, tokens)
-            where[where == len(keys)] = 0
-            known = keys[where] == tokens if len(keys) else np.zeros(len(tokens), bool)
-            base = logs[np.where(known, where, len(n))]
-            rare = [np.unique(t[~k], return_counts=True) for t, k in zip(each, np.split(known, first[1:]), strict=True)]
-            offsets = np.concatenate(([0], np.cumsum([len(u) for u, _ in rare]))).astype(np.int32)
-            tail = pa.StructArray.from_arrays([pa.array(np.concatenate([u for u, _ in rare]).view(np.int64)), pa.array(np.concatenate([k for _, k in rare]).astype(np.int32))], names=["key", "k"])
-            yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(_held_out(ids.to_pylist())), pa.array(lengths.astype(np.int64)), pa.array(np.add.reduceat(known.astype(np.int64), first)), pa.array(np.add.reduceat(base, first)), pa.array(total), pa.ListArray.from_arrays(pa.array(offsets), tail)],
-                names=["doc_id", "held_out", "n_tokens", "known_head", "base_head", "score", "tail"],
-            )
+            yield from scored(ids, tokens, lengths, *levels, keys, n, middle, logs)
+
+    def scored(ids, tokens, lengths, q1, q2, keys, n, middle, logs):
+        first = np.cumsum(lengths) - lengths
+        c1 = middle[q1]
+        p = (c1 + 1) / (z + vocabulary + 1)
+        follows = np.ones(len(tokens), bool)
+        follows[first] = False
+        at = np.flatnonzero(follows)
+        if len(at):
+            before = c1[at - 1]
+            p[at] = np.where(before > 0, weight * np.minimum(1, middle[q2[at - 1]] / np.maximum(before, 1)) + (1 - weight) * p[at], p[at])
+        total = np.add.reduceat(np.log10(p), first)
+        uniq, back = np.unique(tokens, return_inverse=True)
+        where = np.searchsorted(keys, uniq)
+        where[where == len(keys)] = 0
+        where = np.where(keys[where] == uniq, where, len(n)) if len(keys) else np.full(len(uniq), len(n))
+        known, base = (where < len(n))[back], logs[where][back]
+        at = np.flatnonzero(~known)
+        text, token = np.repeat(np.arange(len(lengths)), lengths)[at], tokens[at]
+        order = np.lexsort((token, text))
+        text, token = text[order], token[order]
+        heads = np.flatnonzero(np.concatenate(([True], (text[1:] != text[:-1]) | (token[1:] != token[:-1])))) if len(at) else at
+        times = np.diff(np.append(heads, len(at)))
+        offsets = np.searchsorted(text[heads], np.arange(len(lengths) + 1)).astype(np.int32)
+        tail = pa.StructArray.from_arrays([pa.array(token[heads].view(np.int64)), pa.array(times.astype(np.int32))], names=["key", "k"])
+        whole = pa.RecordBatch.from_arrays(
+            [ids, pa.array(_held_out(ids.to_pylist())), pa.array(lengths.astype(np.int64)), pa.array(np.add.reduceat(known.astype(np.int64), first)), pa.array(np.add.reduceat(base, first)), pa.array(total), pa.ListArray.from_arrays(pa.array(offsets), tail)],
+            names=["doc_id", "held_out", "n_tokens", "known_head", "base_head", "score", "tail"],
+        )
+        yield from (whole.slice(i, ROWS_OUT) for i in range(0, len(whole), ROWS_OUT))
 
     first = stored(docs.mapInArrow(run, "doc_id bigint, held_out boolean, n_tokens bigint, known_head bigint, base_head double, score double, tail array<struct<key:bigint,k:int>>").withColumn("row", F.monotonically_increasing_id()))
     rare = first.select("row", F.explode("tail").alias("x")).select("row", "x.key", "x.k")
