@@ -110,6 +110,12 @@ _MATH = f"[{T.GREEK}{T.MATH_SYMBOLS}]"
 _STRIPS = "range(CAST(floor(y0 / 120) AS BIGINT), CAST(floor(y1 / 120) AS BIGINT) + 1)"
 
 ORACLE_SQL = {
+    "body_capacity": f"""WITH {S}, b AS (SELECT doc_id, page, col, y0 - 1 AS lo, y1 + 1 AS hi FROM spans WHERE regexp_matches(text, '[0-9]')), r AS (SELECT *, max(hi) OVER (PARTITION BY doc_id, page, col ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM b),
+        i AS (SELECT *, sum(CASE WHEN reach IS NULL OR lo > reach THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page, col ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM r), m AS (SELECT doc_id, page, col, greatest(min(lo), 72.0::DOUBLE) AS lo, least(max(hi), 720.0::DOUBLE) AS hi FROM i GROUP BY doc_id, page, col, island), c AS (SELECT * FROM m WHERE lo < hi),
+        n AS (SELECT doc_id, page, col, count(DISTINCT line) * 12.0::DOUBLE AS height FROM spans GROUP BY 1, 2, 3), e AS (SELECT doc_id, page, col, max(hi) AS hi FROM c GROUP BY 1, 2, 3),
+        f AS (SELECT doc_id, page, col, coalesce(lag(hi) OVER (PARTITION BY doc_id, page, col ORDER BY lo), 72.0::DOUBLE) AS a, lo AS z FROM c UNION ALL SELECT n.doc_id, n.page, n.col, coalesce(e.hi, 72.0::DOUBLE), 720.0::DOUBLE FROM n LEFT JOIN e ON n.doc_id = e.doc_id AND n.page = e.page AND n.col = e.col),
+        v AS (SELECT doc_id, page, col, sum(z - a) AS available FROM f WHERE z - a >= 12 GROUP BY 1, 2, 3)
+        SELECT n.doc_id, n.page, n.col, coalesce(available, 0.0::DOUBLE) AS available, height, greatest(0.0::DOUBLE, height - coalesce(available, 0.0::DOUBLE)) AS overflow FROM n LEFT JOIN v ON n.doc_id = v.doc_id AND n.page = v.page AND n.col = v.col""",
     "fragment_kinds": f"""WITH {S}, t AS (SELECT trim(text) AS t FROM spans) SELECT CASE WHEN regexp_matches(t, '^\\([0-9]{{1,3}}\\)$') THEN 'equation_number' WHEN regexp_matches(t, '{_MATH}') THEN 'math_glyph' WHEN regexp_matches(lower(t), '^(?:if|otherwise|where|and|for|with|subject|to|s\\.t\\.)$') THEN 'condition_word'
         WHEN regexp_matches(t, '^[^\\w\\s]+$') THEN 'punctuation' WHEN regexp_matches(t, '[A-Za-z]{{2,}}\\s+[A-Za-z]{{2,}}') THEN 'prose' WHEN regexp_matches(t, '^[A-Za-z]+$') THEN 'roman_label' ELSE 'symbol' END AS kind, count(*) AS n FROM t GROUP BY 1""",
     "formula_runs": f"""WITH {S}, c AS (SELECT * FROM spans WHERE (trim(text) <> '' AND (regexp_matches(trim(text), '{_MATH}') OR regexp_matches(trim(text), '^\\p{{Sm}}+$') OR regexp_matches(trim(text), '^[0-9]+$'))) OR regexp_matches(text, '^[0-9]')), f AS (SELECT *, coalesce(CASE WHEN x0 - lag(x1) OVER w > 15 THEN 1 WHEN lag(x1) OVER w IS NULL THEN 1 ELSE 0 END, 1) AS f FROM c WINDOW w AS (PARTITION BY doc_id, page, y0 ORDER BY x0, ordinal))

@@ -186,7 +186,7 @@ def table_alignment(spark, sf_dir):
 def table_quality(spark, sf_dir):
     t = _table_texts(spark, sf_dir)
     n = t.groupBy("l_orderkey").agg(F.count("*").alias("n_texts"))
-    return tables.quality(tables.cells(t, ["l_orderkey"]), ["l_orderkey"], n).select("l_orderkey", F.col("assigned").cast("bigint").alias("assigned"), "n_texts", "coverage")
+    return tables.quality(tables.cells(t, ["l_orderkey"]), ["l_orderkey"], n).select("l_orderkey", F.col("assigned").cast("bigint").alias("assigned"), "n_texts", "column_variance", "row_variance", "coverage", F.round("confidence", 9).alias("confidence"))
 
 
 def table_html(spark, sf_dir):
@@ -229,6 +229,7 @@ _CELLS = """c AS (
 ), cells AS (
   SELECT l_orderkey, row, 0 AS col, c0 AS text FROM c UNION ALL SELECT l_orderkey, row, 1, c1 FROM c UNION ALL SELECT l_orderkey, row, 2, c2 FROM c UNION ALL SELECT l_orderkey, row, 3, c3 FROM c
 )"""
+_SIDES = "sides AS (SELECT *, 72.0::DOUBLE + 100 * col AS x0, 72.0::DOUBLE + 100 * col + 5 * length(text) AS x1, 84.0::DOUBLE + 12 * row AS y0, 94.0::DOUBLE + 12 * row AS y1 FROM cells)"
 
 ORACLE_SQL = {
     "summary_stats": """WITH m AS (SELECT l_returnflag, l_linestatus, median(l_quantity) AS med FROM lineitem GROUP BY 1, 2), s AS (SELECT l_returnflag, l_linestatus, count(*) AS sample_count, median(l_quantity) AS median, quantile_cont(l_quantity, 0.1) AS p10, quantile_cont(l_quantity, 0.9) AS p90, min(l_quantity) AS min, max(l_quantity) AS max FROM lineitem GROUP BY 1, 2),
@@ -266,7 +267,11 @@ ORACLE_SQL = {
     "subset_blocks": """WITH i AS (SELECT DISTINCT o_custkey, l_orderkey, l_suppkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey), n AS (SELECT o_custkey, l_orderkey, count(*) AS n FROM i GROUP BY 1, 2), p AS (SELECT a.o_custkey, a.l_orderkey AS a, b.l_orderkey AS b, count(*) AS c FROM i a JOIN i b ON a.o_custkey = b.o_custkey AND a.l_suppkey = b.l_suppkey AND a.l_orderkey <> b.l_orderkey GROUP BY 1, 2, 3),
         gone AS (SELECT DISTINCT p.o_custkey, p.a FROM p JOIN n na ON p.o_custkey = na.o_custkey AND p.a = na.l_orderkey JOIN n nb ON p.o_custkey = nb.o_custkey AND p.b = nb.l_orderkey WHERE p.c = na.n AND (nb.n > na.n OR (nb.n = na.n AND p.b < p.a))) SELECT n.o_custkey, n.l_orderkey FROM n LEFT JOIN gone g ON n.o_custkey = g.o_custkey AND n.l_orderkey = g.a WHERE g.a IS NULL""",
     "table_cells": f"WITH {_CELLS} SELECT l_orderkey, row, CAST(col AS BIGINT) AS \"column\", text FROM cells",
-    "table_quality": f"WITH {_CELLS} SELECT l_orderkey, count(*) AS assigned, count(*) AS n_texts, 1.0::DOUBLE AS coverage FROM cells GROUP BY 1",
+    "table_alignment": f"""WITH {_CELLS}, {_SIDES}, v AS (SELECT l_orderkey, col, var_pop(x0) AS l, var_pop(x1) AS r, var_pop((x0 + x1) / 2) AS c FROM sides GROUP BY 1, 2)
+        SELECT CAST(col AS BIGINT) AS "column", CASE WHEN l <= least(l, r, c) THEN 'left' WHEN r <= least(l, r, c) THEN 'right' ELSE 'center' END AS alignment, count(*) AS n FROM v GROUP BY 1, 2""",
+    "table_quality": f"""WITH {_CELLS}, {_SIDES}, v AS (SELECT l_orderkey, avg(v) AS v FROM (SELECT l_orderkey, least(var_pop(x0), var_pop(x1)) AS v FROM sides GROUP BY l_orderkey, col HAVING count(*) > 1) GROUP BY 1),
+        w AS (SELECT l_orderkey, avg(v) AS w FROM (SELECT l_orderkey, var_pop((y0 + y1) / 2) AS v FROM sides GROUP BY l_orderkey, row HAVING count(*) > 1) GROUP BY 1), n AS (SELECT l_orderkey, count(*) AS n FROM cells GROUP BY 1), t AS (SELECT l_orderkey, 4 * count(*) AS t FROM lineitem GROUP BY 1)
+        SELECT n.l_orderkey, n AS assigned, t AS n_texts, v AS column_variance, w AS row_variance, n / t AS coverage, round(0.4::DOUBLE / (1 + coalesce(v, 0)) + 0.4::DOUBLE / (1 + coalesce(w, 0)) + 0.2::DOUBLE * (n / t), 9) AS confidence FROM n JOIN t ON n.l_orderkey = t.l_orderkey LEFT JOIN v ON n.l_orderkey = v.l_orderkey LEFT JOIN w ON n.l_orderkey = w.l_orderkey""",
     "table_html": f"""WITH {_CELLS}, h AS (SELECT l_orderkey, row, string_agg('<' || CASE WHEN row = 0 THEN 'th' ELSE 'td' END || ' data-cell="R' || row || 'C' || col || '">' || text || '</' || CASE WHEN row = 0 THEN 'th' ELSE 'td' END || '>', '' ORDER BY col) AS h FROM cells GROUP BY 1, 2)
         SELECT l_orderkey, sha256('<table>' || string_agg(CASE WHEN row = 0 THEN '<thead><tr>' ELSE '<tr>' END || h || CASE WHEN row = 0 THEN '</tr></thead>' ELSE '</tr>' END, '' ORDER BY row) || '</table>') AS html_sha256 FROM h GROUP BY 1""",
     "table_types": "WITH t AS (SELECT l_orderkey, count(*) AS n, count(*) FILTER (WHERE l_returnflag = 'R') AS h, count(*) FILTER (WHERE l_returnflag = 'A') AS v, max(l_tax) >= 0.08 AS img FROM lineitem GROUP BY 1) SELECT CASE WHEN img AND n < 5 THEN 'raster' WHEN h >= 3 AND v >= 2 THEN 'full_grid' WHEN h >= 2 AND n >= 5 THEN 'sparse_rule' ELSE 'borderless' END AS table_type, count(*) AS n FROM t GROUP BY 1",
