@@ -107,8 +107,7 @@ def gate_layers(spark, sf_dir):
 
 
 def gate_decision(spark, sf_dir):
-    complete = _manifest(spark, sf_dir).where("stage = 'language'")
-    return gate.decide(gate.layers(complete, ["source"], ["quality"]), ["source"])
+    return gate.decide(gate.layers(_manifest(spark, sf_dir), ["source"], ["quality"]), ["source"])
 
 
 def manifest_counts(spark, sf_dir):
@@ -253,7 +252,7 @@ ORACLE_SQL = {
         s AS (SELECT source, count(*) FILTER (WHERE status = 'pass') AS n_pass, count(*) FILTER (WHERE status = 'fail') AS n_fail, count(*) FILTER (WHERE status = 'error') AS n_error, count(*) FILTER (WHERE status = 'not_run') AS n_not_run, count(*) FILTER (WHERE status = 'missing') AS n_missing, count(*) AS required FROM manifest GROUP BY 1)
         SELECT s.source, n_pass, n_fail, n_error, n_not_run, n_missing, required, complete_pages, pages, (n_pass + n_fail) / CAST(required AS DOUBLE) AS coverage, CASE WHEN n_pass + n_fail = required THEN 'pass' ELSE 'blocked' END AS integrity FROM s JOIN c ON s.source = c.source""",
     "gate_layers": f"WITH {_MANIFEST} SELECT source, stage, CASE WHEN bool_or(status IN ('error', 'not_run', 'missing')) THEN 'blocked' WHEN bool_or(status = 'fail') AND stage = 'quality' THEN 'blocked' WHEN bool_or(status = 'fail') THEN 'warning' ELSE 'pass' END AS layer FROM manifest GROUP BY 1, 2",
-    "gate_decision": f"WITH {_MANIFEST}, l AS (SELECT source, CASE WHEN bool_or(status IN ('error', 'not_run', 'missing')) THEN 'blocked' WHEN bool_or(status = 'fail') THEN 'warning' ELSE 'pass' END AS layer FROM manifest WHERE stage = 'language' GROUP BY 1) SELECT source, count(*) FILTER (WHERE layer = 'blocked') AS n_blocked, count(*) FILTER (WHERE layer = 'warning') AS n_warning, CASE WHEN bool_or(layer = 'blocked') THEN 'blocked' WHEN bool_or(layer = 'warning') THEN 'warning' ELSE 'pass' END AS decision FROM l GROUP BY 1",
+    "gate_decision": f"WITH {_MANIFEST}, l AS (SELECT source, stage, CASE WHEN bool_or(status IN ('error', 'not_run', 'missing')) THEN 'blocked' WHEN bool_or(status = 'fail') AND stage = 'quality' THEN 'blocked' WHEN bool_or(status = 'fail') THEN 'warning' ELSE 'pass' END AS layer FROM manifest GROUP BY 1, 2) SELECT source, count(*) FILTER (WHERE layer = 'blocked') AS n_blocked, count(*) FILTER (WHERE layer = 'warning') AS n_warning, CASE WHEN bool_or(layer = 'blocked') THEN 'blocked' WHEN bool_or(layer = 'warning') THEN 'warning' ELSE 'pass' END AS decision FROM l GROUP BY 1",
     "manifest_counts": f"WITH {_MANIFEST} SELECT stage, count(*) FILTER (WHERE status = 'pass') AS pass, count(*) FILTER (WHERE status = 'fail') AS fail, count(*) FILTER (WHERE status = 'error') AS error, count(*) FILTER (WHERE status = 'missing') AS missing FROM manifest GROUP BY 1",
     "defect_ranking": """WITH o AS (SELECT l_orderkey, count(*) FILTER (WHERE l_discount >= 0.1) AS a, count(*) FILTER (WHERE l_returnflag = 'R') AS b, count(*) FILTER (WHERE l_quantity >= 49) AS c FROM lineitem GROUP BY 1) SELECT l_orderkey, 23 * a + 30 * b + 50 * c AS score,
         CASE WHEN a > 0 THEN 'deep_discount' ELSE '' END || CASE WHEN a > 0 AND (b > 0 OR c > 0) THEN ',' ELSE '' END || CASE WHEN b > 0 THEN 'returned' ELSE '' END || CASE WHEN b > 0 AND c > 0 THEN ',' ELSE '' END || CASE WHEN c > 0 THEN 'bulk' ELSE '' END AS defects FROM o WHERE a + b + c > 0 ORDER BY score DESC, l_orderkey LIMIT 20""",

@@ -105,8 +105,8 @@ def unchanged_items(spark, sf_dir):
 
 
 def _items(spark, sf_dir):
-    """Paragraphs of six characters or more as items; the cache holds, in capitals, those that occur in two documents or more, and prose that ends in a question mark verbatim."""
-    p = routing.paragraphs(_t(spark, sf_dir, "documents")).where(F.length("src") >= 6)
+    """All paragraphs as items; the cache holds, in capitals, those that occur in two documents or more, and prose that ends in a question mark verbatim."""
+    p = routing.paragraphs(_t(spark, sf_dir, "documents"))
     items = p.select("doc_id", "pos", "source", F.lit("paragraph").alias("kind"), F.col("src").alias("source_text"), F.sha2("src", 256).alias("key"))
     shared = items.groupBy("key", "source_text").agg(F.countDistinct("doc_id").alias("n_docs")).where("n_docs >= 2")
     return items, shared.select("key", F.when(F.length("source_text") % 2 == 0, F.col("source_text")).otherwise(F.concat(F.lit("T: "), F.upper("source_text"))).alias("translation"))
@@ -184,7 +184,7 @@ def reference_sql(column: str) -> str:
 QUERIES = {f.__name__: f for f in (route_distribution, density_profile, route_plan, script_profile, style_roles, heading_numbers, content_kinds, residual_text, text_extent, reference_items, unchanged_items, translation_cache, translation_status, templates, word_recall, repeated_words, stitched_units, joined_lines, html_structure, conversation_states, reference_density)}
 
 _ITEMS = f"""{PARAGRAPHS}, items AS (
-  SELECT doc_id, source, src FROM paragraphs WHERE length(src) >= 6
+  SELECT doc_id, source, src FROM paragraphs
 ), cache AS (
   SELECT src AS k, CASE WHEN length(src) % 2 = 0 THEN src ELSE 'T: ' || upper(src) END AS translation
   FROM items GROUP BY src HAVING count(DISTINCT doc_id) >= 2
