@@ -1,7 +1,7 @@
 """WARC archives, compressed record by record with a Zstandard dictionary that leads the file.
 
 The writer trains one dictionary on a bounded sample of the payloads to be archived (``SAMPLE_RECORDS`` of them, by hash
-of the id, ``SAMPLE_BYTES`` of each; only the dictionary depends on it), puts it in a skippable frame (magic
+of the id, ``SAMPLE_BYTES`` of each from a hashed place on; only the dictionary depends on it), puts it in a skippable frame (magic
 0x184D2A5D, as in the public WARC-Zstandard draft) at the head of every file, and writes each record as a frame of its
 own, so any record can be read from its offset alone. Equal payloads of ``MIN_REVISIT`` bytes or more are archived
 once: the row with the largest id is a ``response``, the others are ``revisit`` records that name it.
@@ -121,7 +121,7 @@ def write_archives(pages: DataFrame, folder: str, *, id_col: str = "page_id", ur
     payload = F.encode(F.coalesce(F.col(payload_col), F.lit("")), "UTF-8")
     rows = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload")).withColumn("digest", F.sha1("payload")).withColumn("n", F.octet_length("payload").cast("bigint"))
     ids = rows.select("page_id").where("page_id is not null").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE_RECORDS)
-    picked = rows.join(F.broadcast(ids), "page_id", "left_semi").select(F.xxhash64("page_id").alias("h"), F.expr(f"substring(payload, 1, {SAMPLE_BYTES})").alias("p")).orderBy("h", "p").limit(SAMPLE_RECORDS)
+    picked = rows.join(F.broadcast(ids), "page_id", "left_semi").select(F.xxhash64("page_id").alias("h"), F.expr(f"substring(payload, 1 + cast(pmod(xxhash64(page_id, 1), greatest(length(payload) - {SAMPLE_BYTES} + 1, 1)) as int), {SAMPLE_BYTES})").alias("p")).orderBy("h", "p").limit(SAMPLE_RECORDS)
     dictionary = spark.sparkContext.broadcast(train_dictionary([bytes(r.p) for r in picked.select("p").collect()]))
     revisits = decide(rows).withColumnsRenamed({"page_id": "r_id", "digest": "r_digest"})
     typed = rows.join(revisits, (F.col("digest") == F.col("r_digest")) & F.col("page_id").eqNullSafe(F.col("r_id")), "left").select("page_id", "url", "payload", "digest", "refers_to")
