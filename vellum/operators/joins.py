@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,12 +98,11 @@ def tiered_text_match(left: DataFrame, right: DataFrame, keys: list[str], left_i
 
 def covered_by_union(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, share: float = 0.999) -> DataFrame:
     """Exact share of each left box that the union of right boxes covers (overlaps count once), over the cells that the sides cut."""
-    import pandas as pd
-
     pairs = box_join(left, right, keys).withColumn("b_", F.struct(*(F.col(f"r_{k}") for k in ("x0", "y0", "x1", "y1"))))
     grouped = pairs.groupBy(*keys, F.col(f"l_{left_id}").alias(left_id), *(F.col(f"l_{k}").alias(k) for k in ("x0", "y0", "x1", "y1"))).agg(F.collect_list("b_").alias("boxes_"))
 
-    def ratio(x0, y0, x1, y1, boxes):
+    @F.pandas_udf("double")
+    def measured(x0: pd.Series, y0: pd.Series, x1: pd.Series, y1: pd.Series, boxes: pd.Series) -> pd.Series:
         out = []
         for a, b, c, d, held in zip(x0, y0, x1, y1, boxes, strict=True):
             clipped = [(max(a, r["r_x0"]), max(b, r["r_y0"]), min(c, r["r_x1"]), min(d, r["r_y1"])) for r in held]
@@ -113,8 +113,5 @@ def covered_by_union(left: DataFrame, right: DataFrame, keys: list[str], left_id
             out.append(area / whole if whole > 0 else 0.0)
         return pd.Series(out)
 
-    from pyspark.sql.functions import PandasUDFType
-
-    measured = F.pandas_udf(ratio, "double", PandasUDFType.SCALAR)
     cov = grouped.select(*keys, left_id, measured("x0", "y0", "x1", "y1", "boxes_").alias("covered"))
     return left.select(*keys, left_id).join(cov, [*keys, left_id], "left").select(*keys, left_id, F.coalesce("covered", F.lit(0.0)).alias("covered")).withColumn("contained", F.col("covered") >= share)
