@@ -477,6 +477,43 @@ def test_removal_of_periods_and_shared_passages(docs_of, monkeypatch):
         assert {r[0]: tuple(r[1:]) for r in suffix_dedup.remove_repeats(docs_of(rows), max_segments=most).collect()} == want
 
 
+def test_only_windows_that_may_repeat_are_sorted(spark):
+    rng = random.Random(9)
+    other = lambda n: bytes(rng.choice(b"abcdefgh") for _ in range(n))
+    for _ in range(300):
+        middle = other(rng.choice((60, 300, 500)))
+        place, once = rng.randrange(300, 377), [rng.random() < 0.7 for _ in range(4)]
+        held = []
+        for k in range(4):
+            # the anchor is where the middle begins or within it, so shared windows have it at one place
+            left = other(200) if rng.random() < 0.5 else b"=" * 200
+            raw = left + middle + (other(200) if rng.random() < 0.5 else b"+" * 200)
+            cut = rng.randrange(0, 150)
+            held.append((raw[cut : max(cut + 400, len(raw) - rng.randrange(150))], min(place, 210) - cut, once[k]))
+        held = [h for h in held if 0 <= h[1] and len(h[0]) >= 400 and h[1] - (len(h[0]) - 400) <= 376]
+        kept = {k: set(range(a, z + 1)) for k, a, z in suffix_dedup.possible(held)}
+        for k, (raw, at, single) in enumerate(held):
+            for w in range(len(raw) - 399):
+                if single and any(at - w == a - v and raw[w : w + 400] == r[v : v + 400] for j, (r, a, _) in enumerate(held) if j != k for v in [a - at + w] if 0 <= v <= len(r) - 400):
+                    assert w in kept[k]
+    alone = [(other(776), 376, True) for _ in range(50)]
+    assert suffix_dedup.possible(alone) == []
+
+
+def test_sorted_bytes_are_few():
+    """Texts that share short passages have anchors in common, but no window: nothing is left to sort."""
+    rng = random.Random(10)
+    text = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    shared = [text(30) for _ in range(5)]
+    by = collections.defaultdict(dict)
+    for i in range(60):
+        raw = (text(80) + shared[i % 5] + text(80)).encode()
+        for anchor, lo, hi, place in zip(*(np.concatenate(x) for x in zip(*suffix_dedup.anchored(raw, suffix_dedup.Rolling(1 << 12)), strict=True)), strict=True):
+            by[anchor][raw[lo : hi + 400]] = (int(place), True)
+    several = [[(raw, *row) for raw, row in held.items()] for held in by.values() if len(held) > 1]
+    assert sum(map(len, several)) >= 60 and not any(map(suffix_dedup.possible, several))
+
+
 def test_removal_in_pieces(monkeypatch):
     rng = random.Random(6)
     raw = "".join(rng.choice("abc") for _ in range(3000)).encode()
