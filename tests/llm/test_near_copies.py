@@ -4,7 +4,7 @@ import random
 
 import corpus_pipeline as cp
 from tests.llm.test_operators import roots
-from vellum.llm import near_copies
+from vellum.llm import near_copies, simhash
 
 
 def shingles(text, k=5):
@@ -41,6 +41,30 @@ def test_near_copies_against_brute_force(docs_of):
         assert len(got) == len(texts) and len({(got[i], want[i]) for i in got}) == len(set(want)) == len(set(got.values()))
 
 
+def test_trie_join_links_near_fingerprints(docs_of):
+    texts = edited_texts()
+    marked = [(r.node, r.fp) for r in near_copies.marked_rows(docs_of(list(enumerate(texts)))).orderBy("doc_id").collect()]
+    fps = [fp % (1 << 64) for _, fp in marked]
+    assert fps == [simhash.fingerprint(t, near_copies.SHINGLE) for t in texts]
+    want = roots(len(fps), [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= simhash.MAX_BITS or marked[i][0] == marked[j][0]])
+    spark = docs_of([]).sparkSession
+    links = near_copies.fingerprint_links(spark.createDataFrame(sorted(set(marked)), "node bigint, fp bigint")).collect()
+    first = {node: i for i, (node, _) in reversed(list(enumerate(marked)))}
+    got = roots(len(fps), [*((first[r.u], first[r.v]) for r in links), *((i, first[n]) for i, (n, _) in enumerate(marked))])
+    assert got == want and len(set(got)) < len(set(n for n, _ in marked))
+
+
+def test_trie_join_alone_brings_the_closest(spark, docs_of):
+    """Without the bands, pairs within the budget of bits are still found."""
+    words = [f"w{i}" for i in range(2000)]
+    texts = [" ".join(words), " ".join(words[:1000] + ["x"] + words[1001:]), " ".join(words[::-1])]
+    marked = near_copies.marked_rows(docs_of(list(enumerate(texts)))).collect()
+    alone = spark.createDataFrame([(*r[:4], [hash((r.doc_id, k)) for k in range(3)], bytes(r.hashes)) for r in marked], "doc_id bigint, text_hash bigint, node bigint, fp bigint, bands array<bigint>, hashes binary")
+    found = near_copies.node_roots(near_copies.stored(alone)).collect()
+    node = {r.doc_id: r.node for r in marked}
+    assert {r.node for r in found} == {node[0], node[1]} and len({r.root for r in found}) == 1
+
+
 def test_stage_keeps_one_of_each_group(spark, docs_of):
     texts = edited_texts()
     kept = cp.drop_near_duplicates(spark, docs_of(list(enumerate(texts))), "").collect()
