@@ -204,6 +204,16 @@ def test_mixing_solves_the_least_squares(spark, target):
     assert np.allclose(rates, np.sort(got))
 
 
+def test_mixing_does_not_multiply_rows_for_a_domain_that_hardly_any_document_has(spark):
+    rng = np.random.default_rng(2)
+    b, c = 1 / (1 + np.exp(-rng.normal([[-9], [-7]], 1, (2, 2000))))
+    rows = spark.createDataFrame([(int(x), [float(1 - y - z), float(y), float(z)]) for x, y, z in zip(rng.integers(50, 500, 2000), b, c, strict=True)], "n long, p array<double>").coalesce(1).cache()
+    y, report = mixing.fit_rates(rows, ["a", "b", "c"], {"a": 0.9, "b": 0.1, "c": 0.0}, "a")
+    assert report["misfit"] <= report["misfit_before"]
+    into, out = rows.agg(F.sum("n"), F.sum(F.col("n") * mixing.rate_of(F.col("p"), y))).first()
+    assert 0.9 * into <= out <= 1.2 * into
+
+
 def test_mixing_copies_follow_rates(spark):
     df = spark.range(20_000).withColumnRenamed("id", "doc_id").select(mixing.copies_of(F.lit(1.3)).alias("c"))
     assert df.agg(F.avg("c")).first()[0] == pytest.approx(1.3, abs=0.02)
