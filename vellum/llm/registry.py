@@ -19,6 +19,7 @@ QUERIES = {
     "op8_pii": "pii",
     "op9_suffix_dedup": "suffix_dedup",
     "op10_hilbert_shards": "hilbert",
+    "op11_filter_audit": "filter_audit",
 }
 
 
