@@ -20,6 +20,8 @@ QUERIES = {
     "op9_suffix_dedup": "suffix_dedup",
     "op10_hilbert_shards": "hilbert",
     "op11_filter_audit": "filter_audit",
+    "op12_ranked_search": "impact_index",
+    "op13_secret_scan": "secret_scan",
 }
 
 
