@@ -23,6 +23,7 @@ are ignored; texts and runs of any length are read whole.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,9 +42,10 @@ RUN = "A-Za-z0-9_+/=-"
 LEAST_RUN = 16
 #: A secret is 10,000 times likelier as a random string.
 LEAST_RATIO = math.log(10_000)
-SAMPLE_DOCUMENTS = 20_000
-#: Added to each count of a pair.
-SMOOTHING = 0.5
+SAMPLE_DOCUMENTS = 2_000
+#: Added to each count of a pair, and how much a model goes by classes of characters (small, capital, digit, mark) alone: pairs that
+#: the samples don't hold say little.
+SMOOTHING, BY_CLASS = 0.5, 0.1
 #: Sums over many lengths go by chunks of so many.
 CHUNK = 512
 
@@ -66,22 +68,31 @@ def pairs(value: Column) -> Column:
     return F.filter(F.transform(chars, lambda c, i: F.concat(c, F.get(chars, i + 1))), lambda p: F.length(p) == 2)
 
 
+def _probabilities(counts: dict[str, int], alphabet: list[str]) -> dict[str, float]:
+    """P(second | first) of each pair: smoothed counts, mixed with P(class of second | class of first), even within the class."""
+    kind = {c: "small" if c.islower() else "capital" if c.isupper() else "digit" if c.isdigit() else "mark" for c in alphabet}
+    size, total, classes = Counter(kind.values()), Counter(), Counter()
+    for p, n in counts.items():
+        total[p[0]] += n
+        classes[kind[p[0]], kind[p[1]]] += n
+    left = {k: sum(classes[k, other] + SMOOTHING for other in size) for k in size}
+    exact = lambda a, b: (counts.get(a + b, 0) + SMOOTHING) / (total[a] + SMOOTHING * len(alphabet))
+    rough = lambda a, b: (classes[kind[a], kind[b]] + SMOOTHING) / left[kind[a]] / size[kind[b]]
+    return {a + b: (1 - BY_CLASS) * exact(a, b) + BY_CLASS * rough(a, b) for a in alphabet for b in alphabet}
+
+
 def train(samples: DataFrame) -> Model:
-    """samples(value string, secret boolean). Two models with smoothed counts, as ratios."""
+    """samples(value string, secret boolean). Two models, as ratios."""
     counts = samples.select("secret", F.explode(pairs(F.col("value"))).alias("p")).where(F.col("p").rlike(f"^[{RUN}]{{2}}$"))
     found = counts.groupBy("secret", "p").agg(F.count("*").alias("n")).collect()  # two rows a pair of the alphabet at most
     alphabet = [chr(c) for c in range(128) if chr(c).isalnum() or chr(c) in "_+/=-"]
     ratios = [0.0] * (128 * 128)
     by_label = [{r.p: r.n for r in found if r.secret is label} for label in (False, True)]
     if all(by_label):
-        out = [{a: SMOOTHING * len(alphabet) for a in alphabet} for _ in by_label]
-        for total, label in zip(out, by_label, strict=True):
-            for p, n in label.items():
-                total[p[0]] += n
+        ordinary, random = (_probabilities(label, alphabet) for label in by_label)
         for a in alphabet:
             for b in alphabet:
-                ordinary, random = ((label.get(a + b, 0) + SMOOTHING) / total[a] for total, label in zip(out, by_label, strict=True))
-                ratios[128 * ord(a) + ord(b)] = math.log(random / ordinary)
+                ratios[128 * ord(a) + ord(b)] = math.log(random[a + b] / ordinary[a + b])
     return Model(tuple(ratios))
 
 
@@ -95,7 +106,8 @@ def labelled_samples(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         bare = F.regexp_replace(bare, pattern, " ")
     words = picked.select(F.regexp_extract_all(bare, F.lit(f"[{RUN}]{{2,}}"), F.lit(0)).alias("w"))
     letters = words.select(F.filter("w", lambda x: x.rlike("^[A-Za-z]+$")).alias("w"))
-    a, b, c = (lambda i, k=k: F.lower(F.coalesce(F.get("w", i + k), F.lit(""))) for k in range(3))
+    word = lambda k: lambda i: F.lower(F.coalesce(F.get("w", i + k), F.lit("")))
+    a, b, c = word(0), word(1), word(2)
     number = lambda i: (i * 7919 % 10_000).cast("string")
     forms = (
         lambda i: F.concat_ws("_", a(i), b(i), c(i)),
@@ -183,7 +195,8 @@ def written(spans: Column) -> Column:
 def find_secrets(docs: DataFrame, model: Model, **columns) -> DataFrame:
     """One row a document: base counts, the base spans' digest, all spans."""
     found = scan(docs, model, **columns)
-    counts = (F.size(F.filter("base", lambda s, k=k: s["rank"] == k)).cast("bigint").alias(f"n_{kind}") for k, kind in enumerate(BASE))
+    number = lambda k: F.size(F.filter("base", lambda s: s["rank"] == k)).cast("bigint")
+    counts = (number(k).alias(f"n_{kind}") for k, kind in enumerate(BASE))
     return found.select("doc_id", *counts, F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.array_sort(F.concat("base", "added"))).alias("spans"))
 
 
