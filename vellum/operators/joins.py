@@ -7,39 +7,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.functions import geometry as G
+from vellum.operators import sweep
 
 
 def _prefixed(df: DataFrame, prefix: str, keep: list[str]) -> DataFrame:
     return df.select(*keep, *(F.col(c).alias(f"{prefix}{c}") for c in df.columns if c not in keep))
 
 
-def box_join(left: DataFrame, right: DataFrame, keys: list[str], on=None, bucket: float | None = None, how: str = "inner") -> DataFrame:
-    """Pairs of boxes for which ``on(l, r)`` holds (closed intersection if None). Columns: keys, l_*, r_*. With ``bucket``
-    rows are also dealt by horizontal strips of that height, for keys that hold very many boxes; a pair is kept in the
-    first strip that both touch, so it comes once."""
+def box_join(left: DataFrame, right: DataFrame, keys: list[str], on=None, bucket: float | None = None, how: str = "inner", reach: float | None = None) -> DataFrame:
+    """Pairs of boxes for which ``on(l, r)`` holds (closed intersection if None). Columns: keys, l_*, r_*. Where ``on`` can hold
+    only for boxes that touch once the left one is grown by ``reach``, a plane sweep finds the candidates; then, with
+    ``bucket``, rows are also dealt by horizontal strips of that height, for keys that hold very many boxes. Else pairs of
+    equal keys are tested."""
+    if how == "inner" and (on is None or reach is not None):
+        pairs = sweep.overlaps(left, right, keys, strip=bucket, reach=reach or 0.0)
+        return pairs if on is None else pairs.where(on(G.box("l_"), G.box("r_")))
     l, r = _prefixed(left, "l_", keys), _prefixed(right, "r_", keys)
-    test = on or (lambda a, b: G.intersects_closed(a, b))
-    cond = test(G.box("l_"), G.box("r_"))
-    if bucket is None:
-        return l.join(r, keys, how).where(cond) if how == "inner" else l.join(r, [l[k] == r[k] for k in keys] + [cond], how)
-    strips = lambda df, p: df.withColumn("strip_", F.explode(F.sequence(F.floor(F.col(f"{p}y0") / bucket), F.floor(F.col(f"{p}y1") / bucket))))
-    joined = strips(l, "l_").join(strips(r, "r_"), [*keys, "strip_"])
-    first = F.greatest(F.floor(F.col("l_y0") / bucket), F.floor(F.col("r_y0") / bucket))
-    return joined.where(cond & (F.col("strip_") == first)).drop("strip_")
+    cond = (on or G.intersects_closed)(G.box("l_"), G.box("r_"))
+    return l.join(r, keys, how).where(cond) if how == "inner" else l.join(r, [l[k] == r[k] for k in keys] + [cond], how)
 
 
-def best_overlap(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, right_id: str) -> DataFrame:
-    """Each left row with the right row of the largest common area (the first of equals), null if there is none."""
-    pairs = box_join(left, right, keys).withColumn("area", G.intersection_area(G.box("l_"), G.box("r_"))).where("area > 0")
-    best = pairs.groupBy(*keys, F.col(f"l_{left_id}").alias(left_id)).agg(F.max_by(F.struct(F.col(f"r_{right_id}").alias("match"), F.col("area")), F.struct(F.col("area"), -F.col(f"r_{right_id}"))).alias("b"))
-    return left.select(*keys, left_id).join(best, [*keys, left_id], "left").select(*keys, left_id, F.col("b.match").alias("match"), F.coalesce("b.area", F.lit(0.0)).alias("area"))
-
-
-def nearest(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, right_id: str) -> DataFrame:
-    """Each left box with the right box nearest by vertical, then horizontal distance of centres."""
-    l, r = _prefixed(left, "l_", keys), _prefixed(right, "r_", keys)
-    (lx, ly), (rx, ry) = G.centre(G.box("l_")), G.centre(G.box("r_"))
-    return l.join(r, keys).groupBy(*keys, F.col(f"l_{left_id}").alias(left_id)).agg(F.min_by(f"r_{right_id}", F.struct(F.abs(ly - ry), F.abs(lx - rx), F.col(f"r_{right_id}"))).alias("nearest"))
+#: Each left row with the right row of the largest common area, or with the nearest one: both by a plane sweep.
+best_overlap = sweep.best_overlap
+nearest = sweep.nearest
 
 
 def asof(left: DataFrame, right: DataFrame, keys: list[str], left_on: str, right_on: str, values: list[str]) -> DataFrame:
@@ -73,7 +63,8 @@ def tolerance_match(expected: DataFrame, actual: DataFrame, keys: list[str], lo:
 
 def coverage(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, share: float = 0.5) -> DataFrame:
     """Left boxes with the share of their area that right boxes cover (overlaps counted as often as they occur), the best IoU, and whether the share suffices."""
-    pairs = box_join(left, right, keys)
+    edges = ["x0", "y0", "x1", "y1"]
+    pairs = box_join(left.select(*keys, left_id, *edges), right.select(*keys, *edges), keys)
     a, b = G.box("l_"), G.box("r_")
     per = pairs.groupBy(*keys, F.col(f"l_{left_id}").alias(left_id)).agg(F.sum(G.intersection_area(a, b)).alias("common"), F.max(G.iou(a, b)).alias("best_iou"))
     out = left.join(per, [*keys, left_id], "left")

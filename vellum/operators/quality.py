@@ -14,7 +14,7 @@ PAGE = ["doc_id", "page"]
 
 def collisions(texts: DataFrame, regions: DataFrame) -> DataFrame:
     """By page and kind of region: texts that overlap it by more than two square points and a twentieth of the smaller box."""
-    hit = joins.box_join(texts, regions, PAGE, G.collides)
+    hit = joins.box_join(texts, regions, PAGE, G.collides, reach=0.0)
     return hit.groupBy(*PAGE, F.col("r_kind").alias("kind")).agg(F.count("*").alias("collisions"))
 
 

@@ -39,7 +39,7 @@ def column_grids(spark, sf_dir):
 def box_pairs(spark, sf_dir):
     """Words whose boxes come within a point of each other on a page (a full line's last word and the other column's first)."""
     s = _spans(spark, sf_dir).select(*PAGE, "ordinal", "x0", "y0", "x1", "y1")
-    pairs = joins.box_join(s, s, PAGE, lambda a, b: G.collides(a, b, 0.0, 0.0), bucket=120.0).where("l_ordinal < r_ordinal")
+    pairs = joins.box_join(s, s, PAGE, lambda a, b: G.collides(a, b, 0.0, 0.0), bucket=120.0, reach=0.0).where("l_ordinal < r_ordinal")
     return pairs.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(G.intersection_area(G.box("l_"), G.box("r_"))).alias("area"))
 
 
