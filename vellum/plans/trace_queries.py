@@ -4,6 +4,8 @@ piece of SQL that both sides read, so that the operators and the plain SQL work
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from vellum.functions import geometry as G
@@ -63,9 +65,18 @@ NAMES = ("spans", "detections", "models", "components", "segments", "placements"
 
 
 def tables(spark, sf_dir):
-    """The tables by name. The documents are read once: spans are cut off as a checkpoint."""
-    spans = rounds.cut(synth.spans(_t(spark, sf_dir, "documents")))
-    return {n: spark.sql(f"WITH {TABLES_SQL.replace('FROM spans', 'FROM {spans}')} SELECT * FROM t_{n}", spans=spans) for n in NAMES}
+    """The tables by name. The documents are read once: spans, and what several tables are made of, are cut off as checkpoints."""
+    given = {"spans": rounds.cut(synth.spans(_t(spark, sf_dir, "documents")))}
+
+    def read(name):
+        sql = TABLES_SQL.replace("FROM spans", "FROM {spans}")
+        for n in given.keys() - {"spans"}:
+            sql = re.sub(rf"(FROM|JOIN) t_{n}\b", rf"\1 {{{n}}}", sql)
+        return spark.sql(f"WITH {sql} SELECT * FROM t_{name}", **given)
+
+    for name in ("members", "boxes"):
+        given[name] = rounds.cut(read(name))
+    return {n: read(n) for n in NAMES}
 
 
 def formula_lives(spark, sf_dir):
