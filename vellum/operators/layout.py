@@ -23,15 +23,20 @@ def lines(spans: DataFrame, gap: float = 12.0) -> DataFrame:
 
 def column_grid(spans: DataFrame, least_gutter: float = 6.0, share: float = 0.2) -> DataFrame:
     """One row a page: content frame, number of columns, gutter. Occupancy of unit bins, smoothed; the widest valley below
-    a share of the page's peak, at least ``least_gutter`` wide and with bands on both sides, is the gutter."""
+    a share of the page's peak, at least ``least_gutter`` wide and with bands on both sides, is the gutter. All steps are windows
+    and groupings within pages, so spans are read and dealt once."""
+    page = Window.partitionBy(*PAGE)
     occ = stats.occupancy(spans, PAGE, "x0", "x1", smooth=2)
-    peak = occ.groupBy(*PAGE).agg(F.max("smoothed").alias("peak"), F.min("bin").alias("frame_x0"), F.max("bin").alias("frame_x1"))
-    scaled = occ.join(peak, PAGE).withColumn("level", F.col("smoothed") / F.col("peak"))
-    gaps = sequence.valleys(scaled, PAGE, "bin", "level", share)
-    wide = gaps.withColumn("width", F.col("valley_hi") - F.col("valley_lo") + 1).where(F.col("width") >= least_gutter)
-    best = wide.groupBy(*PAGE).agg(F.max_by(F.struct("valley_lo", "valley_hi", "width"), F.struct(F.col("width"), -F.col("valley_lo"))).alias("v"))
-    out = peak.join(best, PAGE, "left")
-    return out.select(*PAGE, "frame_x0", "frame_x1", F.when(F.col("v").isNull(), 1).otherwise(2).alias("n_columns"), F.col("v.valley_lo").alias("gutter_lo"), F.col("v.valley_hi").alias("gutter_hi"))
+    level = occ.select(*PAGE, "bin", F.min("bin").over(page).alias("frame_x0"), F.max("bin").over(page).alias("frame_x1"), (F.col("smoothed") / F.max("smoothed").over(page)).alias("level"))
+    high = F.when(F.col("level") >= share, F.col("bin"))
+    low = (F.col("level") < share) & (F.col("bin") > F.min(high).over(page)) & (F.col("bin") < F.max(high).over(page))
+    # a valley's bins follow one another: number less place in order is the same for all of them
+    flagged = level.withColumn("low_", low)
+    run = F.when(F.col("low_"), F.col("bin") - F.row_number().over(Window.partitionBy(*PAGE, "low_").orderBy("bin")))
+    runs = flagged.withColumn("run_", run).groupBy(*PAGE, "frame_x0", "frame_x1", "run_").agg(F.min("bin").alias("lo"), F.max("bin").alias("hi"))
+    wide = F.when(F.col("run_").isNotNull() & (F.col("hi") - F.col("lo") + 1 >= least_gutter), F.struct("lo", "hi"))
+    best = runs.groupBy(*PAGE, "frame_x0", "frame_x1").agg(F.max_by(wide, F.when(wide.isNotNull(), F.struct(F.col("hi") - F.col("lo"), -F.col("lo")))).alias("v"))
+    return best.select(*PAGE, "frame_x0", "frame_x1", F.when(F.col("v").isNull(), 1).otherwise(2).alias("n_columns"), F.col("v.lo").alias("gutter_lo"), F.col("v.hi").alias("gutter_hi"))
 
 
 # The opening of an appendix's heading.

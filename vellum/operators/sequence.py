@@ -41,8 +41,9 @@ def bands(df: DataFrame, keys: list[str], position: str, value: str, threshold:
 def valleys(df: DataFrame, keys: list[str], position: str, value: str, threshold: float) -> DataFrame:
     """Runs below the threshold that lie between two bands: runs at either end are left out."""
     w = Window.partitionBy(*keys).orderBy(position)
-    ends = df.where(F.col(value) >= threshold).groupBy(*keys).agg(F.min(position).alias("a_"), F.max(position).alias("b_"))
-    low = df.where(F.col(value) < threshold).join(ends, keys).where((F.col(position) > F.col("a_")) & (F.col(position) < F.col("b_")))
+    over = F.when(F.col(value) >= threshold, F.col(position))
+    inside = df.withColumns({"a_": F.min(over).over(Window.partitionBy(*keys)), "b_": F.max(over).over(Window.partitionBy(*keys))})
+    low = inside.where((F.col(value) < threshold) & (F.col(position) > F.col("a_")) & (F.col(position) < F.col("b_")))
     apart = F.col(position) - F.lag(position).over(w) > 1
     return gap_islands(low, keys, [position], apart).groupBy(*keys, "island").agg(F.min(position).alias("valley_lo"), F.max(position).alias("valley_hi"))
 

@@ -92,15 +92,14 @@ def outliers(df: DataFrame, keys: list[str], value: str, relative: float, absolu
 
 def occupancy(df: DataFrame, keys: list[str], lo: str, hi: str, smooth: int = 5) -> DataFrame:
     """Coverage by unit bins from floor(lo) to floor(hi), and its mean over ``smooth`` bins to either side of the bins from the least to the largest."""
-    # a rise where an interval begins and a fall after its end: two rows an interval, not one for each bin
-    rises = df.select(*keys, F.floor(lo).alias("bin"), F.lit(1).alias("d_")).union(df.select(*keys, F.floor(hi) + 1, F.lit(-1)))
-    steps = rises.groupBy(*keys, "bin").agg(F.sum("d_").alias("d_"))
-    ends = steps.groupBy(*keys).agg(F.min("bin").alias("a_"), (F.max("bin") - 1).alias("b_"))
-    spine = ends.select(*keys, F.explode(F.sequence("a_", "b_")).alias("bin"))
-    up = Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    full = spine.join(steps, [*keys, "bin"], "left").withColumn("n", F.sum(F.coalesce("d_", F.lit(0))).over(up)).drop("d_")
-    w = Window.partitionBy(*keys).orderBy("bin").rowsBetween(-smooth, smooth)
-    return full.withColumn("smoothed", F.avg("n").over(w))
+    # a rise where an interval begins and a fall after its end: two rows an interval, not one for each bin; between two
+    # steps the level stays, so the bins come from each step and the next, without a join
+    ends = F.array(F.struct(F.floor(lo).alias("bin"), F.lit(1).alias("d")), F.struct((F.floor(hi) + 1).alias("bin"), F.lit(-1).alias("d")))
+    steps = df.select(*keys, F.explode(ends).alias("e_")).groupBy(*keys, F.col("e_.bin").alias("bin")).agg(F.sum("e_.d").alias("d_"))
+    order = Window.partitionBy(*keys).orderBy("bin")
+    level = steps.select(*keys, "bin", F.sum("d_").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("n"), F.lead("bin").over(order).alias("next_"))
+    full = level.where("next_ is not null").select(*keys, F.explode(F.sequence("bin", F.col("next_") - 1)).alias("bin"), "n")
+    return full.withColumn("smoothed", F.avg("n").over(order.rowsBetween(-smooth, smooth)))
 
 
 def multiset_recall(expected: DataFrame, found: DataFrame, key: str) -> DataFrame:
