@@ -110,6 +110,12 @@ _MATH = f"[{T.GREEK}{T.MATH_SYMBOLS}]"
 _STRIPS = "range(CAST(floor(y0 / 120) AS BIGINT), CAST(floor(y1 / 120) AS BIGINT) + 1)"
 
 ORACLE_SQL = {
+    "column_grids": f"""WITH {S}, b AS (SELECT doc_id, page, unnest(range(CAST(floor(x0) AS BIGINT), CAST(floor(x1) AS BIGINT) + 1)) AS bin FROM spans), c AS (SELECT doc_id, page, bin, count(*) AS n FROM b GROUP BY 1, 2, 3), e AS (SELECT doc_id, page, min(bin) AS lo, max(bin) AS hi FROM c GROUP BY 1, 2), sp AS (SELECT doc_id, page, lo, hi, unnest(range(lo, hi + 1)) AS bin FROM e),
+        f AS (SELECT sp.doc_id, sp.page, lo, hi, sp.bin, coalesce(c.n, 0) AS n FROM sp LEFT JOIN c ON sp.doc_id = c.doc_id AND sp.page = c.page AND sp.bin = c.bin), s AS (SELECT *, avg(n) OVER (PARTITION BY doc_id, page ORDER BY bin ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS sm FROM f),
+        l AS (SELECT *, sm / max(sm) OVER (PARTITION BY doc_id, page) >= 0.2::DOUBLE AS high FROM s), r AS (SELECT *, min(bin) FILTER (WHERE high) OVER (PARTITION BY doc_id, page) AS a, max(bin) FILTER (WHERE high) OVER (PARTITION BY doc_id, page) AS z FROM l),
+        v AS (SELECT doc_id, page, bin, bin - row_number() OVER (PARTITION BY doc_id, page ORDER BY bin) AS run FROM r WHERE NOT high AND bin > a AND bin < z), w AS (SELECT doc_id, page, min(bin) AS lo, max(bin) AS hi FROM v GROUP BY doc_id, page, run HAVING max(bin) - min(bin) + 1 >= 6),
+        o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY hi - lo DESC, lo) AS r FROM w)
+        SELECT e.doc_id, e.page, e.lo AS frame_x0, e.hi AS frame_x1, CASE WHEN o.lo IS NULL THEN 1 ELSE 2 END AS n_columns, o.lo AS gutter_lo, o.hi AS gutter_hi FROM e LEFT JOIN o ON o.doc_id = e.doc_id AND o.page = e.page AND o.r = 1""",
     "body_capacity": f"""WITH {S}, b AS (SELECT doc_id, page, col, y0 - 1 AS lo, y1 + 1 AS hi FROM spans WHERE regexp_matches(text, '[0-9]')), r AS (SELECT *, max(hi) OVER (PARTITION BY doc_id, page, col ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM b),
         i AS (SELECT *, sum(CASE WHEN reach IS NULL OR lo > reach THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page, col ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM r), m AS (SELECT doc_id, page, col, greatest(min(lo), 72.0::DOUBLE) AS lo, least(max(hi), 720.0::DOUBLE) AS hi FROM i GROUP BY doc_id, page, col, island), c AS (SELECT * FROM m WHERE lo < hi),
         n AS (SELECT doc_id, page, col, count(DISTINCT line) * 12.0::DOUBLE AS height FROM spans GROUP BY 1, 2, 3), e AS (SELECT doc_id, page, col, max(hi) AS hi FROM c GROUP BY 1, 2, 3),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions import edits
 from vellum.operators import flow, layout, paragraphs, quality, synth
+from vellum.functions import text as T
 from vellum.plans.layout_queries import S
 from vellum.plans.text_queries import PARAGRAPHS, _t
 
@@ -79,7 +80,45 @@ def item_similarity(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (merged_paragraphs, logical_paragraphs, page_continuations, column_flows, density_by_column, residual_spans, benchmark_recall, code_templates, split_halves, item_similarity)}
 
+_CONNECTIVES = ", ".join(f"'{w}'" for w in T.CONNECTIVES)
+_LINES = """g AS (
+  SELECT *, CASE WHEN x0 - lag(x1) OVER w > 12 OR lag(x1) OVER w IS NULL THEN 1 ELSE 0 END AS f FROM spans WINDOW w AS (PARTITION BY doc_id, page, y0 ORDER BY x0, ordinal)
+), n AS (
+  SELECT *, sum(f) OVER (PARTITION BY doc_id, page, y0 ORDER BY x0, ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS segment FROM g
+), lines AS (
+  SELECT doc_id, page, y0, segment, min(x0) AS x0, max(x1) AS x1, max(y1) AS y1, min(ordinal) AS ordinal, CASE WHEN min(x0) < 306 THEN 0 ELSE 1 END AS side, string_agg(text, ' ' ORDER BY x0, ordinal) AS text FROM n GROUP BY 1, 2, 3, 4
+)"""
+_PARTS = """a1 AS (
+  SELECT *, length(text) <= 90 AND regexp_matches(text, '^(?:[0-9]+|[A-Z])(?:\\.[0-9]+)*\\.?\\s+[A-Z]') AS own, regexp_matches(text, '^[A-Z]') AS bold, y0 - lag(y1) OVER (PARTITION BY doc_id, page, side ORDER BY y0, ordinal) AS gap, greatest(1.0, y1 - y0) AS h FROM lines
+), a2 AS (
+  SELECT *, sum(CASE WHEN coalesce(bold AND gap < 1.8 * h AND NOT own, false) THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, page, side ORDER BY y0, ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM a1
+), a3 AS (SELECT *, first_value(own) OVER (PARTITION BY doc_id, page, side, run ORDER BY y0, ordinal) AS heading FROM a2
+), a4 AS (
+  SELECT *, sum(CASE WHEN gap IS NULL OR gap >= 1.6 * h OR heading <> before THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page, side ORDER BY y0, ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS paragraph
+  FROM (SELECT *, lag(heading) OVER (PARTITION BY doc_id, page, side ORDER BY y0, ordinal) AS before FROM a3)
+), parts AS (
+  SELECT doc_id, page, side, paragraph, any_value(heading) AS heading, count(*) AS n_lines, min(y0) AS y0, max(y1) AS y1, min(ordinal) AS ordinal, arg_min(text, (y0, ordinal)) AS head, arg_max(text, (y0, ordinal)) AS tail FROM a4 GROUP BY 1, 2, 3, 4
+)"""
+_GOES = "NOT regexp_matches(trim({a}), '[.!?:;。！？]$') AND regexp_matches(trim({b}), '^[a-zà-ÿ(]')"
+_TURNS = f"""lasts AS (SELECT doc_id, page, arg_max(tail, (side, y1, ordinal)) AS tail, arg_max(y1, (side, y1, ordinal)) AS y1 FROM parts GROUP BY 1, 2
+), firsts AS (SELECT doc_id, page, arg_min(head, (side, y0, ordinal)) AS head, arg_min(y0, (side, y0, ordinal)) AS y0, arg_min(ordinal, (side, y0, ordinal)) AS ordinal FROM parts GROUP BY 1, 2
+), turns AS (
+  SELECT f.doc_id, f.page AS next_page, f.ordinal, {_GOES.format(a="l.tail", b="f.head")} AND l.y1 >= 682 AND f.y0 <= 165 AS continues FROM lasts l JOIN firsts f ON f.doc_id = l.doc_id AND f.page = l.page + 1
+)"""
+_ACROSS = f"""lefts AS (SELECT doc_id, page, arg_max(tail, (y1, ordinal)) AS tail, max(y1) AS y1, arg_max(heading, (y1, ordinal)) AS heading FROM parts WHERE side = 0 GROUP BY 1, 2
+), rights AS (SELECT doc_id, page, arg_min(head, (y0, ordinal)) AS head, min(y0) AS y0, arg_min(heading, (y0, ordinal)) AS heading, arg_min(ordinal, (y0, ordinal)) AS ordinal FROM parts WHERE side = 1 GROUP BY 1, 2
+), links AS (
+  SELECT doc_id, ordinal FROM turns WHERE continues UNION
+  SELECT r.doc_id, r.ordinal FROM lefts l JOIN rights r ON l.doc_id = r.doc_id AND l.page = r.page WHERE {_GOES.format(a="l.tail", b="r.head")} AND l.y1 >= 672 AND r.y0 <= 180 AND NOT l.heading AND NOT r.heading
+)"""
+
 ORACLE_SQL = {
+    "merged_paragraphs": f"WITH {S}, {_LINES}, {_PARTS} SELECT doc_id, count(*) AS paragraphs, CAST(sum(n_lines) AS BIGINT) AS lines, count(*) FILTER (WHERE heading) AS headings FROM parts GROUP BY 1",
+    "page_continuations": f"WITH {S}, {_LINES}, {_PARTS}, {_TURNS} SELECT doc_id, next_page, continues FROM turns",
+    "logical_paragraphs": f"""WITH {S}, {_LINES}, {_PARTS}, {_TURNS}, {_ACROSS} SELECT p.doc_id, 1 + count(*) - count(k.ordinal) - CAST(count(*) FILTER (WHERE k.ordinal IS NULL AND p.ordinal = f.ordinal) AS BIGINT) AS logical, count(*) AS fragments
+        FROM parts p LEFT JOIN links k ON k.doc_id = p.doc_id AND k.ordinal = p.ordinal LEFT JOIN (SELECT doc_id, arg_min(ordinal, (page, side, y0, ordinal)) AS ordinal FROM parts GROUP BY 1) f ON f.doc_id = p.doc_id GROUP BY 1""",
+    "residual_spans": f"""WITH {S}, {_LINES} SELECT doc_id, count(*) AS residual FROM lines WHERE NOT regexp_matches(text, '{T.CJK}') AND NOT regexp_matches(text, '[0-9]') AND NOT regexp_matches(text, '^(?:[A-Z][\\w.-]*\\s*)+$')
+        AND (len(list_filter(regexp_split_to_array(lower(regexp_replace(text, '[^A-Za-z0-9_\\s''’.-]', ' ', 'g')), '\\s+'), lambda w: w IN ({_CONNECTIVES}))) > 0 OR regexp_matches(text, '[A-Za-z]{{20,}}|(?:[A-Za-z]+\\s+){{3}}[A-Za-z]')) GROUP BY 1""",
     "code_templates": f"WITH {PARAGRAPHS} SELECT source, count(*) FILTER (WHERE regexp_matches(src, '\\b[A-Za-z_][A-Za-z0-9_.]*\\s*=\\s*(?:\\[[^\\]]*\\]|[A-Za-z0-9_.+-]+)')) AS with_code, count(*) AS paragraphs FROM paragraphs GROUP BY 1",
     "density_by_column": f"WITH {S}, c AS (SELECT doc_id, page, col, CASE WHEN max(y1) > min(y0) THEN 100.0::DOUBLE * sum(length(text)) / (max(y1) - min(y0)) END AS d FROM spans GROUP BY 1, 2, 3), p AS (SELECT doc_id, page, max(d) FILTER (WHERE col = 0) AS l, max(d) FILTER (WHERE col = 1) AS r FROM c GROUP BY 1, 2) SELECT doc_id, page, round(l, 6) AS \"left\", round(r, 6) AS \"right\", round(abs(l - r), 6) AS difference FROM p",
     "benchmark_recall": """WITH e AS (SELECT c, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '\\S')) AS c FROM benchmark) GROUP BY 1), f AS (SELECT c, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '\\S')) AS c FROM documents) GROUP BY 1),
