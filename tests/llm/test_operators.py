@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -76,14 +77,18 @@ def test_toxicity_odd_and_empty(spark, odd, empty):
     assert kept.columns == clash.columns and kept.count() == odd.count()
 
 
-def test_toxicity_catches_rare_and_disguised_forms(spark):
-    docs = spark.read.parquet("/root/testdata/check_s/documents.parquet").where("doc_id < 12000")
-    labels = spark.read.parquet("/root/testdata/check_s/labels.parquet").select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
+@pytest.mark.parametrize("folder, each_language, overall", [("sf0.1", 0.7, 0.85), ("check_s", 0.9, 0.95)])
+def test_toxicity_catches_rare_and_disguised_forms(spark, folder, each_language, overall):
+    """Held-out half of the labels; ``check_s``, which is not everywhere, has more labelled rows."""
+    if not os.path.isdir(f"/root/testdata/{folder}"):
+        pytest.skip(f"{folder} isn't on this machine")
+    docs = spark.read.parquet(f"/root/testdata/{folder}/documents.parquet").where("doc_id < 12000")
+    labels = spark.read.parquet(f"/root/testdata/{folder}/labels.parquet").select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
     learn, rest = labels.where("doc_id % 2 = 0"), labels.where("doc_id % 2 = 1 and doc_id < 12000")
     chain = toxicity.train_chain(docs, learn)
     got = toxicity.with_toxicity(docs, chain).join(rest, "doc_id").select("lang", "toxic", "p_toxic").toPandas()
-    caught = (got.p_toxic >= chain.thresholds["toxic"])
-    assert (caught[got.toxic == 1].groupby(got.lang).mean() >= 0.9).all() and caught[got.toxic == 0].mean() <= 0.01
+    caught = got.p_toxic >= chain.thresholds["toxic"]
+    assert (caught[got.toxic == 1].groupby(got.lang).mean() >= each_language).all() and caught[got.toxic == 1].mean() >= overall and caught[got.toxic == 0].mean() <= 0.01
     clean = docs.join(rest.where("toxic = 0"), "doc_id").limit(300)
     for word in ("1d1ot SCUM", "s.c.u.m mor-on", "idiots moronic", "tr@sh stup1d"):
         seen = toxicity.with_toxicity(clean.withColumn("text", F.concat("text", F.lit(f" {word}"))), chain)
