@@ -249,3 +249,29 @@ def test_library_does_not_import_the_training_data_package():
     for f in root.rglob("*.py"):
         if "llm" not in f.relative_to(root).parts:
             assert not re.search(r"vellum\.llm|from \.+llm|import llm", f.read_text()), f
+
+
+def test_clusters_equal_a_plain_fold(spark):
+    """Nulls, ties, values a tolerance apart, and runs that go on over Arrow batches."""
+    import random
+
+    from vellum.operators import sequence
+
+    rng = random.Random(3)
+    rows = [(g, i, rng.choice((None, rng.uniform(0, 40), float(rng.randrange(0, 40, 2))))) for i, g in enumerate(rng.choice((1, 2, 3)) for _ in range(600))]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        df = spark.createDataFrame(rows, "k int, id_ int, v double").repartition(3)
+        got = {r.id_: r.cluster for r in sequence.cluster_1d(df, ["k"], "v", 2.0).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for k in (1, 2, 3):
+        total = n = 0
+        cluster = -1
+        for v, i in sorted((v, i) for g, i, v in rows if g == k and v is not None):
+            if n and v - total / n <= 2.0:
+                total, n = total + v, n + 1
+            else:
+                total, n, cluster = v, 1, cluster + 1
+            assert got[i] == cluster
+    assert all(got[i] == -1 for _, i, v in rows if v is None)

@@ -48,11 +48,68 @@ def valleys(df: DataFrame, keys: list[str], position: str, value: str, threshold
     return gap_islands(low, keys, [position], apart).groupBy(*keys, "island").agg(F.min(position).alias("valley_lo"), F.max(position).alias("valley_hi"))
 
 
+class _Clusters:
+    """Clusters of sorted values, batch by batch: the group and the last cluster's sum, count and number are all that is carried.
+
+    A value more than the tolerance over the one before is over the mean by more too, so it begins a cluster; a run without such
+    a step that is no longer than the tolerance is one cluster. Only runs in between, and one that goes on from the batch
+    before, are folded value by value; rounding is kept out of both tests by a margin."""
+
+    def __init__(self, tolerance: float):
+        self.tolerance, self.group, self.last, self.total, self.n, self.k = tolerance, None, 0.0, 0.0, 0, -1
+
+    def _fold(self, values: list[float]) -> list[int]:
+        out, total, n, k = [], self.total, self.n, self.k
+        for v in values:
+            if n and v - total / n <= self.tolerance:
+                total, n = total + v, n + 1
+            else:
+                total, n, k = v, 1, k + 1
+            out.append(k)
+        self.total, self.n, self.k = total, n, k
+        return out
+
+    def numbers(self, values, groups):
+        """values (no nulls) and groups of a batch, as arrays."""
+        import numpy as np
+
+        if not len(values):
+            return np.empty(0, np.int32)
+        margin = 1e-9 * abs(self.tolerance) + 1e-12 * np.abs(values)
+        goes_on = self.group is not None and groups[0] == self.group
+        fresh = np.concatenate(([not goes_on], groups[1:] != groups[:-1]))
+        step = np.concatenate(([goes_on and values[0] - self.last > self.tolerance + margin[0]], values[1:] - values[:-1] > self.tolerance + margin[1:]))
+        starts = np.flatnonzero(fresh | step | (np.arange(len(values)) == 0))
+        ends = np.append(starts[1:], len(values))
+        long = values[ends - 1] - values[starts] > self.tolerance - margin[ends - 1]
+        if goes_on and not step[0]:
+            long[0] = True
+        long[-1] = True  # its sum is carried
+        out = np.empty(len(values), np.int32)
+        # between two folded runs all are one cluster each
+        for i, j in zip(np.concatenate(([-1], np.flatnonzero(long)[:-1])).tolist(), np.flatnonzero(long).tolist(), strict=True):
+            if j > i + 1:
+                first = starts[i + 1 : j]
+                new = fresh[first]
+                since = np.maximum.accumulate(np.where(new, np.arange(len(first)), -1))
+                k = np.where(since >= 0, np.arange(len(first)) - since, np.arange(len(first)) + self.k + 1)
+                out[first[0] : starts[j]] = np.repeat(k, ends[i + 1 : j] - first)
+                self.k = int(k[-1])
+            a, z = int(starts[j]), int(ends[j])
+            if fresh[a]:
+                self.k = -1
+            if fresh[a] or step[a]:
+                self.n = 0
+            out[a:z] = self._fold(values[a:z].tolist())
+        self.group, self.last = groups[-1], float(values[-1])
+        return out
+
+
 def cluster_1d(df: DataFrame, keys: list[str], value: str, tolerance: float, order: list[str] = ()) -> DataFrame:
     """Greedy clusters along sorted values: a value joins the last cluster if it is at most ``tolerance`` over the
     cluster's running mean. df has ``id_``; returns keys, id_, cluster. A running mean has no associative form: rows are
-    sorted within hash partitions and folded once in Arrow batches; only a sum and a count are carried, so a group may be
-    of any length. Null values have cluster -1."""
+    sorted within hash partitions and folded once in Arrow batches, most of them by whole runs; only a sum and a count are
+    carried, so a group may be of any length. Null values have cluster -1."""
     import numpy as np
     import pyarrow as pa
 
@@ -61,20 +118,11 @@ def cluster_1d(df: DataFrame, keys: list[str], value: str, tolerance: float, ord
     kept = len(keys) + 1
 
     def fold(batches):
-        group, total, n, k = None, 0.0, 0, -1
+        clusters = _Clusters(tolerance)
         for b in batches:
-            out = np.empty(b.num_rows, np.int32)
-            for i, (v, g) in enumerate(zip(b.column(kept).to_pylist(), b.column(kept + 1).to_pylist(), strict=True)):
-                if v is None:
-                    out[i] = -1
-                elif g != group:
-                    group, total, n, k = g, v, 1, 0
-                elif v - total / n <= tolerance:
-                    total += v
-                    n += 1
-                else:
-                    total, n, k = v, 1, k + 1
-                out[i] = k
+            known = b.column(kept).is_valid().to_numpy(zero_copy_only=False)
+            out = np.full(b.num_rows, -1, np.int32)
+            out[known] = clusters.numbers(b.column(kept).to_numpy(zero_copy_only=False)[known], b.column(kept + 1).to_numpy()[known])
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(kept)), pa.array(out)], names=[*keys, "id_", "cluster"])
 
     types = dict(df.dtypes)
