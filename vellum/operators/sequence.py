@@ -105,17 +105,19 @@ class _Clusters:
         return out
 
 
-def cluster_1d(df: DataFrame, keys: list[str], value: str, tolerance: float, order: list[str] = ()) -> DataFrame:
+def cluster_1d(df: DataFrame, keys: list[str], value: str, tolerance: float, order: list[str] = (), carry: list[str] = (), dealt: bool = False) -> DataFrame:
     """Greedy clusters along sorted values: a value joins the last cluster if it is at most ``tolerance`` over the
-    cluster's running mean. df has ``id_``; returns keys, id_, cluster. A running mean has no associative form: rows are
+    cluster's running mean. df has ``id_``; returns keys, id_, the carried columns, cluster. A running mean has no associative form: rows are
     sorted within hash partitions and folded once in Arrow batches, most of them by whole runs; only a sum and a count are
-    carried, so a group may be of any length. Null values have cluster -1."""
+    carried, so a group may be of any length. Null values have cluster -1. ``dealt`` says that df's rows are dealt by the keys
+    already, as after a window over them."""
     import numpy as np
     import pyarrow as pa
 
-    rows = df.select(*keys, "id_", F.col(value).cast("double").alias("v_"), *order, F.xxhash64(*keys).alias("g_"))
-    placed = rows.repartition(*keys).sortWithinPartitions(*keys, "v_", *order, "id_").select(*keys, "id_", "v_", "g_")
-    kept = len(keys) + 1
+    own = [*keys, "id_", *carry]
+    rows = df.select(*own, F.col(value).cast("double").alias("v_"), *(c for c in order if c not in own), F.xxhash64(*keys).alias("g_"))
+    placed = (rows if dealt else rows.repartition(*keys)).sortWithinPartitions(*keys, "v_", *order, "id_").select(*own, "v_", "g_")
+    kept = len(own)
 
     def fold(batches):
         clusters = _Clusters(tolerance)
@@ -123,10 +125,10 @@ def cluster_1d(df: DataFrame, keys: list[str], value: str, tolerance: float, ord
             known = b.column(kept).is_valid().to_numpy(zero_copy_only=False)
             out = np.full(b.num_rows, -1, np.int32)
             out[known] = clusters.numbers(b.column(kept).to_numpy(zero_copy_only=False)[known], b.column(kept + 1).to_numpy()[known])
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(kept)), pa.array(out)], names=[*keys, "id_", "cluster"])
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(kept)), pa.array(out)], names=[*own, "cluster"])
 
     types = dict(df.dtypes)
-    return placed.mapInArrow(fold, ", ".join(f"`{c}` {types[c]}" for c in [*keys, "id_"]) + ", cluster int")
+    return placed.mapInArrow(fold, ", ".join(f"`{c}` {types[c]}" for c in own) + ", cluster int")
 
 
 def median_gap(df: DataFrame, keys: list[str], order: list[str], lo: str, hi: str, least: float = 2, most: float = 40, clamp=(3.0, 14.0), default: float = 8.0) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellum.operators import joins, sequence, stats
+from vellum.operators import sequence, stats
 
 
 def table_type(tables: DataFrame) -> DataFrame:
@@ -37,15 +37,17 @@ def column_bounds(texts: DataFrame, keys: list[str], least_gap: float = 4.0) ->
     return both.groupBy(*keys).agg(F.array_sort(F.collect_set("b")).alias("bounds"))
 
 
-def cells(texts: DataFrame, keys: list[str]) -> DataFrame:
-    """texts(keys, ordinal, text, box): the cell (row, column) of each text and the cells' texts in reading order. Rows are
-    greedy clusters of centres with a tolerance of 0.7 of the median height, two points at least."""
-    bounds = column_bounds(texts, keys)
-    tall = texts.groupBy(*keys).agg(F.greatest(F.lit(2.0), 0.7 * F.expr("median(y1 - y0)")).alias("tol_"))
-    placed = texts.join(bounds, keys).join(tall, keys).withColumn("column", joins.band_of(F.col("bounds"), (F.col("x0") + F.col("x1")) / 2))
-    scaled = placed.withColumn("id_", F.col("ordinal")).withColumn("v_", ((F.col("y0") + F.col("y1")) / 2) / F.col("tol_"))
-    rows = sequence.cluster_1d(scaled, keys, "v_", 1.0).withColumnRenamed("cluster", "row").withColumnRenamed("id_", "ordinal")
-    out = placed.join(rows, [*keys, "ordinal"])
+def cells(texts: DataFrame, keys: list[str], least_gap: float = 4.0) -> DataFrame:
+    """texts(keys, ordinal, text, box): the cell (row, column) of each text and the cells' texts in reading order. Columns are
+    parted by empty runs of ``least_gap`` or more in x (as in ``column_bounds``): a text's column is the number of such runs
+    before it. Rows are greedy clusters of centres with a tolerance of 0.7 of the median height, two points at least. A
+    table's texts are dealt once for all of this."""
+    table = Window.partitionBy(*keys)
+    order = table.orderBy("x0", "x1", "ordinal")
+    reach = F.max("x1").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    parted = texts.withColumns({"tol_": F.greatest(F.lit(2.0), 0.7 * F.median(F.col("y1") - F.col("y0")).over(table)), "gap_": F.col("x0") - reach})
+    placed = parted.withColumns({"column": F.sum(F.when(F.col("gap_") >= least_gap, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int"), "id_": F.col("ordinal"), "v_": ((F.col("y0") + F.col("y1")) / 2) / F.col("tol_")})
+    out = sequence.cluster_1d(placed, keys, "v_", 1.0, carry=["column", "text", "x0", "y0", "x1", "y1"], dealt=True).withColumnsRenamed({"cluster": "row", "id_": "ordinal"})
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "ordinal", "text"))), lambda s: s["text"]), " ")
     return out.groupBy(*keys, "row", "column").agg(joined.alias("text"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.count("*").alias("n_texts"))
 
