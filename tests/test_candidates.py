@@ -61,3 +61,20 @@ def test_context_leaves_out_the_block_itself(spark):
     block = spark.createDataFrame([(1, 0, "b", 10_000)], "doc_id long, page long, block string, ordinal long")
     got = candidates.block_context(block, s).first()
     assert (got.runs, got.band_width, got.plain_width, got.x1) == (2, 24.0, 24.0, 52.0)
+
+
+def test_segments_of_blocks(spark):
+    """A clean display block is one piece; one with foreign words, and one that isn't displayed, is cut into rows; a row that shares
+    height goes on."""
+    m = lambda block, i, x, y: (1, 0, block, i, x, y, x + 10, y + 10)
+    parts = [m("clean", 1, 10.0, 100.0), m("clean", 2, 10.0, 120.0), m("mixed", 3, 10.0, 200.0), m("mixed", 4, 10.0, 220.0), m("inline", 5, 10.0, 300.0), m("inline", 6, 24.0, 304.5), m("inline", 7, 80.0, 309.0), m("crossed", 8, 10.0, 400.0), m("crossed", 9, 10.0, 420.0), m("other", 10, 12.0, 412.0)]
+    box = "x0 double, y0 double, x1 double, y1 double"
+    members = spark.createDataFrame(parts, f"doc_id long, page long, block string, ordinal long, {box}")
+    spans = [(1, 0, i, "x", "CMMI10", True, True, *b) for _, _, _, i, *b in parts] + [(1, 0, 90, "word", "Times", False, False, 12.0, 212.0, 18.0, 218.0), (1, 0, 91, " ", "Times", False, False, 12.0, 112.0, 18.0, 118.0)]
+    s = spark.createDataFrame(spans, f"doc_id long, page long, ordinal long, text string, font string, candidate boolean, kept boolean, {box}")
+    blocks = members.groupBy("doc_id", "page", "block").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")).withColumn("is_display", F.col("block") != "inline")
+    got = candidates.render_segments(blocks, members.select("doc_id", "page", "block", "ordinal"), s)
+    assert {(r.block, r.segment): (r.n_spans, r.x0, r.y0, r.x1, r.y1) for r in got.collect()} == {
+        ("clean", 0): (2, 10.0, 100.0, 20.0, 130.0), ("mixed", 0): (1, 10.0, 200.0, 20.0, 210.0), ("mixed", 1): (1, 10.0, 220.0, 20.0, 230.0), ("inline", 0): (2, 10.0, 300.0, 34.0, 314.5), ("inline", 1): (1, 80.0, 309.0, 90.0, 319.0),
+        ("crossed", 0): (1, 10.0, 400.0, 20.0, 410.0), ("crossed", 1): (1, 10.0, 420.0, 20.0, 430.0), ("other", 0): (1, 12.0, 412.0, 22.0, 422.0),
+    }

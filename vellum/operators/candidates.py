@@ -115,3 +115,38 @@ def block_context(blocks: DataFrame, spans: DataFrame, main_size: float = 10.0)
         F.sum(F.col("all_") - F.coalesce("w_", F.lit(0.0))).alias("band_width"), F.sum(F.col("plain_") - F.coalesce("p_", F.lit(0.0))).alias("plain_width"), F.count("*").alias("runs")
     )
     return own.join(sums, [*PAGE, "block"], "left").na.fill(0, ["band_width", "plain_width", "runs"])
+
+
+#: Rows of a block whose boxes share height and are less than this apart, in points, are one segment. A fixed value.
+ROW_GAP = 15.0
+
+
+def render_segments(blocks: DataFrame, members: DataFrame, spans: DataFrame, row_tolerance: float = 3.0) -> DataFrame:
+    """blocks(doc_id, page, block, is_display, box), members(doc_id, page, block, ordinal), spans with candidate and kept: the pieces
+    that each block is drawn in, (doc_id, page, block, segment, n_spans, box). A display block that holds no foreign text and no
+    part of another block is one piece. Others are cut into rows (clusters of centres, from the top); a row that shares height
+    with the piece before and begins less than ``ROW_GAP`` after its end goes on with it. What is foreign comes from sweeps."""
+    box = ["x0", "y0", "x1", "y1"]
+    b = blocks.select(*PAGE, "block", "is_display", *box)
+    plain = spans.where(~F.col("kept") & ~T.is_math_font(F.col("font")) & (F.trim(F.coalesce("text", F.lit(""))) != "")).select(*PAGE, "ordinal", *box)
+    met = sweep.overlaps(b.select(*PAGE, "block", *box), plain, PAGE, reach=1.0).select(*PAGE, F.col("l_block").alias("block"), F.col("r_ordinal").alias("ordinal"))
+    polluted = met.join(members, [*PAGE, "block", "ordinal"], "left_anti").select(*PAGE, "block")
+    l, r = G.box("l_"), G.box("r_")
+    crossed = sweep.overlaps(b.select(*PAGE, "block", *box), b.select(*PAGE, "block", *box), PAGE, closed=False).where((F.col("l_block") != F.col("r_block")) & (G.x_overlap(l, r) > 2.0) & (G.y_overlap(l, r) > 2.0)).select(*PAGE, F.col("l_block").alias("block"))
+    foreign = polluted.union(crossed).distinct().withColumn("foreign_", F.lit(True))
+    own = members.join(spans.select(*PAGE, "ordinal", *box), [*PAGE, "ordinal"]).withColumns({"id_": F.col("ordinal"), "v_": (F.col("y0") + F.col("y1")) / 2})
+    rows = sequence.cluster_1d(own, [*PAGE, "block"], "v_", row_tolerance, carry=box)
+    whole = b.join(foreign, [*PAGE, "block"], "left").select(*PAGE, "block", (F.col("is_display") & F.col("foreign_").isNull()).alias("one_"))
+    placed = rows.join(whole, [*PAGE, "block"]).withColumn("row_", F.when(F.col("one_"), 0).otherwise(F.col("cluster")))
+    boxed = placed.groupBy(*PAGE, "block", "row_").agg(F.count("*").alias("n"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+    piece = "struct<n:bigint,x0:double,y0:double,x1:double,y1:double>"
+    listed = boxed.groupBy(*PAGE, "block").agg(F.array_sort(F.collect_list(F.struct("row_", F.struct("n", *box).cast(piece).alias("p")))).alias("rows_"))
+
+    def joined(done: Column, row: Column) -> Column:
+        last, p = F.element_at(done, -1), row["p"]
+        goes_on = (F.size(done) > 0) & (p["y0"] < F.try_element_at(done, F.lit(-1))["y1"]) & (p["y1"] > F.try_element_at(done, F.lit(-1))["y0"]) & (p["x0"] - F.try_element_at(done, F.lit(-1))["x1"] < ROW_GAP)
+        union = F.struct((last["n"] + p["n"]).alias("n"), F.least(last["x0"], p["x0"]).alias("x0"), F.least(last["y0"], p["y0"]).alias("y0"), F.greatest(last["x1"], p["x1"]).alias("x1"), F.greatest(last["y1"], p["y1"]).alias("y1"))
+        return F.when(goes_on, F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(union))).otherwise(F.concat(done, F.array(p)))
+
+    pieces = listed.select(*PAGE, "block", F.posexplode(F.aggregate("rows_", F.array().cast(f"array<{piece}>"), joined)).alias("segment", "s"))
+    return pieces.select(*PAGE, "block", "segment", F.col("s.n").alias("n_spans"), *(F.col(f"s.{c}").alias(c) for c in box))
