@@ -40,8 +40,8 @@ BASE = {
 KINDS = (*BASE, "random")
 RUN = "A-Za-z0-9_+/=-"
 LEAST_RUN = 16
-#: A secret is 10,000 times likelier as a random string.
-LEAST_RATIO = math.log(10_000)
+#: A secret is a million times likelier as a random string: identifiers of words that the samples don't hold come up to some 13.
+LEAST_RATIO = math.log(1_000_000)
 SAMPLE_DOCUMENTS = 2_000
 #: Added to each count of a pair, and how much a model goes by classes of characters (small, capital, digit, mark) alone: pairs that
 #: the samples don't hold say little.
