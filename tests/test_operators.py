@@ -104,6 +104,29 @@ def test_document_states_as_a_stream(spark, tmp_path):
         q.stop()
 
 
+def test_states_of_silent_documents_are_given_up(spark, tmp_path):
+    import datetime
+
+    from vellum.streaming.states import document_state_stream
+
+    schema = "doc_id long, page long, heading string, numbered_section boolean, reference_density double, at timestamp"
+    hour = lambda h: datetime.datetime(2024, 1, 1) + datetime.timedelta(hours=h)
+    batches = [[(1, 0, "References", False, 0.0, hour(0)), (2, 0, "References", False, 0.0, hour(0))], [(1, 1, None, False, 0.0, hour(0.5)), (3, 0, None, False, 0.0, hour(10))], [(4, 0, None, False, 0.0, hour(20))], [(1, 2, None, False, 0.0, hour(20))]]
+    folder = tmp_path / "in"
+    folder.mkdir()
+    pages = spark.readStream.schema(schema).parquet(str(folder)).withWatermark("at", "1 minute")
+    q = document_state_stream(pages, 3_600_000, "at").writeStream.format("memory").queryName("silent").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
+    try:
+        for rows in batches:
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(folder))
+            q.processAllAvailable()
+        got = {(r.doc_id, r.page): r.state for r in spark.table("silent").collect()}
+        assert got == {(1, 0): "references", (2, 0): "references", (1, 1): "references", (3, 0): "normal_body", (4, 0): "normal_body", (1, 2): "normal_body"}
+        assert q.lastProgress["stateOperators"][0]["numRowsTotal"] <= 2
+    finally:
+        q.stop()
+
+
 @pytest.mark.parametrize("word", "article(i.e., example(e.g., method(s) model(s) result(s) section(s) reference(s) image(s) paper(s) function(s) condition(s)".split())
 def test_words_are_not_protected(word):
     letter = word.split("(")[0][-1]
