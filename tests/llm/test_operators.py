@@ -594,4 +594,4 @@ def test_shards_prune_files(spark):
 
 
 def test_registry():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in registry.queries()) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in registry.queries()) == list(range(1, 14))
