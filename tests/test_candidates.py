@@ -78,3 +78,20 @@ def test_segments_of_blocks(spark):
         ("clean", 0): (2, 10.0, 100.0, 20.0, 130.0), ("mixed", 0): (1, 10.0, 200.0, 20.0, 210.0), ("mixed", 1): (1, 10.0, 220.0, 20.0, 230.0), ("inline", 0): (2, 10.0, 300.0, 34.0, 314.5), ("inline", 1): (1, 80.0, 309.0, 90.0, 319.0),
         ("crossed", 0): (1, 10.0, 400.0, 20.0, 410.0), ("crossed", 1): (1, 10.0, 420.0, 20.0, 430.0), ("other", 0): (1, 12.0, 412.0, 22.0, 422.0),
     }
+
+
+def test_candidates_take_no_shuffle_of_words(spark):
+    """Texts are dealt once, as whole documents; words aren't."""
+    from vellum.operators import synth
+
+    docs = spark.createDataFrame([(i, "a × b 12 α " * (1 + i % 40)) for i in range(200)], "doc_id long, text string")
+    df = candidates.true_candidates(candidates.segmented(synth.spans(docs).withColumn("font", F.lit("Times"))))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1, plan
+    assert df.count() == sum(5 * (1 + i % 40) for i in range(200))
+
+
+def test_words_without_a_box_or_key_are_never_framed(spark):
+    row = lambda page, y1: [(1, page, i, t, "Times", 10.0, 20.0 * i, 5.0, 20.0 * i + 12, y1) for i, t in enumerate(("word", "×", "word"))]
+    s = candidates.true_candidates(candidates.segmented(spark.createDataFrame(row(0, 15.0) + row(None, 15.0) + row(2, None), SPAN)))
+    assert sorted((r.page is None, r.page) for r in s.where("kept").collect()) == [(False, 2), (True, None)]
