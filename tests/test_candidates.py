@@ -95,3 +95,14 @@ def test_words_without_a_box_or_key_are_never_framed(spark):
     row = lambda page, y1: [(1, page, i, t, "Times", 10.0, 20.0 * i, 5.0, 20.0 * i + 12, y1) for i, t in enumerate(("word", "×", "word"))]
     s = candidates.true_candidates(candidates.segmented(spark.createDataFrame(row(0, 15.0) + row(None, 15.0) + row(2, None), SPAN)))
     assert sorted((r.page is None, r.page) for r in s.where("kept").collect()) == [(False, 2), (True, None)]
+
+
+def test_neighbours_by_key_bring_columns_along(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice((1, 2, None)), i, x := float(rng.randrange(50)), y := float(rng.randrange(6)), x + rng.randrange(6), y + rng.randrange(1, 7)) for i in range(200)]
+    df = spark.createDataFrame(rows, BOX)
+    some = df.where("id % 5 = 0").withColumn("x0", F.col("x0") + 0.5)
+    named = df.withColumn("c", F.col("id").cast("string"))
+    plain, both, by_key = (sorted(map(tuple, candidates.neighbours(some, named, ["k"], "id", "id", carry=c, grouped=g).collect())) for c, g in (((), False), (["c", "x1"], False), (["c", "x1"], True)))
+    end = {r[1]: (str(r[1]), r[4]) for r in rows} | {None: (None, None)}
+    assert both == by_key == [(*r, *end[r[2]], *end[r[3]]) for r in plain]
