@@ -90,3 +90,19 @@ def test_common_beginnings_are_not_paired(spark):
     hot = found._jdf.queryExecution()
     found.collect()
     assert "CartesianProduct" not in hot.executedPlan().toString() and "NestedLoop" not in hot.executedPlan().toString()
+
+
+def test_prefixes_and_probes_are_made_once_and_pages_of_few_texts_need_no_index(spark):
+    """A page of as many texts as are compared one by one, and one of more, against plain containment; the stored parts aren't made again."""
+    word = lambda n: "".join("abcdefghij"[int(d)] for d in f"{n:03d}")
+    for n in (3, R.FEW_TEXTS, R.FEW_TEXTS + 1):
+        texts = [(1, 0, f"the common beginning {word(i % 50)} and {word(i)} ends", i, f"p{i}") for i in range(n)]
+        asked = [f"common beginning {word(k)}" for k in (0, 1, 7, 49, 60)] + ["common beginning", f"and {word(n - 1)} ends", "nowhere at all here"]
+        t = spark.createDataFrame(texts, "doc_id long, page long, text string, id long, owner string")
+        p = spark.createDataFrame([(1, 0, a) for a in asked] + [(1, 5, asked[0]), (1, 0, None)], "doc_id long, page long, probe string")
+        got = {(r.page, r.probe): r.owner for r in R.first_containing(p, t, "id", "owner").collect()}
+        assert got == {(0, a): next(x[4] for x in texts if a in x[2]) for a in asked if any(a in x[2] for x in texts)}
+    spans = spark.range(4).select(F.lit(1).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("page"), F.col("id").alias("span_id"), F.lit("some words of a line").alias("text"), *(F.lit(v).alias(c) for c, v in (("x0", 0.0), ("y0", 0.0), ("x1", 9.0), ("y1", 9.0))))
+    regions = spans.select("doc_id", "page", F.col("span_id").alias("region"), F.lit("text").alias("kind"), F.lit("body").alias("role"), F.lit("p").alias("owner"), F.col("text").alias("source"), "x0", "y0", "x1", "y1")
+    plan = R.spans_to_regions(spans, regions)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan and "regexp_extract_all" not in plan
