@@ -158,3 +158,24 @@ def test_table_html_and_bounds(spark):
     assert [(r.lo, r.hi) for r in tables.row_bounds(rows, ["t"]).orderBy("row").collect()] == [(0.0, 10.0), (10.0, 30.0)]
     rules = spark.createDataFrame([(1, 10.0), (1, 20.0), (1, 40.0)], "t int, y0 double")
     assert tables.header_row(rows, rules, ["t"]).first().header_row == 1
+
+
+def test_links_need_paragraphs_once(spark):
+    """Pages that aren't neighbours and rows without a document aren't linked; the input is read once for all links."""
+    rows = [(1, 0, "Begins here and", 690.0), (1, 1, "goes on.", 72.0), (1, 3, "later with no end", 700.0), (2, 0, "another that", 700.0), (2, 2, "is far away.", 72.0), (None, 0, "no document has", 700.0), (None, 1, "this one.", 72.0)]
+    p = spark.createDataFrame([(d, g, 0, i, t, 72.0, y, 290.0, y + 10, 10.0, False) for i, (d, g, t, y) in enumerate(rows)], LINE.replace("bold", "heading"))
+    got = paragraphs.logical_paragraphs(p)
+    assert [(r.ordinal, r.logical) for r in got.where("doc_id is not null").orderBy("ordinal").collect()] == [(0, 1), (1, 1), (2, 2), (3, 1), (4, 2)]
+    assert [r.logical for r in got.where("doc_id is null").orderBy("ordinal").collect()] == [1, 2]
+    assert [tuple(r)[:4] for r in paragraphs.crosses_page(p).orderBy("doc_id").collect()] == [(1, 1, 0, 1)]
+    for out in (got, paragraphs.crosses_page(p)):
+        assert out._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+
+
+def test_lines_join_by_the_end_of_long_texts(spark):
+    from vellum.functions import text as T
+
+    pairs = [("x" * 3000 + "-", "goes"), ("x" * 3000 + "A-", "goes"), ("X" * 3000 + "-", "Goes"), ("ab-", "c"), ("b-", "c"), ("-", "c"), ("", "c"), ("a", ""), ("ab-\n", "c"), ("ab-\r\n", "c"), ("字" * 10, "字"), ("字a", "字"), ("a-b", "c")]
+    got = [r.j for r in spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string").orderBy("i").select(T.join_lines(F.col("a"), F.col("b")).alias("j")).collect()]
+    whole = ["x" * 3000 + "goes", "x" * 3000 + "A-goes", "X" * 3000 + "-Goes", "abc", "b-c", "- c", "c", "a", "ab\nc", "ab\r\nc", "字" * 11, "字a 字", "a-b c"]
+    assert got == whole
