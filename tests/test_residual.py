@@ -106,3 +106,17 @@ def test_prefixes_and_probes_are_made_once_and_pages_of_few_texts_need_no_index(
     regions = spans.select("doc_id", "page", F.col("span_id").alias("region"), F.lit("text").alias("kind"), F.lit("body").alias("role"), F.lit("p").alias("owner"), F.col("text").alias("source"), "x0", "y0", "x1", "y1")
     plan = R.spans_to_regions(spans, regions)._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_replace" not in plan and "regexp_extract_all" not in plan
+
+
+def test_words_are_made_once_and_names_are_tried_by_letters(spark):
+    from vellum.plans import residual_queries as Q
+
+    names = [n for n in re.sub(r"^\(\?i\)\\b\(\?:|\)\\b$", "", R.PROTECTED_NAMES).split("|")]
+    said = [n.replace("\\.?", dot).replace("\\.", ".") for n in names for dot in ("", ".")]
+    texts = [f"{a}{join}{b}" for a, b in zip(said, said[7:] + said[:7], strict=True) for join in ("", " ", "-", "s ", ".x")] + [s.upper() for s in said] + [s[:-1] for s in said]
+    for t in texts:
+        assert re.sub(R._NAMES, "_", t) == re.sub(R.PROTECTED_NAMES, "_", t), t
+    plan = Q.surviving_words(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_sort") == 1
+    plan = Q.residual_details(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Vanilla") == 1
