@@ -36,3 +36,17 @@ def test_intervals_meet_in_cells(spark):
         near = lambda a, b: a[0] == b[0] and abs(a[1] - b[1]) <= tolerance and abs(a[2] - b[2]) <= tolerance  # noqa: B023, E731
         only = lambda a, b, kind: [(*x, kind) for x in a if not any(near(x, y) for y in b)]
         assert sorted(tuple(r) for r in out.collect() if r.lo is not None) == sorted(only(left, right, "lost") + only(right, left, "phantom"))
+
+
+def test_intervals_do_not_pass_through_the_driver(spark):
+    rng = random.Random(7)
+    side = lambda n: [(rng.randrange(3), a := rng.randrange(-200, 200), a + rng.randrange(30)) for _ in range(n)]
+    left, right = side(300), side(300)
+    frames = [spark.createDataFrame([(k, a / 4, b / 4) for k, a, b in x], "k int, lo double, hi double") for x in (left, right)]
+    for tolerance in (0.5, 2.0):
+        out = joins.tolerance_match(*frames, ["k"], "lo", "hi", tolerance)
+        rows = sorted(tuple(r) for r in out.collect())
+        assert "BroadcastExchange" not in out._jdf.queryExecution().executedPlan().toString()
+        near = lambda a, b: a[0] == b[0] and abs(a[1] - b[1]) / 4 <= tolerance and abs(a[2] - b[2]) / 4 <= tolerance  # noqa: B023, E731
+        only = lambda a, b, kind: [(x[0], x[1] / 4, x[2] / 4, kind) for x in a if not any(near(x, y) for y in b)]
+        assert rows == sorted(only(left, right, "lost") + only(right, left, "phantom"))
