@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from vellum.operators import gaps
+from vellum.operators import candidates, gaps
 
 CHAR = "doc_id long, page long, paragraph long, line long, place long, c string, x0 double, y0 double, x1 double, y1 double, span long"
 
@@ -33,3 +33,18 @@ def test_neighbours_of_formulas(spark):
     got = {r.formula_id: (r.left_gap, r.right_gap, r.mark_follows) for r in gaps.around_formulas(formulas, chars).collect()}
     assert got == {7: (3.0, 3.0, True), 8: (None, None, False)}
     assert gaps.around_formulas(formulas, chars.where(F.lit(False))).count() == 2
+
+
+def test_characters_of_formula_gaps_stay_with_their_document(spark):
+    """Only texts are shuffled: neither characters nor what is found for formulas."""
+    from vellum.plans import gap_queries
+
+    plan = gap_queries.formula_gaps(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan
+
+
+def test_columns_of_formulas_come_along(spark):
+    chars = spark.createDataFrame(line(1, "ab    ，c"), CHAR)
+    left = spark.createDataFrame([(1, 0, -8, 14.0, 21.0, 33.0, 29.0, "f"), (1, 0, -9, 100.0, 500.0, 110.0, 510.0, None)], "doc_id long, page long, own long, x0 double, y0 double, x1 double, y1 double, name string")
+    out = candidates.neighbours(left, chars.withColumn("id", F.col("place")), gaps.PAGE, "own", "id", 0.5, 0.0, ["c"], keep=["name"])
+    assert {(r.own, r.name) for r in out.collect()} == {(-8, "f"), (-9, None)}
