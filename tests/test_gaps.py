@@ -48,3 +48,12 @@ def test_columns_of_formulas_come_along(spark):
     left = spark.createDataFrame([(1, 0, -8, 14.0, 21.0, 33.0, 29.0, "f"), (1, 0, -9, 100.0, 500.0, 110.0, 510.0, None)], "doc_id long, page long, own long, x0 double, y0 double, x1 double, y1 double, name string")
     out = candidates.neighbours(left, chars.withColumn("id", F.col("place")), gaps.PAGE, "own", "id", 0.5, 0.0, ["c"], keep=["name"])
     assert {(r.own, r.name) for r in out.collect()} == {(-8, "f"), (-9, None)}
+
+
+def test_pairs_run_from_the_left_only(spark):
+    """Frames that reach to a line's end cost its square; one order is sorted once."""
+    chars = spark.createDataFrame(line(1, " 用 A\tb "), CHAR)
+    pairs = gaps.visible_pairs(chars)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "unboundedfollowing" not in plan and plan.count("Sort [") == 1
+    assert [(r.left, r.right, r.gap, r.parted, r.left_script, r.right_script) for r in pairs.orderBy("place").collect()] == [("用", "A", 7.0, True, "cjk", "latin"), ("A", "b", 7.0, False, "latin", "latin")]
