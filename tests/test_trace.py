@@ -103,3 +103,25 @@ def test_a_formula_of_one_stage_alone_has_a_life(spark):
     got = {r.formula_id: r for r in trace.formula_lives(tables).collect()}
     assert got["seen"].defects == ["embed_missing", "orphan_formula"] and (got["seen"].status, got["seen"].failure_stage) == ("orphan", "embedding")
     assert got["stray"].defects == ["detection_missing", "model_missing", "final_crop", "duplicate_formula"] and got["stray"].failure_stage == "detection" and len(got) == 2
+
+
+def test_spans_dealt_by_document_are_not_dealt_again(spark):
+    """Exact and best matches come from one sweep, which takes spans as they are dealt; so do a span's own columns."""
+    spans = spark.createDataFrame([(1, 0, i, "a", "CMMI10", 10.0, "text" if i % 2 else None, 10.0 * i, 0.0, 10.0 * i + 9, 9.0) for i in range(5)], SPAN).repartition(6, "doc_id")
+    parts = spark.createDataFrame([(1, 0, "f", 0, "a", 10.05, 0.0, 19.0, 9.0), (1, 0, "f", 1, "a", 21.0, 0.0, 29.0, 9.0), (1, 0, "f", 2, "a", 25.0, 0.0, 34.0, 9.0), (1, None, "f", 3, "a", 10.0, 0.0, 19.0, 9.0), (1, 0, "f", 4, "a", None, 0.0, 19.0, 9.0)], PART)
+    out = trace.match_components(parts.repartition(6, "doc_id"), spans, carry=["owner"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 2 and "ENSURE_REQUIREMENTS" not in plan and "Join" not in plan
+    assert {(r.component, r.text, r.span_id, r.owner) for r in out.collect()} == {(0, "a", 1, "text"), (1, "a", 2, None), (2, "a", None, None), (3, "a", None, None), (4, "a", None, None)}
+
+
+def test_words_tell_members_without_joins(spark):
+    from vellum.plans import trace_queries
+
+    t = trace_queries.tables(spark, "/root/testdata/sf0.001")
+    plan = t["spans"]._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "ENSURE_REQUIREMENTS" not in plan
+    words = trace_queries.synth.spans(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+    sql = spark.sql(f"WITH {trace_queries.TABLES_SQL.replace('FROM spans', 'FROM {s}')} SELECT * FROM t_spans", s=words)
+    order = sql.columns
+    assert t["spans"].select(order).exceptAll(sql).count() == 0 and sql.exceptAll(t["spans"].select(order)).count() == 0
