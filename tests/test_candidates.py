@@ -106,3 +106,16 @@ def test_neighbours_by_key_bring_columns_along(spark):
     plain, both, by_key = (sorted(map(tuple, candidates.neighbours(some, named, ["k"], "id", "id", carry=c, grouped=g).collect())) for c, g in (((), False), (["c", "x1"], False), (["c", "x1"], True)))
     end = {r[1]: (str(r[1]), r[4]) for r in rows} | {None: (None, None)}
     assert both == by_key == [(*r, *end[r[2]], *end[r[3]]) for r in plain]
+
+
+def test_members_that_bring_their_columns_are_not_looked_up(spark):
+    s = spark.createDataFrame([(1, 0, 12.0 * (i // 5), 1, i, ("x", "α", "12")[i % 3], "Times", 10.0, 20.0 * (i % 5), 20.0 * (i % 5) + 15, 12.0 * (i // 5) + 10, i % 3 > 0, i % 3 == 1) for i in range(20)],
+        "doc_id long, page long, y0 double, segment long, ordinal long, text string, font string, size double, x0 double, x1 double, y1 double, candidate boolean, kept boolean")
+    members = s.where("kept").withColumn("block", F.floor(F.col("ordinal") / 7))
+    blocks = members.groupBy("doc_id", "page", "block").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")).withColumn("is_display", F.col("block") == 1)
+    bare = members.select("doc_id", "page", "block", "ordinal")
+    for of in (lambda m: candidates.block_context(m, s), lambda m: candidates.render_segments(blocks, m, s)):
+        short, long = of(members), of(bare)
+        joins = [df._jdf.queryExecution().optimizedPlan().toString().count("Join ") for df in (short, long)]
+        assert joins[0] < joins[1]
+        assert sorted(map(tuple, short.select(sorted(short.columns)).collect())) == sorted(map(tuple, long.select(sorted(short.columns)).collect()))
